@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, url_filter
+from . import chat_format, minhash_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
     }
 
