@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Documents that one range of keys holds on average; ranges are sorted and summed on their own.
-PER_RANGE = 20_000
+PER_RANGE = 1_000
 MOST_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 
