@@ -56,6 +56,9 @@ class Scratch:
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words of letters and digits alone: every other ASCII character parts them.
+NOT_WORD = np.ones(256, bool)
+NOT_WORD[128:] = NOT_WORD[0x30:0x3A] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x61:0x7B] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -97,9 +100,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def _bounds(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(buf: np.ndarray, cuts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; no word crosses a cut."""
-    inside = ~SPACE[buf]
+    inside = ~space[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -110,7 +113,7 @@ def _bounds(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, pointer): 64-bit hashes of the lower-cased words with their bytes' places.
 
     ``pointer[i]:pointer[i + 1]`` are the words of text i.  Long inputs are hashed piece by piece, so that what is
@@ -121,16 +124,16 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while at < n:
         to = min(at + _PIECE, n)
         if to < n:  # end the piece behind a space or at a text's end, so that no word is cut
-            near = to - np.flatnonzero(SPACE[buf[at:to]][::-1])[:1]
+            near = to - np.flatnonzero(space[buf[at:to]][::-1])[:1]
             text = offsets[np.searchsorted(offsets, to, "right") - 1]
             best = max([x for x in (*near.tolist(), int(text)) if at < x <= to], default=0)
             if not best:
-                later = np.flatnonzero(SPACE[buf[to:]])[:1]
+                later = np.flatnonzero(space[buf[to:]])[:1]
                 nxt = offsets[np.searchsorted(offsets, to, "left")]
                 best = int(min([nxt, *(later + to + 1).tolist()]))
             to = best
         piece = buf[at:to]
-        s, e = _bounds(piece, offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at)
+        s, e = bounds(piece, offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at, space)
         up, down = _powers(len(piece))
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((LOWER[piece].astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])

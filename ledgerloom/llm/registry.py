@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, itq_dedup, minhash_dedup, mixing, url_filter
+from . import chat_format, decontaminate, itq_dedup, minhash_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_itq_dedup": itq_dedup.op7_itq_dedup,
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
