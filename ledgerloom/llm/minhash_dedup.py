@@ -3,7 +3,8 @@
 One pass over the texts writes, for each document, the size and a 128-bit digest of its shingle set and the band keys of its
 SuperMinHash signature.  Documents with equal sets form a class, which one of them represents; only classes are
 compared.  In each bucket members meet a leader rather than one another; whoever isn't in its leader's component after that
-meets other leaders, and what is left over meets pair by pair, so that no link is lost and no group is paired off whole.
+meets another leader, and buckets that still hold several components are compared tile by tile inside tasks, so that no
+link is lost and no group is paired off in rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .components import connected_components
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band with a probability of 3 in a million
 #: Needed texts are picked by a broadcast of their ids up to so many, by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-#: Rounds with random leaders before what remains is compared pair by pair.
-MOST_ROUNDS = 10
+#: Rounds with leaders before what remains is compared in tiles.
+LEADER_ROUNDS = 2
+#: Members and shingles of a tile.
+TILE_ROWS, TILE_ITEMS = 1024, 4_000_000
 _K = np.uint64(0xD6E8FEB86659FD93)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,6 +132,62 @@ def _sized(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of the hashes.  Two may fall together, so an intersection can only seem larger."""
+    for b in batches:
+        x = b.column("items")
+        off = x.offsets.to_numpy()
+        half = (x.values.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([half[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], ["rep", "half"])
+
+
+def _crosser(percent: int):
+    def cross(group: pa.Table) -> pa.Table:
+        """Of each member and other component that seem linked, the pair that seems most similar."""
+        g = group.combine_chunks()
+        rep, component, tile, left, right = (g.column(c).to_numpy() for c in ("rep", "component", "tile", "left", "right"))
+        _, where = np.unique(component, return_inverse=True)
+        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in g.column("half")]
+        n = np.array([len(x) for x in sets])
+        rows = np.repeat(np.arange(len(rep)), n)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        # every pair of two components has an end outside the largest one
+        small = np.flatnonzero(where != np.bincount(where).argmax())
+        out = ([], [])
+        for at in range(0, len(small), 256):
+            part = small[at : at + 256]
+            both = np.zeros((len(part), len(rep)), np.float32)
+            for c in range(0, int(column[-1]) + 1, 4096):
+                lo, hi = np.searchsorted(column, [c, c + 4096])
+                m = np.zeros((len(rep), 4096), np.float32)
+                m[rows[lo:hi], column[lo:hi] - c] = 1
+                both += m[part] @ m.T
+            union = n[part][:, None] + n[None, :] - both
+            like = np.where((100 * both >= percent * union) & (where[part][:, None] != where[None, :]), both / np.maximum(union, 1), 0)
+            if left[0] != right[0]:
+                like[tile[part][:, None] == tile[None, :]] = 0
+            i, j = np.nonzero(like)
+            best = np.lexsort((-like[i, j], where[j], i))
+            i, j = i[best], j[best]
+            keep = np.concatenate(([True], (i[1:] != i[:-1]) | (where[j][1:] != where[j][:-1]))) if len(i) else np.zeros(0, bool)
+            out[0].append(rep[part[i[keep]]])
+            out[1].append(rep[j[keep]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cross
+
+
+def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that seem similar enough; at most one per member, bucket and other component."""
+    rows = members.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("bucket", "rep", "component", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
+    half = sets.join(members.select("rep").distinct(), "rep", "left_semi").mapInArrow(_halved, "rep long, half binary")
+    return rows.join(half, "rep").groupBy("bucket", "left", "right").applyInArrow(_crosser(percent), "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -156,32 +215,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     if sets.count() > n_needed:  # rows repeat a doc_id: each of its sets once
         sets = scratch.save(sets.distinct())
 
-    links, labels = None, None
-    for turn in range(MOST_ROUNDS + 1):
-        if turn:  # what is left: buckets that still hold several components
-            per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-            left = per.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("c")).where("c > 1")
-            members_left = scratch.save(members.join(left.select("bucket"), "bucket"))
-            crossing = (left.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0)
-            scratch.drop(members)
-            members = members_left
-            if not crossing:
-                break
-        last = turn and (crossing <= 2 * n_classes or turn == MOST_ROUNDS)
-        if last:
-            a, b = (members.select("bucket", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized(percent, "na", "nb"))
-        else:
-            leader = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn)))
-            leaders = members.groupBy("bucket").agg(leader.alias("l"))
+    links = None
+    for turn in range(LEADER_ROUNDS + 1):
+        if turn:
+            labels = scratch.save(connected_components(links, scratch))
+            members = members.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            several = members.groupBy("bucket").agg(F.min("component").alias("_l"), F.max("component").alias("_m"), F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n")).where("_l != _m")
+            several = several.select("bucket", F.greatest(F.ceil(F.col("_k") / TILE_ROWS), F.ceil(F.col("_n") / TILE_ITEMS)).cast("int").alias("tiles"))
+            members = scratch.save(members.join(several, "bucket"))
+        if turn < LEADER_ROUNDS:
+            leaders = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("l"))
             pairs = members.join(leaders, "bucket").where((F.col("component") != F.col("l.component")) & _sized(percent, "n", "l.n"))
             pairs = pairs.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
-        found = scratch.save(_verified(pairs.select("a", "b").distinct(), sets, percent))
+        else:
+            pairs = _tiled(members, sets, percent)
+        found = scratch.save(_verified(pairs.distinct(), sets, percent))
         links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        labels = scratch.save(connected_components(links, scratch))
-        members = scratch.save(members.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
     labels = scratch.save(connected_components(links, scratch))
     scratch.drop(sets, members)
 
