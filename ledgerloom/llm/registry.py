@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, itq_dedup, minhash_dedup, mixing, url_filter
+from . import chat_format, decontaminate, itq_dedup, language_id, minhash_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_language_id": language_id.op2_language_id,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_itq_dedup": itq_dedup.op7_itq_dedup,
