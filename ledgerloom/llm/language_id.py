@@ -160,7 +160,7 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def predictor(languages: list[str], model):
+def predictor(languages: list[str], model, text: bool = False):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for whole in batches:
@@ -172,7 +172,7 @@ def predictor(languages: list[str], model):
                     names = [languages[k] if ok else "und" for k, ok in zip(best, sure)]
                 else:
                     names, share = ["und"] * b.num_rows, np.zeros(b.num_rows)
-                keep = [c for c in b.schema.names if c != "text"]
+                keep = [c for c in b.schema.names if c != "text" or text]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(sure, np.clip(share, 0, 1), 0.0))], [*keep, "lang_pred", "score"])
 
     return predict
@@ -196,19 +196,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: np.ndarray, *columns: str) -> DataFrame:
-    """(doc_id, *columns, lang_pred, score) of every row, from its whole text alone.
+def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: np.ndarray, text: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score for every row, from its whole text alone; the text itself only if ``text`` says so.
 
     A null text, an empty one and one without a letter are ``und`` with score 0, and so is everything where nothing was learned.  Equal
     texts get equal results; the first language by name wins ties.
     """
-    rows = docs.select("doc_id", *columns, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(predictor(languages, spark.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+    rows = docs.drop("lang_pred", "score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or text)
+    return rows.mapInArrow(predictor(languages, spark.sparkContext.broadcast(model), text), f"{schema}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; learned from the documents that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     languages, model = learn(spark, docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    return predict(spark, docs, languages, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(spark, docs.select("doc_id", "text"), languages, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

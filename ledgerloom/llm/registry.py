@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, itq_dedup, language_id, minhash_dedup, mixing, url_filter
+from . import chat_format, decontaminate, itq_dedup, language_id, minhash_dedup, mixing, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_itq_dedup": itq_dedup.op7_itq_dedup,
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
 
