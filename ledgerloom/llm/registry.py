@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, itq_dedup, language_id, minhash_dedup, mixing, secret_scan, url_filter
+from . import chat_format, decontaminate, html_extract, itq_dedup, language_id, minhash_dedup, mixing, pseudonyms, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.op2_language_id,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_pseudonyms": pseudonyms.op5_pseudonyms,
         "op6_html_extract": html_extract.op6_html_extract,
         "op7_itq_dedup": itq_dedup.op7_itq_dedup,
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
