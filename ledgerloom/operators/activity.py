@@ -1,0 +1,166 @@
+"""Analytics of the activity log: timelines, work patterns, pointers, coverage, routing."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..jobs.catalog import query
+from ..sources.ledger import Tables
+
+
+def window_of(expression: str, now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+    """Half-open calendar window in UTC: today, yesterday, this/last week (from Monday), this/last month, last N days (1-365), YYYY-MM-DD.
+
+    Anything else raises ValueError.
+    """
+    e, day = " ".join(expression.lower().split()), dt.datetime(now.year, now.month, now.day)
+    one, monday, first = dt.timedelta(days=1), day - dt.timedelta(days=day.weekday()), day.replace(day=1)
+    fixed = {
+        "today": (day, day + one), "yesterday": (day - one, day), "this week": (monday, monday + 7 * one), "last week": (monday - 7 * one, monday),
+        "this month": (first, (first + 32 * one).replace(day=1)), "last month": ((first - one).replace(day=1), first),
+    }
+    if e in fixed:
+        return fixed[e]
+    if (m := re.fullmatch(r"last (\d+) days?", e)) and 1 <= int(m[1]) <= 365:
+        return day + one - int(m[1]) * one, day + one
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", e):
+        d = dt.datetime.strptime(e, "%Y-%m-%d")
+        return d, d + one
+    raise ValueError(f"no time window: {expression!r}")
+
+
+def in_window(actions: DataFrame, expression: str, now: dt.datetime) -> DataFrame:
+    lo, hi = window_of(expression, now)
+    return actions.where((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+
+
+_NOW = dt.datetime(2024, 1, 28, 12)
+_LAST_WEEK = "ts >= timestamp '2024-01-15' and ts < timestamp '2024-01-22'"
+
+
+@query(f"select day, count(*) as n, count(distinct source_system) as sources from actions where {_LAST_WEEK} group by day", "actions")
+def timeline_by_day(t: Tables) -> DataFrame:
+    """DOM-12/13, AGG-2: actions a day in the last week."""
+    return in_window(t.actions(), "last week", _NOW).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_system").alias("sources"))
+
+
+@query(f"select source_system, count(*) as n from actions where {_LAST_WEEK} group by source_system order by n desc, source_system limit 20", "actions")
+def timeline_source_counts(t: Tables) -> DataFrame:
+    return in_window(t.actions(), "last week", _NOW).groupBy("source_system").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_system").limit(20)
+
+
+@query(f"select coalesce(project, '(none)') as project, count(*) as n from actions where {_LAST_WEEK} group by 1 order by n desc, 1 limit 20", "actions")
+def timeline_project_counts(t: Tables) -> DataFrame:
+    return in_window(t.actions(), "last week", _NOW).groupBy(F.coalesce("project", F.lit("(none)")).alias("project")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project").limit(20)
+
+
+def strength(days: Column, count: Column, least: int) -> Column:
+    """How sure a pattern is: strong, medium or provisional."""
+    return F.when((days >= 14) & (count >= 2 * least), "strong").when((days >= 7) & (count >= least), "medium").otherwise("provisional")
+
+
+_STRENGTH = "case when days >= 14 and n >= 2 * {k} then 'strong' when days >= 7 and n >= {k} then 'medium' else 'provisional' end as confidence"
+
+
+@query(f"select sources, days, n, {_STRENGTH.format(k=2)} from (select count(distinct source_system) as sources, count(distinct day) as days, count(*) as n from actions) where sources >= 2", "actions")
+def pattern_capture_spread(t: Tables) -> DataFrame:
+    """DOM-14: work is captured from two systems at least.  One row at most."""
+    s = t.actions().agg(F.countDistinct("source_system").alias("sources"), F.countDistinct("day").alias("days"), F.count(F.lit(1)).alias("n"))
+    return s.where("sources >= 2").withColumn("confidence", strength(F.col("days"), F.col("n"), 2))
+
+
+@query("with h as (select hour, count(*) as n from actions group by hour), s as (select sum(n)::bigint as total from h) select hour, n, round(n / total::double, 6) as share from h, s where n >= 3 and n / total::double >= 0.03", "actions")
+def pattern_work_rhythm(t: Tables) -> DataFrame:
+    """DOM-14: hours with a noticeable share of the work."""
+    h = t.actions().groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # 24 rows
+    return h.select("hour", "n", F.round(share, 6).alias("share"), share.alias("_s")).where("n >= 3 and _s >= 0.03").drop("_s")
+
+
+@query("with p as (select project, count(*) as n, count(distinct day) as days from actions where project is not null group by project), s as (select sum(n)::bigint as total from p) select project, n, days, round(n / total::double, 6) as share from p, s where n >= 3 and n / total::double >= 0.1", "actions")
+def pattern_project_focus(t: Tables) -> DataFrame:
+    """DOM-14: projects that take a large share."""
+    p = t.actions().where("project is not null").groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # a row per project
+    return p.select("project", "n", "days", F.round(share, 6).alias("share"), share.alias("_s")).where("n >= 3 and _s >= 0.1").drop("_s")
+
+
+def _switches(actions: DataFrame, column: str) -> DataFrame:
+    """Each action beside the value before it on its day: days are independent, so that no task sorts the whole log."""
+    w = Window.partitionBy("day").orderBy("ts", "action_id")
+    return actions.withColumn("before", F.lag(column).over(w))
+
+
+@query("with l as (select day, project, lag(project) over (partition by day order by ts, action_id) as before from actions where project is not null) select day, count(*) as switches from l where before is not null and before != project group by day having count(*) >= 3", "actions")
+def pattern_project_switching(t: Tables) -> DataFrame:
+    """DOM-14, WIN-2: days with three changes of project at least."""
+    s = _switches(t.actions().where("project is not null"), "project")
+    return s.where("before is not null and before != project").groupBy("day").agg(F.count(F.lit(1)).alias("switches")).where("switches >= 3")
+
+
+@query("with l as (select source_system, lag(source_system) over (partition by day order by ts, action_id) as before from actions) select before || ' -> ' || source_system as pair, count(*) as n from l where before != source_system group by 1 having count(*) >= 2 order by n desc, pair limit 5", "actions")
+def pattern_source_sequence(t: Tables) -> DataFrame:
+    """DOM-14, WIN-3: which system follows which."""
+    s = _switches(t.actions(), "source_system").where("before != source_system")
+    return s.groupBy(F.concat_ws(" -> ", "before", "source_system").alias("pair")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "pair").limit(5)
+
+
+_ISSUE = "case when props is null or props = '' then 'missing' when not json_valid(props) then 'malformed' when json_extract_string(props, '$.k') is null then 'no-pointer' when json_extract_string(props, '$.k')::bigint > 95 then 'out-of-range' end"
+
+
+def pointer_issue(props: Column) -> Column:
+    """What is wrong with an action's pointer; null: nothing."""
+    k = F.get_json_object(props, "$.k")
+    return (
+        F.when(props.isNull() | (props == ""), "missing").when(F.try_parse_json(props).isNull(), "malformed").when(k.isNull(), "no-pointer").when(k.cast("long") > 95, "out-of-range")
+    )
+
+
+@query(f"select action_id, {_ISSUE} as issue from actions where {_ISSUE} is not null", "actions")
+def pointer_issues(t: Tables) -> DataFrame:
+    """DOM-15, FIL-9."""
+    return t.actions().select("action_id", pointer_issue(F.col("props")).alias("issue")).where("issue is not null")
+
+
+@query(f"select source_system, coalesce({_ISSUE}, 'ok') as issue, count(*) as n from actions group by all", "actions")
+def pointer_issue_counts(t: Tables) -> DataFrame:
+    return t.actions().groupBy("source_system", F.coalesce(pointer_issue(F.col("props")), F.lit("ok")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_EXPECTED = ["click", "view", "purchase", "signup", "share"]
+
+
+@query("with e(source_system) as (values ('click'), ('view'), ('purchase'), ('signup'), ('share')), n as (select source_system, count(*) as n, max(day) as last_day from actions group by 1) select source_system, coalesce(n, 0) as n, last_day, n is null as is_gap from e left join n using (source_system)", "actions")
+def coverage_systems(t: Tables) -> DataFrame:
+    """DOM-16: what each expected system has sent, and which have sent nothing."""
+    e = t.spark.createDataFrame([(x,) for x in _EXPECTED], "source_system string")
+    n = t.actions().groupBy("source_system").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
+    return e.join(n, "source_system", "left").select("source_system", F.coalesce("n", F.lit(0)).alias("n"), "last_day", F.col("n").isNull().alias("is_gap"))
+
+
+@query(
+    "with c as (select source_system, coalesce(project, '(none)') as project, count(*) as n from actions group by all), r as (select source_system, project, n, least(0.98, round(0.4 + ln(1 + n) / 5, 2)) as confidence from c) "
+    "select source_system, sum(n)::bigint as evidence_count, max_by(project, (confidence, n, project)) as best_project, max(confidence) as confidence from r group by 1", "actions"
+)
+def route_candidates(t: Tables) -> DataFrame:
+    """DOM-17, AGG-13: candidates of a question's route, merged: evidence adds up, the surest row's fields win."""
+    c = t.actions().groupBy("source_system", F.coalesce("project", F.lit("(none)")).alias("project")).agg(F.count(F.lit(1)).alias("n"))
+    r = c.withColumn("confidence", F.least(F.lit(0.98), F.round(0.4 + F.log1p("n") / 5, 2)))
+    return r.groupBy("source_system").agg(F.sum("n").alias("evidence_count"), F.max_by("project", F.struct("confidence", "n", "project")).alias("best_project"), F.max("confidence").alias("confidence"))
+
+
+@query("select action_id from actions a where not exists (select 1 from accesses x where x.fact_id = a.action_id)", "actions", "accesses")
+def underived_actions(t: Tables) -> DataFrame:
+    """JOIN-9: what no later table has taken up yet."""
+    return t.actions().select("action_id").join(t.accesses().select(F.col("fact_id").alias("action_id")), "action_id", "left_anti")
+
+
+@query("select source_system || ':' || action_id as key, first(coalesce(project, json_extract_string(props, '$.k'), 'none')) as what, count(*) as n from actions group by 1", "actions")
+def action_derivation(t: Tables) -> DataFrame:
+    """DOM-11: the derived action's key and its first useful description."""
+    a = t.actions().select(F.concat_ws(":", "source_system", "action_id").alias("key"), F.coalesce("project", F.get_json_object("props", "$.k"), F.lit("none")).alias("what"))
+    return a.groupBy("key").agg(F.first("what").alias("what"), F.count(F.lit(1)).alias("n"))
