@@ -12,21 +12,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_WORD, Scratch, mix, ranges, slices, text_buffers, words_of
 
 FEATURES = 1 << 14
-RANK, OVERSAMPLE = 96, 16
+RANK, OVERSAMPLE = 72, 8
 #: Informative words of a cell (windows start and end at cells), and words of a passage of the SVD.
 CELL, PASSAGE = 4, 32
 #: Share of passages from which on a feature is no informative one (and so many passages at least).
-COMMON, COMMON_LEAST = 0.05, 200
+COMMON, COMMON_LEAST = 0.01, 200
 #: Features below which an item keeps its common ones too.
 FEW = 5
 #: Cosine in the latent space from which a window is a candidate.
-COSINE = 0.58
+COSINE = 0.55
+#: For a short item, whose window holds more besides: that share of the cosine to be expected, where it is less.
+OF_EXPECTED = 0.65
 #: Longest common subsequence over the item's words: enough alone, or together with the answer.
 COPIED, PARAPHRASED = 0.8, 0.6
 ANSWER = 0.8
@@ -38,10 +41,16 @@ BROADCAST_IDS = 1_000_000
 # ------------------------------------------------------------------------------------------ features and SVD
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, the texts' pointer); case is folded in every script."""
+    words, _, _, ptr = words_of(*text_buffers(pc.utf8_lower(texts)), NOT_WORD)
+    return words, ptr
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, "text"):
-            words, _, _, ptr = words_of(*text_buffers(b.column("text")), NOT_WORD)
+            words, ptr = _split(b.column("text"))
             f = (words >> np.uint64(50)).astype(np.uint16)
             offsets = pa.py_buffer((ptr * 2).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, offsets, pa.py_buffer(f.tobytes())])], ["doc_id", "features"])
@@ -78,13 +87,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(whole):
             f, ptr = _unpack(b)
             p, n = _passages(ptr)
-            total += np.bincount(np.unique(p * FEATURES + f) % FEATURES, minlength=FEATURES)
+            order = np.argsort(f, kind="stable")  # within a feature the passages ascend
+            g, q = f[order], p[order]
+            if len(g):
+                total += np.bincount(g[np.concatenate(([True], (g[1:] != g[:-1]) | (q[1:] != q[:-1])))], minlength=FEATURES)
             passages += n
     has = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"feature": np.concatenate(([-1], has)), "n": np.concatenate(([passages], total[has]))})
 
 
-def random_signs(features: int, columns: int, each: int = 4, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def random_signs(features: int, columns: int, each: int = 2, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """A sparse random test matrix: ``each`` columns and signs for every feature."""
     rng = np.random.default_rng(seed)
     at = np.argsort(rng.random((features, columns)), axis=1)[:, :each]
@@ -95,7 +107,7 @@ _BLOCK = 256
 
 
 def sketcher(idf: np.ndarray):
-    informative = idf > 0
+    informative, weight = idf > 0, idf.astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """This task's share of A'A times the test matrix, as blocks of rows."""
@@ -116,9 +128,11 @@ def sketcher(idf: np.ndarray):
                     y += np.bincount(p * width + at[f, e], w * sign[f, e], minlength=n * width)
                 y = y.reshape(n, width).astype(np.float32)
                 order = np.argsort(f, kind="stable")
-                g = f[order]
-                starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-                m[g[starts]] += np.add.reduceat(y[p[order]], starts, axis=0) * idf[g[starts], None].astype(np.float32)
+                for lo in range(0, len(order), 1 << 14):  # so many rows stay in the cache
+                    part = order[lo : lo + (1 << 14)]
+                    g = f[part]
+                    starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+                    m[g[starts]] += np.add.reduceat(np.take(y, p[part], axis=0), starts, axis=0) * weight[g[starts], None]
         rows = m.reshape(-1, _BLOCK * width)
         use = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(use.astype(np.int64)), pa.array([rows[k].tobytes() for k in use], pa.binary())], ["block", "m"])
@@ -212,6 +226,7 @@ def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: flo
         for k, f in enumerate(items_):
             has[k, f] = True
         sizes, lengths = np.array([len(f) for f in items_]), [len(f) for _, f in items]
+        least_cosine = np.array([min(cosine, OF_EXPECTED * math.sqrt(len(f) / (CELL * window_cells(len(f))))) if len(f) else 2.0 for f in items_])
         known = [f.tolist() for _, f in items]
         for whole in batches:
             found = []
@@ -230,18 +245,20 @@ def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: flo
                 padded[np.repeat(first * CELL, n) + ranges(np.zeros(len(n), np.int64), n)] = f
                 cells = padded.reshape(total, CELL)
                 sums = np.zeros((total + 1, RANK), np.float32)
-                for c in range(CELL):
-                    sums[1:] += table[cells[:, c]]
-                sums = np.cumsum(sums, axis=0, dtype=np.float64)
+                np.take(table, cells[:, 0], axis=0, out=sums[1:], mode="clip")
+                for c in range(1, CELL):
+                    sums[1:] += np.take(table, cells[:, c], axis=0)
+                np.cumsum(sums, axis=0, out=sums)
                 end = np.repeat(first + count, count)
                 doc = np.repeat(np.arange(len(n)), count)
                 for w, ks in widths.items():
                     ks = np.array(ks)
                     stop = np.minimum(np.arange(total) + w, end)
-                    v = (sums[stop] - sums[:-1]).astype(np.float32)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-                    for at in range(0, total, 1 << 13):
-                        i, j = np.nonzero(v[at : at + (1 << 13)] @ z[ks].T >= cosine)
+                    mine = np.ascontiguousarray((z[ks] / least_cosine[ks, None]).T.astype(np.float32))
+                    for at in range(0, total, 1 << 12):
+                        v = sums[stop[at : at + (1 << 12)]] - sums[at : min(at + (1 << 12), total)]
+                        size = np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-30)
+                        i, j = np.nonzero(v @ mine >= size[:, None])
                         i, j = i + at, ks[j]
                         for lo in range(0, len(i), 1 << 14):
                             a, k = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
@@ -277,7 +294,7 @@ def answer_of(text: str) -> str:
 
 
 def _words(text: str) -> list[int]:
-    return words_of(*text_buffers(pa.array([text])), NOT_WORD)[0].tolist()
+    return _split(pa.array([text]))[0].tolist()
 
 
 def checker(items: dict[int, str], copied: float, paraphrased: float):
@@ -287,7 +304,7 @@ def checker(items: dict[int, str], copied: float, paraphrased: float):
         for whole in batches:
             rows = []
             for b in slices(whole, "text"):
-                words, _, _, ptr = words_of(*text_buffers(b.column("text")), NOT_WORD)
+                words, ptr = _split(b.column("text"))
                 for r, (doc, item, start, stop) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "item", "start", "stop")))):
                     part = words[ptr[r] + start : ptr[r] + stop].tolist()
                     whole_item, answer = known[item]
@@ -304,7 +321,7 @@ def checker(items: dict[int, str], copied: float, paraphrased: float):
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, copied: float = COPIED, paraphrased: float = PARAPHRASED) -> DataFrame:
     """(doc_id, item_id, overlap, answered): the benchmark items that a document holds.
 
-    ``overlap`` is the longest common subsequence of words (letters and digits, lower-cased in A-Z) over the item's words;
+    ``overlap`` is the longest common subsequence of words (letters and digits, lower-cased) over the item's words;
     ``answered`` whether the item's last sentence is there.  A document holds an item from ``copied`` on, or from ``paraphrased`` on with the answer.
     Items or texts that are null or have no word match nothing, nor does a row without doc_id; equal items each match; rows that
     share a doc_id count as one document.  Empty tables give no rows.
