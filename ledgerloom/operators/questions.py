@@ -78,8 +78,9 @@ def adjacent_similarity(t: Tables) -> DataFrame:
     return q.select("conv_id", "turn", F.round(jaccard(F.col("w"), F.col("b")), 6).alias("similarity"))
 
 
-def greedy_clusters(rows: pd.DataFrame, least: float = 0.3) -> pd.DataFrame:
+def greedy_clusters(rows: pd.DataFrame) -> pd.DataFrame:
     """Joins each question to the first cluster whose anchor is similar enough, in the order of asks.  Rows: key, asks, tokens."""
+    least = 0.3
     rows = rows.sort_values(["asks", "key"], ascending=[False, True])
     anchors: list[tuple[str, set]] = []
     out = []
