@@ -28,8 +28,8 @@ COMMON, COMMON_LEAST = 0.01, 200
 FEW = 5
 #: Cosine in the latent space from which a window is a candidate.
 COSINE = 0.55
-#: For a short item, whose window holds more besides: that share of the cosine to be expected, where it is less.
-OF_EXPECTED = 0.65
+#: Items of up to so many informative words have a lower one, as their windows hold more besides: that much lower at most.
+SHORT_ITEM, LOWER = (12, 20), 0.15
 #: Longest common subsequence over the item's words: enough alone, or together with the answer.
 COPIED, PARAPHRASED = 0.8, 0.6
 ANSWER = 0.8
@@ -226,7 +226,7 @@ def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: flo
         for k, f in enumerate(items_):
             has[k, f] = True
         sizes, lengths = np.array([len(f) for f in items_]), [len(f) for _, f in items]
-        least_cosine = np.array([min(cosine, OF_EXPECTED * math.sqrt(len(f) / (CELL * window_cells(len(f))))) if len(f) else 2.0 for f in items_])
+        least_cosine = np.array([cosine - LOWER * float(np.interp(len(f), SHORT_ITEM, (1, 0))) if len(f) else 2.0 for f in items_])
         known = [f.tolist() for _, f in items]
         for whole in batches:
             found = []
