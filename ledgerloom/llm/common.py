@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,36 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# ----------------------------------------------------------------------------- memory
+
+#: Rows of an Arrow batch of whole texts: two tasks' batches, on both sides of the pipe, must fit beside an executor's heap.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts to Python in batches of ``TEXT_ROWS`` rows, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+def released(kernel: Callable) -> Callable:
+    """A kernel that gives its memory back to the system when its task ends: workers live on between tasks."""
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return run
+
+
 # ----------------------------------------------------------------------------- words
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.

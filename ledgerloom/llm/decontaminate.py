@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, Scratch, mix, ranges, slices, text_buffers, words_of
+from .common import NOT_WORD, Scratch, mix, ranges, released, slices, text_batches, text_buffers, words_of
 
 FEATURES = 1 << 14
 RANK, OVERSAMPLE = 72, 8
@@ -47,6 +47,7 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, ptr
 
 
+@released
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, "text"):
@@ -81,6 +82,7 @@ def _passages(ptr: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat(first, n) + (ranges(np.zeros(len(n), np.int64), n) // PASSAGE), int(count.sum())
 
 
+@released
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, passages = np.zeros(FEATURES, np.int64), 0
     for whole in batches:
@@ -109,6 +111,7 @@ _BLOCK = 256
 def sketcher(idf: np.ndarray):
     informative, weight = idf > 0, idf.astype(np.float32)
 
+    @released
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """This task's share of A'A times the test matrix, as blocks of rows."""
         at, sign = random_signs(FEATURES, RANK + OVERSAMPLE)
@@ -213,6 +216,7 @@ def window_cells(n_words: int) -> int:
 
 
 def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: float, least: float):
+    @released
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.vstack([space, np.zeros((1, RANK), np.float32)])
         informative = space.any(1)
@@ -300,6 +304,7 @@ def _words(text: str) -> list[int]:
 def checker(items: dict[int, str], copied: float, paraphrased: float):
     known = {k: (_words(t), _words(answer_of(t))) for k, t in items.items()}
 
+    @released
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             rows = []
@@ -326,6 +331,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
     Items or texts that are null or have no word match nothing, nor does a row without doc_id; equal items each match; rows that
     share a doc_id count as one document.  Empty tables give no rows.
     """
+    text_batches(spark)
     scratch = Scratch(spark, "decontaminate")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     features = scratch.save(texts.mapInArrow(_features, "doc_id long, features binary"))

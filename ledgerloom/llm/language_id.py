@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, slices, text_buffers
+from .common import ranges, released, slices, text_batches, text_buffers
 
 #: Byte classes: 0 parts words (ASCII but letters), 1-26 the letters, 27-63 the folded bytes from 128 on.
 FOLD = np.zeros(256, np.int32)
@@ -47,6 +47,7 @@ def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def counter(languages: list[str]):
     known = {x: k for k, x in enumerate(languages)}
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * CODES, np.int64)
         for whole in batches:
@@ -161,6 +162,7 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def predictor(languages: list[str], model, text: bool = False):
+    @released
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for whole in batches:
@@ -180,6 +182,7 @@ def predictor(languages: list[str], model, text: bool = False):
 
 def learn(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities) from all rows (text, lang) of ``labelled``; rows with a null in either are left out."""
+    text_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     names = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r.lang for r in names)
@@ -202,6 +205,7 @@ def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: n
     A null text, an empty one and one without a letter are ``und`` with score 0, and so is everything where nothing was learned.  Equal
     texts get equal results; the first language by name wins ties.
     """
+    text_batches(spark)
     rows = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or text)
     return rows.mapInArrow(predictor(languages, spark.sparkContext.broadcast(model), text), f"{schema}, lang_pred string, score double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, ranges, slices, text_buffers, words_of
+from .common import Scratch, mix, ranges, released, slices, text_batches, text_buffers, words_of
 from .components import connected_components
 
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band with a probability of 3 in a million
@@ -93,6 +93,7 @@ SIGNED = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 
 
 def signer(width: int, bands: int, rows: int):
+    @released
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
@@ -110,6 +111,7 @@ def signer(width: int, bands: int, rows: int):
 
 
 def setter(width: int):
+    @released
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
@@ -132,6 +134,7 @@ def _sized(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+@released
 def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The upper halves of the hashes.  Two may fall together, so an intersection can only seem larger."""
     for b in batches:
@@ -197,6 +200,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     that share a doc_id are one document with several texts: they are linked, and each of its rows is kept or not alike.  A row
     without doc_id is linked with nothing, has no component and is kept.  An empty table gives an empty result.
     """
+    text_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = scratch.save(texts.mapInArrow(signer(width, bands, rows), SIGNED))
