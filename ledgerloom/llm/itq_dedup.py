@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import connected_components
 
-#: Rows that the rotation is learned on, at most: those whose ids have the least hashes.
+#: Rows that the rotation is learned on, about: a share by the hash of the id.
 SAMPLE = 20_000
 #: Vectors in a bucket, about; it sets the length of the substrings.
 IN_BUCKET = 512
@@ -137,7 +137,10 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
 
     models = {}
     for (dim,) in classes.select(F.size("embedding")).distinct().collect():  # a table has few dimensions
-        rows = classes.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toPandas()
+        share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+        rows = classes.where((F.size("embedding") == dim) & share).orderBy("rep").select("embedding").toPandas()
+        if not len(rows):  # a rare dimension that the share passed over
+            rows = classes.where(F.size("embedding") == dim).limit(SAMPLE).select("embedding").toPandas()
         x = _matrix(rows["embedding"])
         models[dim] = learn(x / np.linalg.norm(x, axis=1, keepdims=True), tables * bits)
 
