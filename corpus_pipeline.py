@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import decontaminate, language_id, minhash_dedup, mixing, secret_scan
 from ledgerloom.llm.common import Scratch
 
-#: Share of its main language below which a document is no text in one language.
-LEAST_SHARE = 0.4
+#: Share of its main language below which a document is no text in any; texts that mix a few languages stay.
+LEAST_SHARE = 0.2
 #: Ids to drop go to every executor up to so many; more meet the documents in a shuffle.
 BROADCAST_IDS = 1_000_000
 
