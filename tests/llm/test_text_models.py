@@ -262,6 +262,31 @@ def test_redaction_leaves_no_base_span(spark):
         assert (r.text is None) == (SECRETS[r.doc_id] is None) and base(r.text or "") == []
 
 
+def test_network_finds_kinds_that_no_pattern_has(spark):
+    r = np.random.default_rng(4)
+    draw = lambda alphabet, n: "".join(r.choice(list(alphabet), n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = lower + lower.upper() + digits
+    say = lambda n: " ".join(draw(lower, int(r.integers(2, 11))) for _ in range(n))
+    kinds = [lambda: "ghp_" + draw(mixed, 36), lambda: f"xoxb-{draw(digits, 11)}-{draw(digits, 12)}-{draw(mixed, 24)}", lambda: "sk-" + draw(mixed, 48), lambda: "eyJ" + draw(mixed, 60), lambda: draw(mixed + "+/", 43) + "="]
+    ids = [lambda: "/".join(say(5).split()) + "/part" + draw(digits, 4), lambda: "-".join(say(4).split()) + "-2024-05-17", lambda: "".join(x.title() for x in say(4).split()) + "Test", lambda: "_".join(say(4).split()) + "_v2"]
+    texts = [f'{say(20)} token = "{draw("0123456789abcdef", 40)}" {say(20)}' for _ in range(60)] + [say(40) for _ in range(200)]
+    planted, harmless = ([k() for _ in range(30) for k in of] for of in (kinds, ids))
+    at = len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts + [f"{say(6)} {x} {say(6)}" for x in planted + harmless])), "doc_id long, text string")
+    # what is to be found also occurs in the texts that the network learns from
+    rows = {x.doc_id: x for x in secret_scan.find_secrets(docs, secret_scan.fit(docs)).collect()}
+    found = [[("network" in rows[at + lo + k].spans) for k in range(n)] for lo, n in ((0, len(planted)), (len(planted), len(harmless)))]
+    assert np.mean(found[0]) >= 0.9 and min(np.mean(found[0][k :: len(kinds)]) for k in range(len(kinds))) >= 0.8
+    assert np.mean(found[1]) <= 0.05
+
+
+def test_a_candidate_that_a_pattern_covers_in_part_is_scored():
+    for text, want in (("see ghp_0123456789abcdef0XYZxyzQRSqrs now", 1), ("see 0123456789abcdef0 now", 0)):
+        _, s, _ = secret_scan.scan(*text_buffers(pa.array([text])))
+        assert len(s) == want
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
