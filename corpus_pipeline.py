@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import decontaminate, language_id, minhash_dedup, mixing, secret_scan
 from ledgerloom.llm.common import Scratch
 
-#: Share of its main language below which a document is no text in any; texts that mix a few languages stay.
-LEAST_SHARE = 0.2
+#: Log likelihood of a letter by which letters without order may explain a document better than languages do; beyond it is text in none of them.
+LEAST_EVIDENCE = -0.4
 #: Ids to drop go to every executor up to so many; more meet the documents in a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -24,12 +24,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters and a main language.  Learned from the documents' own labels; without labels nothing is judged."""
+    """Keeps documents with letters that the languages, or a mixture of them, explain.  Learned from the documents' own labels; without labels nothing is judged."""
     languages, model = language_id.learn(spark, docs)
     if not languages:
         return docs
-    judged = language_id.predict(spark, docs, languages, model, text=True)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    judged = language_id.predict(spark, docs, languages, model, text=True, evidence=True)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_EVIDENCE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

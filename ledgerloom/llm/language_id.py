@@ -2,7 +2,8 @@
 
 Each language has an interpolated trigram model over folded bytes, counted over every document that may be learned from.  A
 document is a mixture of languages; a word is drawn from one of them.  EM estimates the proportions; the set of languages
-grows while the likelihood gains more than the penalty (BIC).
+grows while the likelihood gains more than the penalty (BIC).  What that mixture explains worse than letters without order do is text in
+none of the languages, however many there are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ FOLD[128:] = 27 + np.arange(128) % 37
 CODES = 64**3
 #: Languages that a model holds at most (the most frequent ones); a label beyond is not learned.
 MOST_LANGUAGES = 256
+#: Share of the background's probability that is spread evenly over the byte classes; the rest follows how often they occur.
+EVEN = 0.1
+#: Letters without evidence that every text has besides its own, so that a short one needs more.
+PRIOR_LETTERS = 8
 #: Rounds of EM for the ranking of languages and for each set that is tried.
 RANK_ROUNDS, SET_ROUNDS = 4, 6
 #: Bytes for which likelihoods are looked up at once.
@@ -78,6 +83,13 @@ def fit(counts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.log(p3).reshape(len(n), CODES).T.astype(np.float32))
 
 
+def background(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities (codes x 1) of a byte class by itself, over all languages."""
+    n = counts.reshape(-1, 64).sum(0)
+    p = (1 - EVEN) * n / max(n.sum(), 1) + EVEN / 64
+    return np.tile(np.log(p).astype(np.float32), CODES // 64)[:, None]
+
+
 def _by_text(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sums of the rows of each text."""
     out = np.zeros((len(ptr) - 1, *values.shape[1:]))
@@ -119,8 +131,8 @@ def _em(p: np.ndarray, ptr: np.ndarray, theta: np.ndarray, rounds: int) -> tuple
     return theta, _by_text(np.log(s), ptr)
 
 
-def infer(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(language, its proportion) of each text: the largest share within the set that the penalised likelihood selects."""
+def infer(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, its proportion, the mixture's log likelihood) of each text: the largest share within the set that the penalised likelihood selects."""
     n, langs = np.diff(ptr), words.shape[1]
     top = words.max(1, keepdims=True) if len(words) else words
     p = np.exp(np.maximum(words - top, -40))
@@ -128,8 +140,9 @@ def infer(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = alone.argmax(1)
     like = alone[np.arange(len(n)), best]
     share = np.ones(len(n))
+    scale = _by_text(top, ptr)[:, 0]
     if langs == 1:
-        return best, share
+        return best, share, like + scale
     theta, _ = _em(p, ptr, np.full((len(n), langs), 1 / langs), RANK_ROUNDS)
     theta[np.arange(len(n)), best] += 1  # the best one alone comes first
     order = np.argsort(-theta, axis=1, kind="stable")
@@ -149,7 +162,7 @@ def infer(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best[texts] = chosen[grew, t[grew].argmax(1)]
         share[texts] = t[grew].max(1)
         live = texts
-    return best, share
+    return best, share, like + scale
 
 
 def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -161,7 +174,7 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def predictor(languages: list[str], model, text: bool = False):
+def predictor(languages: list[str], model, text: bool = False, evidence: bool = False):
     @released
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -170,18 +183,27 @@ def predictor(languages: list[str], model, text: bool = False):
                 buf, off = text_buffers(b.column("text"))
                 sure = has_letter(buf, off)
                 if languages:
-                    best, share = infer(*word_likelihoods(buf, off, table))
+                    words, ptr = word_likelihoods(buf, off, table)
+                    known = len(languages)
+                    best, share, like = infer(words[:, :known], ptr)
+                    if evidence:
+                        letters = np.concatenate(([0], np.cumsum(FOLD[buf] > 0)))
+                        gain = (like - _by_text(words[:, known:], ptr)[:, 0]) / (letters[off[1:]] - letters[off[:-1]] + PRIOR_LETTERS)
                     names = [languages[k] if ok else "und" for k, ok in zip(best, sure)]
                 else:
-                    names, share = ["und"] * b.num_rows, np.zeros(b.num_rows)
+                    names, share, gain = ["und"] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
                 keep = [c for c in b.schema.names if c != "text" or text]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(sure, np.clip(share, 0, 1), 0.0))], [*keep, "lang_pred", "score"])
+                more = [pa.array(gain)] if evidence else []
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(sure, np.clip(share, 0, 1), 0.0)), *more], [*keep, "lang_pred", "score", *["evidence"] * evidence])
 
     return predict
 
 
 def learn(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities) from all rows (text, lang) of ``labelled``; rows with a null in either are left out."""
+    """(languages, log probabilities) from all rows (text, lang) of ``labelled``; rows with a null in either are left out.
+
+    The last column is the background's.
+    """
     text_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     names = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
@@ -192,23 +214,24 @@ def learn(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], np.ndarr
     n = rows.mapInArrow(counter(languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * CODES)
     counts[n.key.to_numpy()] = n.n.to_numpy()
-    return languages, fit(counts)
+    return languages, np.hstack((fit(counts), background(counts)))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: np.ndarray, text: bool = False) -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: np.ndarray, text: bool = False, evidence: bool = False) -> DataFrame:
     """``docs`` with lang_pred and score for every row, from its whole text alone; the text itself only if ``text`` says so.
 
     A null text, an empty one and one without a letter are ``und`` with score 0, and so is everything where nothing was learned.  Equal
-    texts get equal results; the first language by name wins ties.
+    texts get equal results; the first language by name wins ties.  ``evidence`` adds a column of that name: how much more likely (natural
+    logarithm, by letter) the languages make the whole text than the background does.
     """
     text_batches(spark)
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop("lang_pred", "score", *["evidence"] * evidence)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or text)
-    return rows.mapInArrow(predictor(languages, spark.sparkContext.broadcast(model), text), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(predictor(languages, spark.sparkContext.broadcast(model), text, evidence), f"{schema}, lang_pred string, score double" + ", evidence double" * evidence)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

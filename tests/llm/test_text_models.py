@@ -1,5 +1,6 @@
 """Operators 2, 4, 5, 6, 10 and the pipeline."""
 
+import base64
 import hashlib
 import html
 import re
@@ -51,6 +52,22 @@ def test_mixture_takes_the_larger_language(spark):
     assert got[7] == ("en", 1.0)
 
 
+def test_pipeline_drops_what_no_language_explains(spark):
+    import corpus_pipeline as c
+
+    r = np.random.default_rng(2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    two = docs.where("lang = 'en' and length(text) > 300").limit(1).collect()[0].text[:300] + " " + docs.where("lang = 'de' and length(text) > 300").limit(1).collect()[0].text[:300]
+    junk = ["".join(r.choice(list("asdfghjklqwertzuiop "), 200)), base64.b64encode(r.bytes(150)).decode(), "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "1234 !?", "", None]
+    more = spark.createDataFrame([(-k, t, None) for k, t in enumerate([*junk, two], 1)], docs.schema)
+    got = {x.doc_id for x in c.language(spark, docs.unionByName(more), SMALL).collect()}
+    letters = {x.doc_id for x in docs.collect() if re.search(r"[^\W\d_]", x.text or "")}
+    assert got == letters | {-len(junk) - 1}
+    # what the languages do not explain has no more standing where one is learned alone
+    got = {x.doc_id for x in c.language(spark, docs.where("lang = 'en'").unionByName(more), SMALL).collect()}
+    assert not got & {-k for k in range(1, len(junk) + 1)} and len([x for x in got if x > 0]) >= 0.98 * docs.where("lang = 'en'").count()
+
+
 def test_language_of_awkward_rows(spark, awkward, nothing):
     languages, model = language_id.learn(spark, awkward)
     assert language_id.predict(spark, awkward, languages, model).count() == awkward.count()
