@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The texts' words are hashed to features.  A randomised SVD of the TF-IDF matrix of all passages gives a latent space; every
-window of every text is compared there with every benchmark item of its length by cosine.  What comes near is checked by the longest
+window of every text is compared there with every benchmark item of its length by cosine.  Beside that, runs of words that an item or its
+answer shares with a text are joined exactly, whatever the latent space says.  Each place is checked by the longest
 common subsequence of words, and, where that is only moderate, by whether the item's answer (its last sentence) is there.
 """
 
@@ -33,6 +34,8 @@ SHORT_ITEM, LOWER = (12, 20), 0.15
 #: Longest common subsequence over the item's words: enough alone, or together with the answer.
 COPIED, PARAPHRASED = 0.8, 0.6
 ANSWER = 0.8
+#: Words of a run that is joined exactly, at most.
+RUN = 3
 #: Items that are searched for at once; more are searched for in blocks.
 ITEM_BLOCK = 20_000
 BROADCAST_IDS = 1_000_000
@@ -215,7 +218,104 @@ def window_cells(n_words: int) -> int:
     return -(-(n_words + CELL - 1) // CELL)
 
 
-def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: float, least: float):
+def run_length(n_words: int) -> int:
+    """Words in a row that are left of n when a fifth of them is replaced or dropped, wherever; ``RUN`` at most, 0 for less than two words."""
+    gone = n_words - math.ceil(COPIED * n_words - 1e-9)
+    return min(RUN, -(-(n_words - gone) // (gone + 1))) if n_words > 1 else 0
+
+
+def _runs(f: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of so many words, by its first word."""
+    n = max(0, len(f) - width + 1)
+    out = np.full(n, width, np.int64)
+    for k in range(width):
+        out = out * FEATURES + f[k : k + n]
+    return out
+
+
+_BITS = 22
+
+
+def _short(runs: np.ndarray) -> np.ndarray:
+    return (runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
+
+
+class Joined:
+    """Runs of the items' words, and of their answers', to meet those of texts."""
+
+    def __init__(self, items: list[np.ndarray], answers: list[np.ndarray]):
+        parts: dict[int, list] = {}
+        for k, (f, a) in enumerate(zip(items, answers)):
+            for words, shift in ((f, 0), (a, len(f) - len(a))):
+                if width := run_length(len(words)):
+                    r = _runs(words, width)
+                    parts.setdefault(width, []).append(np.stack((r, np.full(len(r), k), shift + np.arange(len(r)))))
+        self.by_width = {}
+        for width, found in parts.items():
+            runs, item, at = np.unique(np.concatenate(found, 1), axis=1)
+            maybe = np.zeros(1 << _BITS, bool)
+            maybe[_short(runs)] = True
+            self.by_width[width] = (runs, item, at, maybe)
+
+    def meet(self, every: np.ndarray, start_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, where its first word would stand, text), distinct."""
+        keys = [np.zeros((3, 0), np.int64)]
+        for width, (runs, item, at, maybe) in self.by_width.items():
+            mine = _runs(every.astype(np.int64), width)
+            place = np.flatnonzero(maybe[_short(mine)])
+            lo, hi = (np.searchsorted(runs, mine[place], side) for side in ("left", "right"))
+            # within one text
+            n = np.where(np.searchsorted(start_of, place, "right") == np.searchsorted(start_of, place + width - 1, "right"), hi - lo, 0)
+            x = ranges(lo, n)
+            keys.append(np.stack((item[x], np.repeat(place, n) - at[x], np.repeat(place, n))))
+        item, first, place = np.concatenate(keys, 1)
+        doc = np.searchsorted(start_of, place, "right") - 1
+        item, first, doc = np.unique(np.stack((item, first, doc)), axis=1)
+        return item, first, doc
+
+
+#: Items whose words have a table of places; those of more are searched in a list.
+TABLE_ITEMS = 1024
+
+
+class Bound:
+    """The words of an item, with their number, that occur in a stretch of text at all: no common subsequence is longer."""
+
+    def __init__(self, items: list[np.ndarray]):
+        parts = [np.unique(f, return_counts=True) for f in items]
+        sizes = [len(f) for f, _ in parts]
+        self.most = max(sizes)
+        self.keys = np.concatenate([k * FEATURES + f for k, (f, _) in enumerate(parts)])
+        self.slots = ranges(np.zeros(len(sizes), np.int64), np.array(sizes)).astype(np.int32)
+        self.counts = np.zeros((len(items), self.most), np.int32)
+        self.counts[self.keys // FEATURES, self.slots] = np.concatenate([n for _, n in parts])
+        self.table = None
+        if len(items) <= TABLE_ITEMS:
+            self.table = np.full(len(items) * FEATURES, -1, np.int32)
+            self.table[self.keys] = self.slots
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[key]
+        x = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[x] == key, self.slots[x], -1)
+
+    def of(self, every: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(item), np.int64), 0
+        sizes = np.cumsum(hi - lo)
+        while at < len(item):
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 18), "right"))
+            to = max(at + 1, min(to, at + (1 << 22) // self.most))
+            n, k = (hi - lo)[at:to], item[at:to]
+            slot = self._slot(np.repeat(k * FEATURES, n) + every[ranges(lo[at:to], n)])
+            flags = np.zeros((to - at) * (self.most + 1), bool)  # the last column is for words that the item doesn't have
+            flags[np.repeat(np.arange(1, to - at + 1) * (self.most + 1), n) - np.where(slot < 0, 1, self.most + 1 - slot)] = True
+            out[at:to] = np.einsum("ij,ij->i", flags.reshape(to - at, -1)[:, : self.most], self.counts[k])
+            at = to
+        return out
+
+
+def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], answers: list[np.ndarray], cosine: float, least: float):
     @released
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.vstack([space, np.zeros((1, RANK), np.float32)])
@@ -223,19 +323,38 @@ def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: flo
         items_ = [f[informative[f]] for _, f in items]
         widths: dict[int, list[int]] = {}
         for k, f in enumerate(items_):
-            widths.setdefault(window_cells(len(f)), []).append(k)
+            if len(f):
+                widths.setdefault(window_cells(len(f)), []).append(k)
         z = np.stack([space[f].sum(0) for f in items_])
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-30)
-        has = np.zeros((len(items), FEATURES + 1), bool)
-        for k, f in enumerate(items_):
-            has[k, f] = True
-        sizes, lengths = np.array([len(f) for f in items_]), [len(f) for _, f in items]
-        least_cosine = np.array([cosine - LOWER * float(np.interp(len(f), SHORT_ITEM, (1, 0))) if len(f) else 2.0 for f in items_])
-        known = [f.tolist() for _, f in items]
+        lengths = np.array([len(f) for _, f in items])
+        least_cosine = np.array([cosine - LOWER * float(np.interp(len(f), SHORT_ITEM, (1, 0))) for f in items_])
+        known, known_answers = [f.tolist() for _, f in items], [f.tolist() for f in answers]
+        joined, bound = Joined([f for _, f in items], answers), Bound([f for _, f in items])
         for whole in batches:
-            found = []
+            best: dict = {}
             for b in _parts(whole):
                 every, start_of = _unpack(b)
+                if not len(every):
+                    continue
+                ids = b.column("doc_id").to_pylist()
+
+                def check(item: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+                    """Keeps the best stretch of each text and item, and the best with the answer."""
+                    for x in np.flatnonzero(bound.of(every, item, lo, hi) >= least * lengths[item]):
+                        k, d, from_, to = int(item[x]), int(doc[x]), int(lo[x]), int(hi[x])
+                        part = every[from_:to].tolist()
+                        ratio = lcs(known[k], part) / len(known[k])
+                        if ratio >= least:
+                            for answered in (False, True):
+                                key = (ids[d], items[k][0], answered)
+                                if (key not in best or best[key][0] < ratio) and (not answered or known_answers[k] and lcs(known_answers[k], part) >= ANSWER * len(known_answers[k])):
+                                    best[key] = (ratio, from_ - int(start_of[d]), to - int(start_of[d]))
+
+                k, at, d = joined.meet(every, start_of)
+                # where the item would stand and as many words around it as it has
+                check(k, d, np.maximum(at - lengths[k], start_of[d]), np.minimum(at + 2 * lengths[k], start_of[d + 1]))
+
                 place = np.flatnonzero(informative[every])  # of the informative words
                 f, ptr = every[place], np.searchsorted(place, start_of)
                 n = np.diff(ptr)
@@ -263,29 +382,14 @@ def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], cosine: flo
                         v = sums[stop[at : at + (1 << 12)]] - sums[at : min(at + (1 << 12), total)]
                         size = np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-30)
                         i, j = np.nonzero(v @ mine >= size[:, None])
-                        i, j = i + at, ks[j]
-                        for lo in range(0, len(i), 1 << 14):
-                            a, k = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
-                            places = np.minimum(a[:, None] * CELL + np.arange(w * CELL), len(padded) - 1)
-                            words = np.where(a[:, None] * CELL + np.arange(w * CELL) < end[a][:, None] * CELL, padded[places], FEATURES)
-                            shared = has[k[:, None], words].sum(1)
-                            for x in np.flatnonzero(shared >= least * sizes[k]):
-                                d, item = int(doc[a[x]]), int(k[x])
-                                # the window's words and as many around it as the item has
-                                from_ = int(ptr[d]) + (int(a[x]) - int(first[d])) * CELL
-                                to = min(from_ + w * CELL, int(ptr[d + 1])) - 1
-                                lo_ = max(int(place[from_]) - lengths[item], int(start_of[d]))
-                                hi = min(int(place[to]) + lengths[item], int(start_of[d + 1]))
-                                got = lcs(known[item], every[lo_:hi].tolist())
-                                if got >= least * lengths[item]:
-                                    found.append((d, item, got / lengths[item], lo_ - int(start_of[d]), hi - int(start_of[d]), b))
-            # the best window of each text and item
-            best: dict = {}
-            for d, item, ratio, lo_, hi, b in found:
-                key = (b.column("doc_id")[d].as_py(), items[item][0])
-                if key not in best or best[key][0] < ratio:
-                    best[key] = (ratio, lo_, hi)
-            rows = [(*k, v[1], v[2]) for k, v in best.items()]
+                        if len(i):
+                            a, k = i + at, ks[j]
+                            d = doc[a]
+                            # the window's words and as many around it as the item has
+                            from_ = ptr[d] + (a - first[d]) * CELL
+                            to = np.minimum(from_ + w * CELL, ptr[d + 1]) - 1
+                            check(k, d, np.maximum(place[from_] - lengths[k], start_of[d]), np.minimum(place[to] + lengths[k], start_of[d + 1]))
+            rows = sorted({(doc_id, item, *v[1:]) for (doc_id, item, _), v in best.items()})
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["doc_id", "item", "start", "stop"])
 
     return search
@@ -344,8 +448,9 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
         if not items:
             continue
         feats = [(k, (np.array(w, np.uint64) >> np.uint64(50)).astype(np.int64)) for k, w in items]
+        answers = [(np.array(_words(answer_of(rows[k].text)), np.uint64) >> np.uint64(50)).astype(np.int64) for k, _ in items]
         space = latent_space(features, [f for _, f in feats])
-        near = scratch.save(features.mapInArrow(searcher(space, feats, cosine, paraphrased), "doc_id long, item long, start long, stop long"))
+        near = scratch.save(features.mapInArrow(searcher(space, feats, answers, cosine, paraphrased), "doc_id long, item long, start long, stop long"))
         few = near.count() <= BROADCAST_IDS
         known = {k: rows[k].text for k, _ in items}
         found = texts.join(F.broadcast(near) if few else near, "doc_id").select("doc_id", "text", "item", "start", "stop").mapInArrow(checker(known, copied, paraphrased), "doc_id long, item long, overlap double, answered boolean")

@@ -119,6 +119,44 @@ def test_paraphrase_needs_its_answer(spark):
     assert got == {(100, 1, True), (101, 1, True)}
 
 
+def test_items_of_mostly_common_words_are_found(spark):
+    r = np.random.default_rng(8)
+    common = ["c" + "".join(r.choice(list("abcdefghij"), 4)) for _ in range(40)]
+    rare = lambda: "r" + "".join(r.choice(list("klmnopqrst"), 7))
+    say = lambda n: [str(r.choice(common)) if r.random() < 0.8 else rare() for _ in range(n)]
+    items, docs, want = [], [(k, " ".join(say(200))) for k in range(300)], set()
+    for k in range(60):
+        # five informative words of fifteen
+        item = [str(x) for x in r.choice(common, 15, replace=False)]
+        content = [1, 4, 7, 10, 13]
+        for x in content:
+            item[x] = rare()
+        items.append((k, " ".join(item)))
+        copy = list(item)
+        for x in content[1:4] if k % 2 else r.choice(15, 3, replace=False):
+            copy[x] = rare()
+        at = 1000 + k
+        docs.append((at, " ".join(say(60) + copy + say(60))))
+    want = {(d, k) for d, t in docs if d >= 1000 for k, item in items if decontaminate.lcs(item.split(), t.split()[60:75]) >= 0.8 * 15}
+    assert {(1000 + k, k) for k in range(60)} <= want
+    got = decontaminate.contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert want <= {(x.doc_id, x.item_id) for x in got.collect()}
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_bound_and_runs(monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "TABLE_ITEMS", few)
+    r = np.random.default_rng(5)
+    items = [r.integers(0, 9, n) for n in (4, 9, 15)]
+    every = r.integers(0, 9, 300)
+    k, lo = r.integers(0, 3, 80), r.integers(0, 250, 80)
+    hi = lo + r.integers(1, 50, 80)
+    got = decontaminate.Bound(items).of(every, k, lo, hi)
+    assert got.tolist() == [sum(int(x) in every[a:z] for x in items[i]) for i, a, z in zip(k, lo, hi)]
+    assert all(g >= decontaminate.lcs(items[i].tolist(), every[a:z].tolist()) for g, i, a, z in zip(got, k, lo, hi))
+    assert [decontaminate.run_length(n) for n in (0, 1, 2, 5, 6, 10, 15, 40)] == [0, 0, 2, 2, 3, 3, 3, 3]
+
+
 def test_contamination_of_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.contamination(spark, awkward, bench).collect()} == {1, 2}
