@@ -26,6 +26,10 @@ SAMPLE = 20_000
 IN_BUCKET = 512
 #: Chance that a pair at the threshold meets in some table; it sets their number.
 RECALL = 0.998
+#: Tables beyond which shorter substrings, and so larger buckets, keep the recall.
+MOST_TABLES = 64
+#: Share of the sample that may lie nearer to the mean than the plan allows for.
+NEAR_MEAN = 0.01
 #: Rows of a tile: a larger bucket is compared tile by tile, in as many tasks.
 TILE = 2048
 
@@ -48,11 +52,20 @@ def learn(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> tuple[np
     return mean, np.hstack(blocks)
 
 
-def plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """(tables, bits of a table) for n vectors."""
+def nearness(x: np.ndarray) -> float:
+    """Squared distance from the mean of unit vectors that all but ``NEAR_MEAN`` of them have at least."""
+    return float(np.quantile(((x - x.mean(0)) ** 2).sum(1), NEAR_MEAN)) if len(x) > 1 else 1.0
+
+
+def plan(n: int, threshold: float, recall: float = RECALL, radius2: float = 1.0) -> tuple[int, int]:
+    """(tables, bits of a table) for n unit vectors, at the squared distance ``radius2`` from the mean that codes are signs about."""
     bits = max(1, min(30, round(math.log2(max(n, 2) / IN_BUCKET)))) if n > 2 * IN_BUCKET else 1
-    same = 1 - math.acos(threshold) / math.pi
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits))), bits
+    # the nearer to the mean, the wider is the angle between two vectors as seen from there
+    same = 1 - math.acos(max(0.0, 1 - (1 - threshold) / max(min(radius2, 1.0), 1e-9))) / math.pi
+    count = lambda: max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same**bits, 1 - 1e-12))))
+    while bits > 1 and count() > MOST_TABLES:
+        bits -= 1
+    return count(), bits
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -133,16 +146,16 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     classes = v.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding"))
     classes = scratch.save(classes)
     n = classes.count()
-    tables, bits = plan(n, threshold)
-
-    models = {}
+    samples = {}
     for (dim,) in classes.select(F.size("embedding")).distinct().collect():  # a table has few dimensions
         share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
         rows = classes.where((F.size("embedding") == dim) & share).orderBy("rep").select("embedding").toPandas()
         if not len(rows):  # a rare dimension that the share passed over
             rows = classes.where(F.size("embedding") == dim).limit(SAMPLE).select("embedding").toPandas()
         x = _matrix(rows["embedding"])
-        models[dim] = learn(x / np.linalg.norm(x, axis=1, keepdims=True), tables * bits)
+        samples[dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tables, bits = plan(n, threshold, radius2=min(map(nearness, samples.values()), default=1.0))
+    models = {dim: learn(x, tables * bits) for dim, x in samples.items()}
 
     kind = classes.schema["embedding"].dataType.simpleString()
     coded = classes.select("rep", "weight", "embedding").mapInArrow(coder(models, tables, bits), f"rep long, weight long, embedding {kind}, codes array<long>")

@@ -141,3 +141,19 @@ def test_awkward_vectors(spark):
     assert got[1] == [(3, 1, True)] and got[2] == [(3, 1, False)] and got[10] == [(3, 1, False)] * 2
     assert all(got[k] == [(0, k, True)] for k in (3, 4, 5, 6, 7, 8, 9)) and got[None] == [(0, None, True)]
     assert itq_dedup.near_duplicate_vectors(spark, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 2000])
+def test_links_are_found_beside_a_large_common_mean(spark, monkeypatch, n):
+    monkeypatch.setattr(itq_dedup, "IN_BUCKET", 32)
+    r = np.random.default_rng(6)
+    unit = lambda: (v := r.standard_normal((n, 63))) / np.linalg.norm(v, axis=1, keepdims=True)
+    a, b = unit(), unit()
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = (0.951 - 0.7) / 0.3  # pairs of cosine 0.951, of which the common part is 0.7
+    x = np.concatenate((a, near * a + np.sqrt(1 - near**2) * b))
+    x = np.hstack((np.full((2 * n, 1), np.sqrt(0.7)), np.sqrt(0.3) * x))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = itq_dedup.near_duplicate_vectors(spark, df).toPandas().set_index("vec_id")
+    assert (got.n_links >= 1).mean() >= 0.99
