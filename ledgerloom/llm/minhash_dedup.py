@@ -25,7 +25,7 @@ BROADCAST_IDS = 1_000_000
 #: Rounds with leaders before what remains is compared in tiles.
 LEADER_ROUNDS = 2
 #: Members and shingles of a tile.
-TILE_ROWS, TILE_ITEMS = 1024, 4_000_000
+TILE_ROWS, TILE_ITEMS = 1024, 2_000_000
 _K = np.uint64(0xD6E8FEB86659FD93)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,26 +134,16 @@ def _sized(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-@released
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The upper halves of the hashes.  Two may fall together, so an intersection can only seem larger."""
-    for b in batches:
-        x = b.column("items")
-        off = x.offsets.to_numpy()
-        half = (x.values.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([half[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], ["rep", "half"])
-
-
 def _crosser(percent: int):
     def cross(group: pa.Table) -> pa.Table:
-        """Of each member and other component that seem linked, the pair that seems most similar."""
+        """Of each member and other component that are linked, the pair that is most similar."""
         g = group.combine_chunks()
         rep, component, tile, left, right = (g.column(c).to_numpy() for c in ("rep", "component", "tile", "left", "right"))
         _, where = np.unique(component, return_inverse=True)
-        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in g.column("half")]
-        n = np.array([len(x) for x in sets])
+        items = g.column("items").combine_chunks() if isinstance(g.column("items"), pa.ChunkedArray) else g.column("items")
+        n = np.diff(items.offsets.to_numpy())
         rows = np.repeat(np.arange(len(rep)), n)
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        _, column = np.unique(items.flatten().to_numpy(), return_inverse=True)
         order = np.argsort(column, kind="stable")
         rows, column = rows[order], column[order]
         # every pair of two components has an end outside the largest one
@@ -161,7 +151,7 @@ def _crosser(percent: int):
         out = ([], [])
         for at in range(0, len(small), 256):
             part = small[at : at + 256]
-            both = np.zeros((len(part), len(rep)), np.float32)
+            both = np.zeros((len(part), len(rep)))
             for c in range(0, int(column[-1]) + 1, 4096):
                 lo, hi = np.searchsorted(column, [c, c + 4096])
                 m = np.zeros((len(rep), 4096), np.float32)
@@ -184,11 +174,10 @@ def _crosser(percent: int):
 
 
 def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that seem similar enough; at most one per member, bucket and other component."""
+    """Pairs (a, b) of different components in one bucket that are similar enough; at most one per member, bucket and other component."""
     rows = members.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("bucket", "rep", "component", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
-    half = sets.join(members.select("rep").distinct(), "rep", "left_semi").mapInArrow(_halved, "rep long, half binary")
-    return rows.join(half, "rep").groupBy("bucket", "left", "right").applyInArrow(_crosser(percent), "a long, b long")
+    return rows.join(sets, "rep").groupBy("bucket", "left", "right").applyInArrow(_crosser(percent), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -3,7 +3,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import itq_dedup, minhash_dedup
 from ledgerloom.llm.common import Scratch
@@ -157,3 +159,40 @@ def test_links_are_found_beside_a_large_common_mean(spark, monkeypatch, n):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = itq_dedup.near_duplicate_vectors(spark, df).toPandas().set_index("vec_id")
     assert (got.n_links >= 1).mean() >= 0.99
+
+
+def test_crosser_keeps_a_link_whose_hashes_share_their_upper_halves():
+    items = [(1 << 40) + 1, (1 << 40) + 2, *((k << 40) for k in range(3, 11))]
+    group = pa.table({"rep": [1, 2], "component": [1, 2], "tile": pa.array([0, 0], pa.int32()), "left": [0, 0], "right": [0, 0], "items": pa.array([items, items[:8]], pa.list_(pa.int64()))})
+    assert minhash_dedup._crosser(80)(group).to_pylist() == [{"a": 1, "b": 2}]
+    fewer = group.set_column(5, "items", pa.array([items, items[:7]], pa.list_(pa.int64())))
+    assert minhash_dedup._crosser(80)(fewer).num_rows == 0
+
+
+def test_class_hashes_do_not_follow_from_one_another(spark):
+    x = F.array(F.lit(1.5), F.lit(2.5))
+    a, b, chained = spark.range(1).select(F.xxhash64(x), F.xxhash64(F.lit(1), x), F.xxhash64(x, F.lit(1))).first()
+    assert len({a, b, chained}) == 3
+    # a hash of (e, 1) starts where the hash of e ends; that of (1, e) reads e from another seed
+    y = F.array(F.lit(2.5), F.lit(1.5))
+    assert spark.range(1).select(F.xxhash64(F.lit(1), y)).first()[0] != b
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [1e300, 2e300]), (4, [-1e-310, 2e-310]), (5, [5e-324, 0.0]), (6, [1e308, 0.0])]
+    got = itq_dedup.near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def test_hamming_radius_holds_pairs_at_the_threshold():
+    r = np.random.default_rng(3)
+    x = itq_dedup.unit(r.standard_normal((3000, 32)) @ np.diag(np.linspace(0.2, 2, 32)))
+    model = itq_dedup.learn(x, 200)
+    within = itq_dedup.radius(x, model, 0.95, 4000)
+    assert 20 < within < 80
+    a = x[:1500]
+    to = r.standard_normal(a.shape)
+    to = itq_dedup.unit(to - (to * a).sum(1, keepdims=True) * a)
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * to
+    code = lambda v: (v - model[0]) @ model[1] >= 0
+    assert ((code(a) != code(b)).sum(1) <= within).all()
