@@ -215,7 +215,7 @@ def test_templates_alone_find_most_labelled_blocks():
     for source in html_extract.templates():
         page = html_extract.Page(source, labelled=True)
         p = model.marginals([page])
-        for k, _ in page.pieces:
+        for k, _ in (x for piece in page.pieces for x in piece):
             right += (p[k] >= 0.5) == page.marks[k]
             total += 1
     assert right / total > 0.97
@@ -229,7 +229,7 @@ def test_marginals_equal_enumeration():
     weight, content = 0.0, np.zeros(n)
     for labels in itertools.product((0, 1), repeat=n):
         w = model.root[labels[0]] + sum(model.emit[f, labels[k]] for k in range(n) for f in html_extract._features(page, k))
-        w += sum(model.edge[html_extract._feature(f"edge {page.tags[k]}"), labels[page.parents[k]], labels[k]] for k in range(1, n))
+        w += sum(model.edge[html_extract._edge(page.tags[k]), labels[page.parents[k]], labels[k]] for k in range(1, n))
         weight += np.exp(w + 100)
         content += np.exp(w + 100) * np.array(labels)
     assert np.allclose(model.marginals([page]), content / weight)
@@ -244,6 +244,33 @@ def test_awkward_pages(spark):
     assert html_extract.main_text(df.limit(0), html_extract.fit()).count() == 0
 
 
+def test_quotes_without_end_and_inline_adverts(spark):
+    long_ = "A sentence of the article, with some words in it. " * 4
+    page = lambda body: f"<html><body><nav><ul><li><a href=/a>a</a></li></ul></nav><article><h1>Head</h1><p>{long_}</p>{body}<p>{long_}</p></article></body></html>"
+    bodies = ['<p class="x>Second, with words.</p>', '<p class="x>Second "quoted" words.</p><p class="y">Third one.</p>', "<p title='x>It\u2019s so.</p>", '<p>One <span class="advert">Buy now cheap</span> two <span class="name">Ada <span>L.</span> B.</span> three.</p>', '<p>a &lt; b <b title="x > y">c</b></p>', '<p>One</p><p class="cut', '<p class="a"id="b">Close.</p>']
+    rows = [(k, page(b)) for k, b in enumerate(bodies)] * 2 + [(99, page("<p>" + long_ * 20_000 + "</p>"))]
+    got = {}
+    for r in html_extract.main_text(spark.createDataFrame(rows, "page_id int, html string"), html_extract.fit()).collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    frame = lambda *x: "\n\n".join(["Head", long_.strip(), *x, long_.strip()])
+    assert all(x[0] == x[1] for k, x in got.items() if k < 99)
+    assert got[0][0] == frame("Second, with words.") and got[1][0] == frame('Second "quoted" words.', "Third one.") and got[2][0] == frame("It\u2019s so.")
+    assert got[3][0] == frame("One two Ada L. B. three.") and got[4][0] == frame("a < b c") and got[6][0] == frame("Close.")
+    assert "<" not in got[5][0] and "class" not in got[5][0] and got[99][0] == frame((long_ * 20_000).strip())
+
+
+def test_training_pages_are_bounded_whatever_repeats(spark):
+    df = spark.range(3000).select(F.lit("<article><p>Same page, many times.</p></article>").alias("html")).unionByName(spark.range(50).select(F.concat(F.lit("<article><p>Page "), "id", F.lit("</p></article>")).alias("html")))
+    seen = []
+    original = html_extract.labels_of
+    html_extract.labels_of = lambda page: seen.append(1) or original(page)
+    try:
+        html_extract.fit(df, 100)
+    finally:
+        html_extract.labels_of = original
+    assert len(seen) <= 51
+
+
 # ------------------------------------------------------------------ 10
 
 
