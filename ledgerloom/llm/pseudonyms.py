@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms: validated numbers and dates permuted by a keyed Feistel network within their format.
 
 Only DataFrame functions run here.  A value becomes another valid value of the same format; equal values become equal ones in every document,
-whatever their punctuation; without the key the permutation isn't known.
+whatever their punctuation; without the key the permutation isn't known, so whoever runs the job must give one.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Steps after which a walk has come back into its range, but for a chance of one in 10^14.
+WALK = 100
 #: Dates are permuted among the days of these years.
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
@@ -17,9 +19,11 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 MAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=[A-Za-z0-9])"
 IP = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
-PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}([ .-])\d{3}\1\d{4}(?![ .-]?\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?!\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
+# The calling codes of one and of two digits; every other one has three.
+CALLING = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = rf"(?<![A-Za-z0-9_])(?:{MAIL}|{IP}|{DATE}|{SOCIAL}|{PHONE}|{CARD})"
 
 
@@ -71,14 +75,15 @@ def _permute_card(digits: Column, key: Column) -> Column:
     return F.transform(F.array(body), lambda x: F.concat(x, F.pmod(10 - luhn_sum(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string")))[0]
 
 
-def _walk(value: Column, digits: int, below: int, key: Column) -> Column:
-    """A keyed permutation of 0 .. below - 1: the network on digit strings, again while it leaves the range."""
+def _walk(value: Column, digits: int, below: int, key: Column, alike=lambda x: F.lit(True)) -> Column:
+    """A keyed permutation of those of 0 .. below - 1 for which ``alike`` holds: the network on digit strings, again while it leaves them."""
     first = feistel(F.lpad(value.cast("string"), digits, "0"), key)
 
     def again(x: Column, _: Column) -> Column:
-        return F.when(x.cast("long") < below, x).otherwise(feistel(x, key))
+        n = x.cast("long")
+        return F.when((n < below) & alike(n), x).otherwise(feistel(x, key))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), first, again).cast("long")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, again).cast("long")
 
 
 def fill(pattern: Column, digits: Column) -> Column:
@@ -88,12 +93,18 @@ def fill(pattern: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(pattern)), put), "")
 
 
+def _date(n: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+
 def _day(value: Column) -> tuple[Column, Column]:
-    """(days since the first day, or null; the format) of a date."""
-    form = F.when(value.contains("-"), "yyyy-MM-dd").when(value.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
-    year = F.when(value.contains("-"), F.substr(value, F.lit(1), F.lit(4))).otherwise(F.substr(value, F.lit(7), F.lit(4)))
-    month = F.when(value.contains("-"), F.substr(value, F.lit(6), F.lit(2))).otherwise(F.substr(value, F.lit(4), F.lit(2)))
-    day = F.when(value.contains("-"), F.substr(value, F.lit(9), F.lit(2))).otherwise(F.substr(value, F.lit(1), F.lit(2)))
+    """(days since the first day, or null; the format) of a date.  With slashes the day comes first, unless only the month can."""
+    at = lambda k, n=2: F.substr(value, F.lit(k), F.lit(n))
+    dashed, slashed = value.contains("-"), value.contains("/")
+    american = slashed & (at(4).cast("int") > 12)
+    form = F.when(dashed, "yyyy-MM-dd").when(american, "MM/dd/yyyy").when(slashed, "dd/MM/yyyy").otherwise("dd.MM.yyyy")
+    year, month = F.when(dashed, at(1, 4)).otherwise(at(7, 4)), F.when(dashed, at(6)).when(american, at(1)).otherwise(at(4))
+    day = F.when(dashed, at(9)).when(american, at(4)).otherwise(at(1))
     date = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
     return F.datediff(date, F.lit(FIRST_DAY).cast("date")), form
 
@@ -104,7 +115,7 @@ def kind_of(value: Column) -> Column:
     days, _ = _day(value)
     return (
         F.when(value.contains("@"), "mail").when(whole(IP), "ip").when(whole(DATE), F.when(days.between(0, DAYS - 1), "date")).when(whole(SOCIAL), "social")
-        .when(value.rlike(r"^[+(]"), "phone").when(luhn_sum(digits_of(value)) % 10 == 0, "card")
+        .when(whole(PHONE), "phone").when(luhn_sum(digits_of(value)) % 10 == 0, "card")
     )
 
 
@@ -115,12 +126,14 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     number = F.aggregate(F.transform(octets, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda t, x: t * 256 + x)
     ip = F.transform(F.array(_walk(number, 10, 1 << 32, k)), lambda n: F.concat_ws(".", *(F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))[0]
     days, form = _day(value)
-    date = F.date_add(F.lit(FIRST_DAY).cast("date"), _walk(days, 5, DAYS, k).cast("int"))
-    dated = F.when(form == "yyyy-MM-dd", F.date_format(date, "yyyy-MM-dd")).when(form == "dd/MM/yyyy", F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
+    # days up to the 12th stay among themselves, so that a month that comes first can still be told
+    late = lambda n: F.dayofmonth(_date(n)) > 12
+    date = _date(F.when(late(days), _walk(days, 5, DAYS, k, late)).otherwise(_walk(days, 5, DAYS, k, lambda n: ~late(n))))
+    dated = F.coalesce(*(F.when(form == x, F.date_format(date, x)) for x in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")))
     local = F.concat(F.lit("u"), F.left(F.sha2(F.concat_ws("|", k, F.lower(F.substring_index(value, "@", 1)), F.lower(F.substring_index(value, "@", -1))), 256), F.lit(12)))
-    # a country code stays; the rest of a phone number is permuted
-    code = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(\d{1,3})", 1))).otherwise(0)
+    # a country code, read off the digits alone, stays; the rest of a phone number is permuted
     phone_digits = digits_of(value)
+    code = F.when(value.startswith("+"), F.length(F.regexp_extract(phone_digits, CALLING, 1))).otherwise(0)
     phone = fill(value, F.concat(F.left(phone_digits, code), feistel(F.substr(phone_digits, code + 1), k)))
     return (
         F.when(kind == "mail", F.concat(local, F.lit("@"), F.substring_index(value, "@", -1))).when(kind == "ip", ip).when(kind == "date", dated)
@@ -128,13 +141,18 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "pseudonyms-1") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_values``: how many values each text had.
 
-    Mail addresses keep their domain and get a keyed local part; phone numbers keep their country code; IPv4 addresses, calendar
-    days, social security numbers and card numbers with a right check digit are permuted within their formats.  What fails its check
-    stays as it is.  A null text stays null with 0 values.  Repeated rows give repeated results; a column n_values is replaced.
+    ``key`` is the secret that whoever reads the result must not have.  Mail addresses keep their domain and get a keyed local part;
+    phone numbers keep their country code (one without a code links with the same number behind +1); IPv4 addresses, calendar
+    days, social security numbers and card numbers with a right check digit are permuted within their formats.  Of a date with slashes the day
+    comes first unless only the month can; days from the 13th on stay such days.  What fails its check
+    stays as it is.  A null text stays null with 0 values; a very long one is read whole; an empty table gives an empty result.  Repeated rows
+    give repeated results; a column n_values is replaced.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col("text")
     some = text.rlike("[0-9@]")
     pieces = F.split(text, ANY, -1)
@@ -147,6 +165,6 @@ def pseudonymise(docs: DataFrame, key: str = "pseudonyms-1") -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text (with pseudonyms), n_values for every document."""
+    """doc_id, text (with pseudonyms), n_values for every document; the key is ``spark.ledgerloom.pseudonymKey``, and a test key where that is unset."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", "n_values")
+    return pseudonymise(docs, spark.conf.get("spark.ledgerloom.pseudonymKey", "for tests only")).select("doc_id", "text", "n_values")

@@ -181,7 +181,7 @@ def luhn(s):
 
 def test_pseudonyms_keep_formats_and_links(spark, awkward, nothing):
     texts = ["a.b@mail.example.com +1 (017) 555-7713, 97.51.17.173 and 300.1.2.3", "4111 1111 1111 1111 4111111111111111 4111111111111112", "2024-02-29, 29/02/2024 29.02.2024 31.02.2024", "123-45-6789 A.B@mail.example.com", "é97.51.17.173é ord1234"]
-    a, b, c, d, e = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    a, b, c, d, e = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
     mail, phone, ip = re.fullmatch(r"(\S+@mail\.example\.com) (\+1 \(\d{3}\) \d{3}-\d{4}), (\d+\.\d+\.\d+\.\d+) and 300\.1\.2\.3", a).groups()
     assert mail not in texts[0] and phone not in texts[0] and ip not in texts[0] and all(int(x) < 256 for x in ip.split("."))
     one, two, three = re.fullmatch(r"((?:\d{4} ){3}\d{4}) (\d{16}) (\d{16})", b).groups()
@@ -190,8 +190,102 @@ def test_pseudonyms_keep_formats_and_links(spark, awkward, nothing):
     assert iso.split("-") == slash.split("/")[::-1] == dot.split(".")[::-1] != ["2024", "02", "29"]
     assert d.split()[0] != "123-45-6789" and re.match(r"\d{3}-\d{2}-\d{4} ", d) and d.split()[1] == mail
     assert ip in e and e.endswith("ord1234")
-    assert pseudonyms.pseudonymise(awkward).count() == awkward.count() and pseudonyms.pseudonymise(nothing).count() == 0
-    assert {r.text for r in pseudonyms.pseudonymise(awkward).where("doc_id = 3").collect()} == {None}
+    assert pseudonyms.pseudonymise(awkward, "k").count() == awkward.count() and pseudonyms.pseudonymise(nothing, "k").count() == 0
+    assert {r.text for r in pseudonyms.pseudonymise(awkward, "k").where("doc_id = 3").collect()} == {None}
+
+
+def brute_feistel(digits, key):
+    u = len(digits) // 2
+    a, b, v = int(digits[:u]), int(digits[u:]), len(digits) - u
+    for k in range(1, 9):
+        word = lambda part: int(hashlib.sha256(f"{key}|{k}|{len(digits)}|{part}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        if k % 2:
+            a = (a + word(b) % 10**u) % 10**u
+        else:
+            b = (b + word(a) % 10**v) % 10**v
+    return f"{a:0{u}d}{b:0{v}d}"
+
+
+def brute_pseudonym(v, key):
+    """A value's pseudonym in plain Python, and whether it is one."""
+    import datetime as d
+
+    def fill(digits):
+        it = iter(digits)
+        return "".join(next(it) if c.isdigit() else c for c in v)
+
+    def walk(n, digits, ok, kind):
+        x = f"{n:0{digits}d}"
+        while True:
+            x = brute_feistel(x, f"{key}|{kind}")
+            if ok(int(x)):
+                return int(x)
+
+    digits, whole = re.sub("[^0-9]", "", v), lambda p: re.fullmatch(p, v)
+    if "@" in v:
+        local, domain = v.split("@")[0], v.split("@")[-1]
+        return "u" + hashlib.sha256(f"{key}|mail|{local.lower()}|{domain.lower()}".encode()).hexdigest()[:12] + "@" + domain, True
+    if whole(pseudonyms.IP):
+        a, b, c, e = map(int, v.split("."))
+        n = walk((a << 24) + (b << 16) + (c << 8) + e, 10, lambda x: x < 1 << 32, "ip")
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0)), True
+    if whole(pseudonyms.DATE):
+        form = "%Y-%m-%d" if "-" in v else "%d.%m.%Y" if "." in v else "%m/%d/%Y" if int(v[3:5]) > 12 else "%d/%m/%Y"
+        try:
+            day = d.datetime.strptime(v, form).date()
+        except ValueError:
+            return v, False
+        first = d.date(1900, 1, 1)
+        n = (day - first).days
+        if not 0 <= n < pseudonyms.DAYS:
+            return v, False
+        out = first + d.timedelta(walk(n, 5, lambda x: x < pseudonyms.DAYS and ((first + d.timedelta(x)).day > 12) == (day.day > 12), "date"))
+        return out.strftime(form), True
+    if whole(pseudonyms.SOCIAL):
+        return fill(brute_feistel(digits, f"{key}|social")), True
+    if whole(pseudonyms.PHONE):
+        code = re.match(pseudonyms.CALLING, digits)[1] if v[0] == "+" else ""
+        return fill(code + brute_feistel(digits[len(code) :], f"{key}|phone")), True
+    if luhn(digits):
+        body = brute_feistel(digits[:-1], f"{key}|card")
+        return fill(body + next(c for c in "0123456789" if luhn(body + c))), True
+    return v, False
+
+
+MORE = ["call 555-123-4567 or (555) 123-4567, +1 555 123 4567", "on 12/31/2024, 31/12/2024, 2024-12-31 and 03/04/2024, 13/13/2024", "x" * 300_000 + " 97.51.17.173 " + "y 4111111111111111 " * 300, "+44 20 7946 0018 +442079460018 +352 26 20 20 1 1899-12-31 2100-01-01"]
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-k, t) for k, t in enumerate(MORE, 1)], "doc_id long, text string"))
+    got = {r.doc_id: (r.text, r.n_values) for r in pseudonyms.pseudonymise(docs, "key").collect()}
+    total = 0
+    for r in docs.collect():
+        count = []
+
+        def swap(m):
+            new, is_one = brute_pseudonym(m[0], "key")
+            count.append(is_one)
+            return new
+
+        want = re.sub(pseudonyms.ANY, swap, r.text, flags=re.A) if r.text else r.text
+        assert got[r.doc_id] == (want, sum(count))
+        total += sum(count)
+    assert total > 310  # 300 of them in the long text
+
+
+def test_equal_values_stay_linked(spark):
+    texts = ["+1 017 555 7713|+10175557713|+1 (017) 555-7713|017-555-7713|017.555.7713|(017) 555-7713", "+44 20 7946 0018|+442079460018|+44-20-79460018", "12/31/2024|31/12/2024|2024-12-31|31.12.2024"]
+    a, b, c = [r.text.split("|") for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    bare = [re.sub("[^0-9]", "", x) for x in a]
+    assert len(set(bare[:3])) == 1 and set(bare[3:]) == {bare[0][1:]} and bare[0] != "10175557713"
+    assert len({re.sub("[^0-9]", "", x) for x in b}) == 1 and b[0].startswith("+44 ") and b[0] != "+44 20 7946 0018"
+    m, d, y = c[0].split("/")
+    assert c[1] == f"{d}/{m}/{y}" and c[2] == f"{y}-{m}-{d}" and c[3] == f"{d}.{m}.{y}" and int(d) > 12 and c[0] != "12/31/2024"
+
+
+def test_a_key_is_needed(awkward):
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(awkward, "")
 
 
 # ------------------------------------------------------------------ 6
