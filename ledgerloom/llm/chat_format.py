@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 OPEN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
@@ -87,9 +89,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     ``loss_start`` and ``loss_end`` are the places (code points in the whole formatted text) that an assistant's turn puts under the
     loss.  Null role or text: empty.  A null turn comes first; equal turns are ordered by role and text; repeated rows are
-    repeated turns.  Rows without conv_id form one conversation without id.  Rows stream through sorted partitions, so
-    that no conversation is held whole, however long it is.
+    repeated turns.  Rows without conv_id form one conversation without id.  An empty table gives an empty result.  Rows stream through sorted
+    partitions, so that no conversation is held whole, however long it is; its turns follow one another, so one task writes it.
     """
+    text_batches(turns.sparkSession)
     t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_render, RENDERED)
 
@@ -149,11 +152,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  -- one more character for every run of <, backslashes, | where a turn has a control string, or a run that reading back would shorten
+  select *, case when regexp_matches(role || chr(10) || text, '<\|(turn|says|done)\|>|<\\+\|') then len(regexp_extract_all(role || chr(10) || text, '<\\*\|')) else 0 end as escapes from t)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       sum(24 + length(role) + length(text))::bigint as formatted_chars
-from t group by conv_id
+       sum(24 + length(role) + length(text) + escapes)::bigint as formatted_chars
+from e group by conv_id
 """
