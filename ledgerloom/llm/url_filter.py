@@ -35,9 +35,11 @@ def apply_rules(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: st
     """Adds host, path, rule and verdict to ``pages``.
 
     ``rules`` has host, path, verdict.  A rule fits its host and all subdomains when the URL's path starts with the
-    rule's path; the rule with the longest host, then the longest path, wins; between equal rules ``block`` wins.
+    rule's path; the rule with the longest host, then the longest path, wins; between equal rules ``block`` wins.  (Rules whose host is
+    longer but whose host and path together are shorter than another's win too: a host is more specific than a path.)
     No rule: ``rule`` is null, the verdict is ``default``.  A null or malformed URL has an empty host and path, fits no rule and
-    gets the default.  Rules with a null part, or with a verdict other than allow or block, are ignored.
+    gets the default, without being joined.  Rules with a null part, or with a verdict other than allow or block, are ignored.  Repeated rows
+    give repeated results, an empty table an empty one, a very long URL is read whole; columns of these four names are replaced.
 
     The paths' lengths that occur in the rules (at most a few hundred: URLs are short) bound the prefixes tried.
     """
@@ -66,8 +68,10 @@ def apply_rules(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: st
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("_h").alias("a"), F.length("_p").alias("b"), F.col("_v").alias("v"), F.concat("_h", "_p").alias("r"))).alias("_best")
     )
+    # urls without a host share one key: they go past the join
+    judged = base.where("host != ''").join(best, ["host", "path"], "left").unionByName(base.where("host = ''").withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType)))
     return (
-        base.join(best, ["host", "path"], "left")
+        judged
         .withColumn("rule", F.col("_best.r"))
         .withColumn("verdict", F.coalesce(F.col("_best.v"), F.lit(default)))
         .drop("_best")
@@ -81,7 +85,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict for every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    # as literals: no Python rows
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES))))
     return apply_rules(spark, pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
