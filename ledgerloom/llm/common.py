@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a temporary folder is set as the checkpoint folder once.
+    Where none is named on one machine (tests), a temporary folder is set as the checkpoint folder once; on a cluster that is an error,
+    as its executors couldn't read what the driver writes there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ledgerloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
