@@ -77,3 +77,46 @@ def test_urls(spark):
     assert got[10][:2] == ("b:", "//c/d") and got[11][1] == "/\n/y"
     assert url_filter.apply_rules(spark, df, rules.limit(0)).where("verdict != 'allow'").count() == 0
     assert url_filter.apply_rules(spark, df.limit(0), rules).count() == 0
+
+
+def test_urls_repeat_and_may_be_very_long(spark):
+    long_ = "http://a.example.com/en/" + "x" * 200_000
+    df = spark.createDataFrame([(1, long_, "old")] * 3 + [(2, None, "old")] * 2, "page_id int, url string, verdict string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = sorted((r.page_id, r.verdict, len(r.path)) for r in url_filter.apply_rules(spark, df, rules).collect())
+    assert got == [(1, "block", 200_004)] * 3 + [(2, "allow", 0)] * 2
+
+
+def test_mix_replaces_columns_of_its_names(spark):
+    rows = [(k, f"s{k % 3}", 10 + k, "a", "b", 5, 6, "keep") for k in range(60)] + [(None, "s0", 7, "a", "b", 5, 6, "keep")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long, target string, source_size string, taken int, size int, _key string")
+    got = mixing.mix(df, F.col("n"))
+    assert got.columns == ["doc_id", "source", "n", "_key", "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert len(rows) == 62 and all(r["size"] == r.n and r["_key"] == "keep" for r in rows)
+    by = {}
+    for r in rows:
+        t = by.setdefault(r.source, [0, r.target])
+        t[0] += r.taken
+    assert all(taken == int(target) for taken, target in by.values())
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_mix_without_broadcasts(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(mixing, "PER_RANGE", 4)
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else f"s{k % 3}", k % 11) for k in range(200)], "doc_id long, source string, n long")
+    rows = mixing.mix(df, F.col("n")).collect()
+    assert len(rows) == 200 and sum(r.taken for r in rows) == pytest.approx(sum(r.n for r in rows), abs=4)
+
+
+def test_formatted_length_counts_escapes(spark, tmp_path, compare):
+    rows = [(1, k, "user" if k % 2 else "assistant", t) for k, t in enumerate([t for t in TRIALS if t is not None])] + [(2, 0, "<|says|>", "<| and <\\\\|"), (3, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(chat.OP3_SQL).fetchall()}
+    got = {r.conv_id: tuple(r)[1:] for r in chat.op3_chat_format(spark, str(tmp_path)).collect()}
+    assert got == want
