@@ -499,3 +499,14 @@ def test_pipeline_takes_awkward_rows(spark, awkward, nothing):
         for _, stage in c.STAGES:
             docs = stage(spark, docs, SMALL)
         assert docs.count() >= 0
+
+
+def test_long_candidates_are_read_whole():
+    net = secret_scan.Network()
+    net.probability = lambda x: (x == secret_scan.CLASS[ord("7")]).sum(1) / 10 if len(x) else np.zeros(0)
+    for n in (30, 44, 45, 88, 300, 50_000):
+        for at in (0, n // 3, n // 2, n - 5):
+            text = "x" * at + "77777" + "x" * (n - at - 5)
+            buf, off = text_buffers(pa.array(["some words " + text + " behind", "y" * 60]))
+            p = net.candidates(buf, off, np.array([11, int(off[1])]), np.array([11 + n, int(off[2])]))
+            assert p[0] >= 0.3 and p[1] == 0
