@@ -1,8 +1,9 @@
 """Language identification as mixture inference: expectation-maximisation over n-gram likelihoods.
 
-Each language has an interpolated trigram model over folded bytes, counted over every document that may be learned from.  A
+Each language has an interpolated trigram model over folded bytes, counted over every document that may be learned from; only trigrams that
+occur are kept, so a model takes about 100 kB a language and any number of languages can be learned.  A
 document is a mixture of languages; a word is drawn from one of them.  EM estimates the proportions; the set of languages
-grows while the likelihood gains more than the penalty (BIC).  What that mixture explains worse than letters without order do is text in
+grows while twice the gain in log likelihood exceeds twice the logarithm of the number of words, for a language costs its proportion and its choice.  What that mixture explains worse than letters without order do is text in
 none of the languages, however many there are.
 """
 
@@ -22,8 +23,8 @@ FOLD = np.zeros(256, np.int32)
 FOLD[0x41:0x5B] = FOLD[0x61:0x7B] = np.arange(1, 27)
 FOLD[128:] = 27 + np.arange(128) % 37
 CODES = 64**3
-#: Languages that a model holds at most (the most frequent ones); a label beyond is not learned.
-MOST_LANGUAGES = 256
+#: Languages up to which the likelihoods are looked up in one table; of more, a table is made for the trigrams of each batch.
+DENSE = 32
 #: Share of the background's probability that is spread evenly over the byte classes; the rest follows how often they occur.
 EVEN = 0.1
 #: Letters without evidence that every text has besides its own, so that a short one needs more.
@@ -49,45 +50,89 @@ def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (two << 12) | (one << 6) | c, c
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
 def counter(languages: list[str]):
     known = {x: k for k, x in enumerate(languages)}
 
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * CODES, np.int64)
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for whole in batches:
             for b in slices(whole, "text", 1 << 21):
                 buf, off = text_buffers(b.column("text"))
                 code, c = trigrams(buf, off)
                 lang = np.array([known.get(x, -1) for x in b.column("lang").to_pylist()])
-                key = np.repeat(lang * CODES, np.diff(off)) + code
-                keep = (key >= 0) & ((code & 4095) != 0)
-                found, n = np.unique(key[keep], return_counts=True) if len(languages) > 16 else (None, None)
-                if found is None:
-                    total += np.bincount(key[keep], minlength=len(total))
+                if len(languages) <= DENSE:
+                    key = np.repeat(lang * CODES, np.diff(off)) + code
+                    n = np.bincount(key[(key >= 0) & ((code & 4095) != 0)], minlength=1)
+                    found = np.flatnonzero(n)
+                    n = n[found]
                 else:
-                    total[found] += n
-        has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"key": has, "n": total[has]})
+                    key = np.repeat(lang * CODES, np.diff(off)) + code
+                    found, n = np.unique(key[(key >= 0) & ((code & 4095) != 0)], return_counts=True)
+                keys.append(found)
+                counts.append(n)
+                held += len(found)
+                if held > 1 << 20:
+                    found, n = _summed(keys, counts)
+                    keys, counts, held = [found], [n], 0
+        found, n = _summed(keys, counts)
+        yield pa.RecordBatch.from_pydict({"key": found, "n": n})
 
     return count
 
 
-def fit(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities (codes x languages) of a byte after the two before it, interpolated with shorter contexts."""
-    n = counts.reshape(-1, 64, 64, 64).astype(np.float64)
-    p1 = (n.sum((1, 2)) + 1) / (n.sum((1, 2, 3))[:, None] + 64)
-    n2 = n.sum(1)
-    p2 = (n2 + 8 * p1[:, None, :]) / (n2.sum(2, keepdims=True) + 8)
-    p3 = (n + 8 * p2[:, None]) / (n.sum(3, keepdims=True) + 8)
-    return np.ascontiguousarray(np.log(p3).reshape(len(n), CODES).T.astype(np.float32))
+class Model:
+    """Log probabilities of a byte after the two before it, interpolated with shorter contexts; and a background column, of a byte by itself.
 
+    ``keys`` (language * CODES + trigram, sorted) and ``n`` are the trigrams that occur.
+    """
 
-def background(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities (codes x 1) of a byte class by itself, over all languages."""
-    n = counts.reshape(-1, 64).sum(0)
-    p = (1 - EVEN) * n / max(n.sum(), 1) + EVEN / 64
-    return np.tile(np.log(p).astype(np.float32), CODES // 64)[:, None]
+    def __init__(self, languages: int, keys: np.ndarray, n: np.ndarray):
+        n = n.astype(np.float64)
+        lang, code = keys // CODES, keys % CODES
+        two = np.bincount(lang * 4096 + (code & 4095), n, languages * 4096).reshape(-1, 64, 64)
+        one = two.sum(1)
+        p1 = (one + 1) / (one.sum(1, keepdims=True) + 64)
+        p2 = (two + 8 * p1[:, None, :]) / (two.sum(2, keepdims=True) + 8)
+        context = np.bincount(lang * 4096 + (code >> 6), n, languages * 4096) + 8
+        self.languages = languages
+        self.unseen = np.log(8 * p2).reshape(languages, 4096)  # by the last two bytes
+        self.context = np.log(context).reshape(languages, 4096)  # by the first two
+        self.starts = np.searchsorted(lang, np.arange(languages + 1))
+        self.codes = code.astype(np.int32)
+        self.seen = np.log(n + 8 * p2.reshape(languages, 4096)[lang, code & 4095]).astype(np.float32) - np.log(context)[lang * 4096 + (code >> 6)].astype(np.float32)
+        every = one.sum(0)
+        self.background = np.log((1 - EVEN) * every / max(every.sum(), 1) + EVEN / 64).astype(np.float32)
+        self._dense = None
+
+    def table(self, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities (codes x languages and the background) of sorted trigrams."""
+        out = np.empty((len(codes), self.languages + 1), np.float32)
+        for k in range(self.languages):
+            lo, hi = self.starts[k], self.starts[k + 1]
+            out[:, k] = self.unseen[k, codes & 4095] - self.context[k, codes >> 6]
+            _, mine, theirs = np.intersect1d(codes, self.codes[lo:hi], assume_unique=True, return_indices=True)
+            out[mine, k] = self.seen[lo:hi][theirs]
+        out[:, -1] = self.background[codes & 63]
+        return out
+
+    def rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a table, the row of each trigram in it)."""
+        if self.languages <= DENSE:
+            if self._dense is None:
+                self._dense = self.table(np.arange(CODES))
+            return self._dense, codes
+        has = np.zeros(CODES, bool)
+        has[codes] = True
+        return self.table(np.flatnonzero(has)), (np.cumsum(has) - 1)[codes]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_dense": None}
 
 
 def _by_text(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -99,21 +144,22 @@ def _by_text(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_likelihoods(buf: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihood of each word in each language, the texts' pointer into the words)."""
+def word_likelihoods(buf: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(log likelihood of each word in each language and by the background, the texts' pointer into the words)."""
     code, c = trigrams(buf, off)
     start = (c > 0) & (((code >> 6) & 63) == 0)
     at = np.flatnonzero(start)
+    table, row = model.rows(code)
+    most = _PIECE * 8 // max(8, model.languages + 1)
     parts, lo = [], 0
     while lo < len(at):  # so many bytes at once; a word ends where the next one starts
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _PIECE, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
         end = at[hi] if hi < len(at) else len(code)
-        piece = code[at[lo] : end]
-        scores = model[piece]
-        scores[(piece & 4095) == 0] = 0
+        scores = table[row[at[lo] : end]]
+        scores[(code[at[lo] : end] & 4095) == 0] = 0
         parts.append(np.add.reduceat(scores, at[lo:hi] - at[lo], axis=0))
         lo = hi
-    words = np.concatenate(parts) if parts else np.zeros((0, model.shape[1]), np.float32)
+    words = np.concatenate(parts) if parts else np.zeros((0, model.languages + 1), np.float32)
     return words, np.searchsorted(at, off)
 
 
@@ -179,7 +225,7 @@ def predictor(languages: list[str], model, text: bool = False, evidence: bool =
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for whole in batches:
-            for b in slices(whole, "text", 1 << 21):
+            for b in slices(whole, "text", (1 << 21) * 8 // max(8, len(languages) + 1)):
                 buf, off = text_buffers(b.column("text"))
                 sure = has_letter(buf, off)
                 if languages:
@@ -199,33 +245,29 @@ def predictor(languages: list[str], model, text: bool = False, evidence: bool =
     return predict
 
 
-def learn(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities) from all rows (text, lang) of ``labelled``; rows with a null in either are left out.
+def learn(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Model | None]:
+    """(languages, their model) from all rows (text, lang) of ``labelled``; rows with a null in either are left out.
 
-    The last column is the background's.
+    The counts are summed in Spark; the driver gets a row for each language and trigram that occurs.
     """
     text_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    names = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.lang for r in names)
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # a label is a language: a few thousand at most
     if not languages:
-        return [], np.zeros((CODES, 0), np.float32)
-    # at most MOST_LANGUAGES x 64^3 counts; what occurs is far less
-    n = rows.mapInArrow(counter(languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(languages) * CODES)
-    counts[n.key.to_numpy()] = n.n.to_numpy()
-    return languages, np.hstack((fit(counts), background(counts)))
+        return [], None
+    n = rows.mapInArrow(counter(languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    return languages, Model(len(languages), n.key.to_numpy(), n.n.to_numpy())
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: np.ndarray, text: bool = False, evidence: bool = False) -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, languages: list[str], model: Model | None, text: bool = False, evidence: bool = False) -> DataFrame:
     """``docs`` with lang_pred and score for every row, from its whole text alone; the text itself only if ``text`` says so.
 
     A null text, an empty one and one without a letter are ``und`` with score 0, and so is everything where nothing was learned.  Equal
-    texts get equal results; the first language by name wins ties.  ``evidence`` adds a column of that name: how much more likely (natural
+    texts get equal results; the first language by name wins ties; an empty table gives an empty result, and a very long text is read whole.  ``evidence`` adds a column of that name: how much more likely (natural
     logarithm, by letter) the languages make the whole text than the background does.
     """
     text_batches(spark)

@@ -52,6 +52,109 @@ def test_mixture_takes_the_larger_language(spark):
     assert got[7] == ("en", 1.0)
 
 
+def brute_language(text, counts, languages):
+    """(language, share) of a text by the definitions, in plain Python."""
+    from math import exp, log
+
+    fold = lambda x: x - 64 if 65 <= x <= 90 else x - 96 if 97 <= x <= 122 else 27 + (x - 128) % 37 if x > 127 else 0
+    c = [fold(x) for x in (text or "").encode()]
+    words, one, two = [], 0, 0
+    for x in c:
+        if x and not one:
+            words.append([])
+        if x or one:
+            words[-1].append((two if one else 0, one, x))
+        two, one = one, x
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    like = []
+    for w in words:
+        row = []
+        for lang in languages:
+            n3, n2, n1, ctx, n0 = counts[lang]
+            total = 0.0
+            for a, b, x in w:
+                p1 = (n1.get(x, 0) + 1) / (n0 + 64)
+                p2 = (n2.get((b, x), 0) + 8 * p1) / (sum(n2.get((b, y), 0) for y in range(64)) + 8)
+                total += log((n3.get((a, b, x), 0) + 8 * p2) / (ctx.get((a, b), 0) + 8))
+            row.append(total)
+        like.append(row)
+    top = [max(r) for r in like]
+    p = [[exp(max(v - t, -40)) for v in r] for r, t in zip(like, top)]
+    alone = [sum(max(r[k] - t, -40) for r, t in zip(like, top)) for k in range(len(languages))]
+    best = max(range(len(languages)), key=lambda k: (alone[k], -k))
+    now, share = alone[best], 1.0
+
+    def em(chosen, rounds):
+        theta = [1 / len(chosen)] * len(chosen)
+        for _ in range(rounds):
+            q = [[r[k] * t for k, t in zip(chosen, theta)] for r in p]
+            theta = [sum(r[j] / sum(r) for r in q) / len(p) for j in range(len(chosen))]
+        return theta, sum(log(sum(r[k] * t for k, t in zip(chosen, theta))) for r in p)
+
+    theta, _ = em(range(len(languages)), language_id.RANK_ROUNDS)
+    theta[best] += 1
+    order = sorted(range(len(languages)), key=lambda k: -theta[k])
+    for size in range(2, len(languages) + 1) if len(words) > 1 else ():
+        t, new = em(order[:size], language_id.SET_ROUNDS)
+        if not new - now > log(len(words)):
+            break
+        now, share, best = new, max(t), order[:size][max(range(size), key=lambda j: t[j])]
+    return languages[best], share
+
+
+@pytest.mark.parametrize("dense", [0, 32])
+def test_languages_equal_brute_force(spark, monkeypatch, dense):
+    from collections import Counter
+
+    monkeypatch.setattr(language_id, "DENSE", dense)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(60).collect()
+    docs = [(r.doc_id, (r.text or "")[:400], r.lang) for r in docs]
+    docs += [(-1, docs[0][1][:150] + " " + docs[1][1][:150] + " " + docs[2][1][:150], None), (-2, "", "en"), (-3, None, "en"), (-4, "12 ??", None), (-5, "a", None), (-6, "ω é", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    languages, model = language_id.learn(spark, df)
+    fold = lambda x: x - 64 if 65 <= x <= 90 else x - 96 if 97 <= x <= 122 else 27 + (x - 128) % 37 if x > 127 else 0
+    counts = {}
+    for lang in languages:
+        n3 = Counter()
+        for _, text, label in docs:
+            if label == lang:
+                a = b = 0
+                for x in map(fold, (text or "").encode()):
+                    if x or b:
+                        n3[(a if b else 0, b, x)] += 1
+                    a, b = b, x
+        n2, ctx = Counter(), Counter()
+        for (a, b, x), n in n3.items():
+            n2[b, x] += n
+            ctx[a, b] += n
+        n1 = Counter()
+        for (b, x), n in n2.items():
+            n1[x] += n
+        counts[lang] = (n3, n2, n1, ctx, sum(n1.values()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(spark, df, languages, model).collect()}
+    mixed = 0
+    for k, text, _ in docs:
+        lang, score = brute_language(text, counts, languages)
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-3
+        mixed += score < 1
+    assert mixed > 2
+
+
+def test_more_languages_than_one_table_holds(spark):
+    r = np.random.default_rng(1)
+    langs = {}
+    for k in range(300):  # each with letter pairs of its own
+        pairs = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 2)) for _ in range(12)]
+        langs[f"l{k:03d}"] = lambda n, pairs=pairs: " ".join("".join(r.choice(pairs, 3)) for _ in range(n))
+    df = spark.createDataFrame([(f(150), k) for k, f in langs.items()], "text string, lang string")
+    languages, model = language_id.learn(spark, df)
+    assert len(languages) == 300
+    trials = [(k, f(60), name) for k, (name, f) in enumerate(langs.items()) if k % 3 == 0]
+    got = {x.doc_id: x.lang_pred for x in language_id.predict(spark, spark.createDataFrame(trials, "doc_id long, text string, lang string"), languages, model).collect()}
+    assert np.mean([got[k] == name for k, _, name in trials]) > 0.97
+
+
 def test_pipeline_drops_what_no_language_explains(spark):
     import corpus_pipeline as c
 
