@@ -23,8 +23,8 @@ FEATURES = 1 << 14
 RANK, OVERSAMPLE = 72, 8
 #: Informative words of a cell (windows start and end at cells), and words of a passage of the SVD.
 CELL, PASSAGE = 4, 32
-#: Share of passages from which on a feature is no informative one (and so many passages at least).
-COMMON, COMMON_LEAST = 0.01, 200
+#: Share of passages from which on a feature is no informative one, and the standard deviations by which its count must exceed that share.
+COMMON, SURE = 0.01, 3.0
 #: Features below which an item keeps its common ones too.
 FEW = 5
 #: Cosine in the latent space from which a window is a candidate.
@@ -36,8 +36,8 @@ COPIED, PARAPHRASED = 0.8, 0.6
 ANSWER = 0.8
 #: Words of a run that is joined exactly, at most.
 RUN = 3
-#: Items that are searched for at once; more are searched for in blocks.
-ITEM_BLOCK = 20_000
+#: Items that are searched for at once; more are searched for in blocks, in one latent space.  And items of a length whose scores are held at once.
+ITEM_BLOCK, SCORED = 20_000, 512
 BROADCAST_IDS = 1_000_000
 
 
@@ -155,21 +155,27 @@ def _sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "m"])
 
 
-def latent_space(features: DataFrame, items: list[np.ndarray]) -> np.ndarray:
-    """FEATURES x RANK: takes a bag of words to whitened latent coordinates.  Statistics and sketch cover every passage.
-
-    Rows of common features are zero, but for those of items that have few others.
-    """
+def frequencies(features: DataFrame) -> tuple[np.ndarray, int]:
+    """(passages that each feature occurs in, passages), over every text."""
     stats = features.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows at most
     df = np.zeros(FEATURES)
     passages = max(1, int(stats.loc[stats.feature < 0, "n"].sum()))
     stats = stats[stats.feature >= 0]
     df[stats.feature] = stats.n
+    return df, passages
+
+
+def common_features(df: np.ndarray, passages: int) -> np.ndarray:
+    """Features that surely occur in more than ``COMMON`` of all passages."""
+    return df - SURE * np.sqrt(df) > COMMON * passages
+
+
+def latent_space(features: DataFrame, df: np.ndarray, passages: int, common: np.ndarray) -> np.ndarray:
+    """FEATURES x RANK: takes a bag of words to whitened latent coordinates.  The sketch covers every passage.
+
+    Rows of ``common`` features are zero.
+    """
     idf = np.where(df > 0, np.log((1 + passages) / (1 + df)) + 0.05, np.log(1 + passages))
-    common = (df > COMMON * passages) & (df > COMMON_LEAST)
-    for f in items:
-        if (~common[f]).sum() < FEW:
-            common[f] = False
     idf[common] = 0
     parts = features.mapInArrow(sketcher(idf), "block long, m binary")
     split = max(1, math.isqrt(features.rdd.getNumPartitions()))
@@ -374,8 +380,7 @@ def searcher(space: np.ndarray, items: list[tuple[int, np.ndarray]], answers: li
                 np.cumsum(sums, axis=0, out=sums)
                 end = np.repeat(first + count, count)
                 doc = np.repeat(np.arange(len(n)), count)
-                for w, ks in widths.items():
-                    ks = np.array(ks)
+                for w, ks in ((w, np.array(x[lo : lo + SCORED])) for w, x in widths.items() for lo in range(0, len(x), SCORED)):
                     stop = np.minimum(np.arange(total) + w, end)
                     mine = np.ascontiguousarray((z[ks] / least_cosine[ks, None]).T.astype(np.float32))
                     for at in range(0, total, 1 << 12):
@@ -433,29 +438,41 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
     ``overlap`` is the longest common subsequence of words (letters and digits, lower-cased) over the item's words;
     ``answered`` whether the item's last sentence is there.  A document holds an item from ``copied`` on, or from ``paraphrased`` on with the answer.
     Items or texts that are null or have no word match nothing, nor does a row without doc_id; equal items each match; rows that
-    share a doc_id count as one document.  Empty tables give no rows.
+    share a doc_id count as one document.  Empty tables give no rows; a very long text is searched whole; more columns are ignored.
     """
     text_batches(spark)
     scratch = Scratch(spark, "decontaminate")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     features = scratch.save(texts.mapInArrow(_features, "doc_id long, features binary"))
-    good = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-good.count() // ITEM_BLOCK))
+    good = scratch.save(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct())
+    # items whose texts are equal are searched for once
+    different = scratch.save(good.select("text").distinct())
+    blocks = max(1, -(-different.count() // ITEM_BLOCK))
+
+    def block(k: int) -> tuple[list[str], list[list[int]]]:
+        rows = different.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text").collect()  # about ITEM_BLOCK rows
+        split = [(r.text, w) for r in rows if (w := _words(r.text))]
+        return [t for t, _ in split], [w for _, w in split]
+
+    feature = lambda words: (np.array(words, np.uint64) >> np.uint64(50)).astype(np.int64)
+    df, passages = frequencies(features)
+    common, kept = common_features(df, passages), []
+    for k in range(blocks):  # items that have few other features keep their common ones
+        kept += [f for f in map(feature, block(k)[1]) if (~common[f]).sum() < FEW]
+    common[np.concatenate([np.zeros(0, np.int64), *kept])] = False
+    space = latent_space(features, df, passages, common)
     hits = None
-    for block in range(blocks):
-        rows = good.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about ITEM_BLOCK rows
-        items = [(k, w) for k, r in enumerate(rows) if (w := _words(r.text))]
-        if not items:
+    for k in range(blocks):
+        named, words = block(k)
+        if not named:
             continue
-        feats = [(k, (np.array(w, np.uint64) >> np.uint64(50)).astype(np.int64)) for k, w in items]
-        answers = [(np.array(_words(answer_of(rows[k].text)), np.uint64) >> np.uint64(50)).astype(np.int64) for k, _ in items]
-        space = latent_space(features, [f for _, f in feats])
+        feats = [(j, feature(w)) for j, w in enumerate(words)]
+        answers = [feature(_words(answer_of(t))) for t in named]
         near = scratch.save(features.mapInArrow(searcher(space, feats, answers, cosine, paraphrased), "doc_id long, item long, start long, stop long"))
         few = near.count() <= BROADCAST_IDS
-        known = {k: rows[k].text for k, _ in items}
-        found = texts.join(F.broadcast(near) if few else near, "doc_id").select("doc_id", "text", "item", "start", "stop").mapInArrow(checker(known, copied, paraphrased), "doc_id long, item long, overlap double, answered boolean")
-        ids = spark.createDataFrame([(k, rows[k].item_id) for k in known], "item long, item_id long")
-        found = found.join(F.broadcast(ids), "item").select("doc_id", "item_id", "overlap", "answered")
+        found = texts.join(F.broadcast(near) if few else near, "doc_id").select("doc_id", "text", "item", "start", "stop").mapInArrow(checker(dict(enumerate(named)), copied, paraphrased), "doc_id long, item long, overlap double, answered boolean")
+        names = spark.createDataFrame([(j, t) for j, t in enumerate(named)], "item long, text string")  # a block of items
+        found = found.join(F.broadcast(names), "item").join(good, "text").select("doc_id", "item_id", "overlap", "answered")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], "doc_id long, item_id long, overlap double, answered boolean")

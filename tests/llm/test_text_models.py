@@ -246,6 +246,26 @@ def test_items_of_mostly_common_words_are_found(spark):
     assert want <= {(x.doc_id, x.item_id) for x in got.collect()}
 
 
+def test_paraphrases_are_found_like_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 15)  # blocks of items share a latent space
+    r = np.random.default_rng(2)
+    docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("text is not null"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    host = [x.text for x in docs.collect()]
+    vocabulary = [w for t in host[:50] for w in re.findall(r"\w+", t.lower())]
+    rows, want = [], set()
+    for k, item in enumerate(bench.collect()):
+        words, answer = re.findall(r"\w+", item.text.lower()), re.findall(r"\w+", decontaminate.answer_of(item.text).lower())
+        new = list(words)
+        for x in r.choice(len(words) - len(answer), min(len(words) - len(answer), int(0.38 * len(words))), replace=False):
+            new[x] = str(r.choice(vocabulary))
+        rows.append((10**6 + k, host[k % 50][:1000] + " " + " ".join(new) + " " + host[(k + 7) % 50][:1000]))
+        if brute_lcs(words, new) >= 0.6 * len(words) and brute_lcs(answer, new) >= 0.8 * len(answer):
+            want.add((10**6 + k, item.item_id))
+    assert len(want) > 30
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(spark, docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    assert len(want & got) >= 0.97 * len(want)
+
+
 @pytest.mark.parametrize("few", [0, 1024])
 def test_bound_and_runs(monkeypatch, few):
     monkeypatch.setattr(decontaminate, "TABLE_ITEMS", few)
