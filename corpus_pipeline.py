@@ -39,9 +39,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of ``benchmark``."""
-    hits = decontaminate.contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits.select("doc_id").distinct())
+    """Drops documents that hold an item of ``benchmark``; those without an id are told apart by a hash of their text."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    hits = decontaminate.contamination(spark, docs.select(own.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    columns, ids = docs.columns, hits.select(F.col("doc_id").alias("_own")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.withColumn("_own", own).join(ids, "_own", "left_anti").select(columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +54,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The manifest of the mix: doc_id, source, size, source_size, target, taken of every document that the mix takes."""
-    light = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("_n"))
-    return mixing.mix(light, F.col("_n")).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The corpus: documents that the mix takes, with their columns, and size, source_size, target and taken.
+
+    A document is taken ``taken // size`` times whole and its first ``taken % size`` words once more.
+    """
+    sized = docs.withColumn("_n", mixing.n_words(F.col("text")))
+    sized = Scratch(spark, "sized").save(sized)  # the words are counted once
+    return mixing.mix(sized, F.col("_n")).where("taken > 0").drop("_n")
 
 
 STAGES = [("language_id", language), ("minhash_dedup", near_dedup), ("decontaminate", clean_of_benchmark), ("secret_scan", without_secrets), ("mixing", mix)]
