@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 
 # The stop words of question tokens.
-STOP_WORDS = ("the", "and", "for", "are", "what", "how", "why", "when", "where", "who", "which", "does", "did", "with", "that", "this", "from", "you", "can", "should")
-
-# Predicates by the words that name them, in order of precedence.
-PREDICATES = [("defines", r"(?:^|[^\p{L}])(?:is|are)(?:[^\p{L}]|$)"), ("contains", r"(?:^|[^\p{L}])(?:of|in)(?:[^\p{L}]|$)"), ("causes", r"(?:^|[^\p{L}])(?:to|for)(?:[^\p{L}]|$)"), ("compares", r"(?:^|[^\p{L}])(?:than|with)(?:[^\p{L}]|$)")]
-
-# What a scrub replaces, in order: name, pattern, replacement.
-SCRUB = [
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED:private-key]"),
-    ("bearer", r"Bearer\s+[A-Za-z0-9._~+/=-]{16,}", "[REDACTED:bearer]"),
-    ("access-key", r"AKIA[0-9A-Z]{16}", "[REDACTED:access-key]"),
-    ("assignment", r"(?i)\b(?:password|passwd|secret|token|api_?key)\b\s*[:=]\s*\S+", "[REDACTED:assignment]"),
-    ("card", r"\b[0-9]{13,19}\b", "[REDACTED:card]"),
-]
+STOP_WORDS = tuple("the a an and or but is are was were be been being have has had do does did will would could should may might must can shall what why how when where who which this that these those it its of in on at to from for with by about into onto as so than then there here also just only any some all no not yes if else really".split())
+#: Characters of scripts that are written without spaces.
+CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}"
+
+# Predicates by the words that name them, in order of precedence; a stem stands for itself alone.
+PREDICATES = [
+    ("requires_setup", "install|setup|set up|getting started"), ("configures", "configur|option|setting|parameter"), ("defines", "defin|what is|overview|introduc|describe"),
+    ("has_architecture", "architec|design|structur|layer|component"), ("depends_on", "depend|require|prerequisit|need"), ("deprecates", "deprecat|remov|drop|obsolet"),
+    ("addresses_issue", "error|bug|issue|problem|fix|troubleshoot"), ("demonstrates", "example|usage|how to|tutorial|guide"), ("exposes_api", "api|endpoint|route|method|function|interface"),
+    ("tests", "test|spec|assert|expect|coverage"), ("affects_performance", "perform|optim|fast|slow|latency|throughput"), ("secures", "secur|auth|permission|token|credential"),
+    ("migrates", "migrat|upgrad|version|changelog"), ("stores_data", "stor|databas|table|schema|sql|query"),
+]
+
+# What a scrub replaces, in order, and by what.
+PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]")
+BEARER = (r"\b[Bb]earer\s+[A-Za-z0-9._~+/=-]{20,}", "Bearer [REDACTED_TOKEN]")
+TOKEN = "[REDACTED_TOKEN]"
+TOKENS = [r"sk-ant-[A-Za-z0-9_-]{20,}", r"sk-[A-Za-z0-9]{20,}", r"github_pat_[A-Za-z0-9_]{80,}", r"ghp_[A-Za-z0-9]{36,}", r"AKIA[0-9A-Z]{16}", r"AIza[0-9A-Za-z_-]{35}", r"xox[baprs]-[A-Za-z0-9-]{10,}"]
+CARD = (r"\b(?:[0-9][ -]?){13,19}\b", "[REDACTED_CC]")
+ENVIRONMENT = (r"(?i)\b([A-Z_]*(?:SECRET|PASSWORD|PASSWD|TOKEN|APIKEY|API_KEY|ACCESS_KEY|PRIVATE_KEY|CLIENT_SECRET))\s*=\s*\S+", "=[REDACTED]")
+PASSWORD = (r"(?i)\b(password|passwd)\s*[:=]\s*\S+", ":[REDACTED]")
+STRICT = (r"\b[0-9]{13,19}\b", "[REDACTED_CC]")
+
+# Phrases by which somebody takes back what was said, in order of precedence.
+CORRECTIONS = [
+    ("zh.previous_was_wrong", r"我(之前|上次|刚才)(说|以为|提到)的.*?(错|不对|有误|不准)"), ("zh.actually_should_be", r"(实际上|其实)(应该|是)"), ("zh.scratch_that", r"(忽略|算了)(我|刚才)(说的|的话)"),
+    ("en.i_was_wrong", r"(?i)\bI was wrong about\b"), ("en.correction_label", r"(?i)\bcorrection:\s"), ("en.scratch_that", r"(?i)\bscratch that\b"), ("en.actually", r"(?i)\bactually,?\s+(I|it|that)\b"),
+]
+#: Characters of a correction that are kept.
+MOST_RETRACTED = 500
+
+
+def java(pattern: str) -> str:
+    r"""The pattern with ``\b`` between ASCII word characters and others, whatever the Java version takes for words."""
+    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
 def words(text: Column) -> Column:
@@ -33,14 +55,23 @@ def query_terms(text: Column) -> Column:
 
 
 def question_tokens(text: Column) -> Column:
-    """Lower-cased words longer than two characters that aren't stop words; distinct, in order."""
-    return F.array_distinct(F.filter(words(text), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
+    """Lower-cased words longer than two characters that aren't stop words, and the character pairs of scripts without spaces; distinct, in order."""
+    flat = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]+", " ")
+    plain = lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)
+    pairs = lambda run: F.when(F.length(run) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), lambda k: F.substr(run, k, F.lit(2))))
+
+    def parts(segment: Column) -> Column:
+        cjk = F.flatten(F.transform(F.regexp_extract_all(segment, F.lit(f"[{CJK}]+"), 0), pairs))
+        other = F.filter(F.regexp_extract_all(segment, F.lit(f"[^{CJK}]+"), 0), plain)
+        return F.when(segment.rlike(f"[{CJK}]"), F.concat(cjk, other)).otherwise(F.filter(F.array(segment), plain))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(flat, r"\s+"), parts)))
 
 
 def question_key(text: Column) -> Column:
     """Digest of a question without case, repeated white space and closing punctuation."""
-    flat = F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r]+", " "))
-    return F.sha2(F.regexp_replace(flat, r"[?!.,;:]+$", ""), 256)
+    flat = F.regexp_replace(F.lower(text), r"\s+", " ")
+    return F.sha2(F.trim(F.regexp_replace(flat, r"[?!.,;:]+$", "")), 256)
 
 
 def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
@@ -50,17 +81,41 @@ def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
     return F.transform(starts, lambda s, k: F.struct(k.alias("index"), s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("chunk")))
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def first_sentences(text: Column, n: int = 3) -> Column:
-    """The first sentences, or the first 300 characters of a text without any."""
-    flat = F.regexp_replace(text, r"[`*_#]", "")
+    """The first sentences, or the first 300 characters of a text without any; without marks of emphasis, code and headings."""
+    flat = strip(F.regexp_replace(text, r"[`*_#]", ""))
     found = F.regexp_extract_all(flat, F.lit(r"[^.!?]+[.!?]"), 0)
-    return F.when(F.size(found) > 0, F.trim(F.array_join(F.slice(found, 1, n), ""))).otherwise(F.left(flat, F.lit(300)))
+    return F.when(F.size(found) > 0, F.array_join(F.transform(F.slice(found, 1, n), strip), " ")).otherwise(strip(F.left(flat, F.lit(300))))
+
 
+def whole_word(words_: str) -> str:
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{words_})(?:[^\p{{L}}\p{{N}}_]|$)"
 
-def predicate(text: Column) -> Column:
+
+def predicate(heading: Column, text: Column) -> Column:
+    """What a paragraph says about its heading, by the first kind of word that the heading or the first 200 characters hold."""
+    both = F.concat(heading, F.lit(" "), F.left(text, F.lit(200)))
     out = F.lit("describes")
-    for name, pattern in reversed(PREDICATES):
-        out = F.when(F.lower(F.left(text, F.lit(200))).rlike(pattern), name).otherwise(out)
+    for name, words_ in reversed(PREDICATES):
+        out = F.when(both.rlike(whole_word(words_)), name).otherwise(out)
+    return out
+
+
+def normalised(text: Column) -> Column:
+    """Without tags; lines stripped, runs of blank lines as one, nothing around."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", ""), r"\r\n?", "\n"), "\n")
+    return strip(F.regexp_replace(F.array_join(F.transform(lines, strip), "\n"), r"\n{3,}", "\n\n"))
+
+
+def correction(text: Column) -> Column:
+    """The name of the first pattern of a correction that the text holds; null: none."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(CORRECTIONS):
+        out = F.when(text.rlike(java(pattern)), name).otherwise(out)
     return out
 
 
@@ -69,10 +124,37 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"[ \t\n\r]+", " "))
 
 
-def scrub(text: Column) -> Column:
-    for _, pattern, to in SCRUB:
-        text = F.regexp_replace(text, pattern, to)
-    return text
+def _rewritten(df: DataFrame, pattern: str, judge, new) -> DataFrame:
+    """Each match of the pattern in ``_t`` for which ``judge`` holds replaced by ``new`` of it, and counted in ``_n``."""
+    hits = F.when(F.col("_t").rlike(java(pattern)), F.regexp_extract_all("_t", F.lit(java(pattern)), 0))
+    d = df.withColumn("_hits", hits).withColumn("_pieces", F.when(F.col("_hits").isNotNull(), F.split("_t", java(pattern), -1)))
+    other = F.transform("_hits", lambda h: F.when(judge(h), new(h)).otherwise(h))
+    joined = F.array_join(F.zip_with("_pieces", F.concat(other, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    n = F.coalesce(F.size(F.filter("_hits", judge)), F.lit(0))
+    return d.withColumn("_n", F.col("_n") + F.when(F.col("_hits").isNotNull(), n).otherwise(0)).withColumn("_t", F.when(F.col("_hits").isNotNull(), joined).otherwise(F.col("_t"))).drop("_hits", "_pieces")
+
+
+def scrubbed(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
+    """``df`` with secrets in ``column`` replaced, rule after rule, and ``redactions``, how many were.
+
+    A card is 13 to 19 digits, with spaces or hyphens or without, whose check digit is right; ``strict`` takes any 13 to 19 digits in a
+    row.  What a more specific rule has replaced is left alone by those after it.  A null stays null with 0 redactions; a column redactions is replaced.
+    """
+    d = df.drop("redactions").withColumn("_t", F.col(column)).withColumn("_n", F.lit(0))
+    for pattern, to in (PRIVATE_KEY, BEARER, *((p, TOKEN) for p in TOKENS)):
+        d = d.withColumn("_n", F.col("_n") + F.coalesce(F.regexp_count("_t", F.lit(java(pattern))), F.lit(0))).withColumn("_t", F.regexp_replace("_t", java(pattern), to))
+    d = _rewritten(d, CARD[0], lambda h: luhn_valid(F.regexp_replace(h, "[^0-9]", "")), lambda h: F.lit(CARD[1]))
+    for pattern, to in (ENVIRONMENT, PASSWORD):
+        d = _rewritten(d, pattern, lambda h: ~h.contains("REDACTED"), lambda h, pattern=pattern, to=to: F.concat(F.regexp_extract(h, java(pattern), 1), F.lit(to)))
+    if strict:
+        d = _rewritten(d, STRICT[0], lambda h: F.lit(True), lambda h: F.lit(STRICT[1]))
+    return d.withColumn(column, F.col("_t")).withColumn("redactions", F.col("_n").cast("long")).drop("_t", "_n")
+
+
+def scrubbed_json(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
+    """``scrubbed`` for JSON: what a redaction has broken becomes an object that holds the redacted text."""
+    d = scrubbed(df, column, strict)
+    return d.withColumn(column, F.when(F.try_parse_json(column).isNotNull() | F.col(column).isNull(), F.col(column)).otherwise(F.to_json(F.struct(F.col(column).alias("_redacted_raw")))))
 
 
 def luhn_valid(digits: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.text import SCRUB, chunks, first_sentences, luhn_valid, normal_url, plain_text, predicate, scrub
+from ..functions.text import (
+    BEARER, CARD, CORRECTIONS, ENVIRONMENT, MOST_RETRACTED, PASSWORD, PREDICATES, PRIVATE_KEY, STRICT, TOKEN, TOKENS,
+    chunks, correction, first_sentences, java, luhn_valid, normal_url, normalised, plain_text, predicate, scrubbed, scrubbed_json, strip, whole_word,
+)
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
 
@@ -21,16 +23,30 @@ def chunks_800_100(t: Tables) -> DataFrame:
     return c.select("doc_id", F.col("c.index").alias("chunk_index"), F.col("c.start").alias("char_start"), F.sha2("c.chunk", 256).alias("content_hash"))
 
 
-@query(r"with f as (select doc_id, regexp_replace(text, '[`*_#]', '', 'g') as t from documents), s as (select doc_id, t, regexp_extract_all(t, '[^.!?]+[.!?]') as l from f) select doc_id, case when len(l) > 0 then trim(array_to_string(l[1:3], '')) else left(t, 300) end as summary from s")
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _sentences(x: str) -> str:
+    """The first sentences as SQL."""
+    flat = _strip(f"regexp_replace({x}, '[`*_#]', '', 'g')")
+    return f"(case when len(regexp_extract_all({flat}, '[^.!?]+[.!?]')) > 0 then array_to_string(list_transform(regexp_extract_all({flat}, '[^.!?]+[.!?]')[1:3], lambda y: {_strip('y')}), ' ') else {_strip(f'left({flat}, 300)')} end)"
+
+
+def _predicate(heading: str, text: str) -> str:
+    return "(case " + " ".join(f"when regexp_matches({heading} || ' ' || left({text}, 200), '{whole_word(w)}') then '{name}'" for name, w in PREDICATES) + " else 'describes' end)"
+
+
+@query(f"select doc_id, {_sentences('text')} as summary from documents")
 def first_sentences_of(t: Tables) -> DataFrame:
     """EXT-4."""
     return t("documents").select("doc_id", first_sentences(F.col("text")).alias("summary"))
 
 
-@query(r"select doc_id, case when regexp_matches(lower(left(text, 200)), '(?:^|[^\p{L}])(?:is|are)(?:[^\p{L}]|$)') then 'defines' when regexp_matches(lower(left(text, 200)), '(?:^|[^\p{L}])(?:of|in)(?:[^\p{L}]|$)') then 'contains' when regexp_matches(lower(left(text, 200)), '(?:^|[^\p{L}])(?:to|for)(?:[^\p{L}]|$)') then 'causes' when regexp_matches(lower(left(text, 200)), '(?:^|[^\p{L}])(?:than|with)(?:[^\p{L}]|$)') then 'compares' else 'describes' end as predicate from documents")
+@query(f"select doc_id, {_predicate('source', 'text')} as predicate from documents")
 def predicate_inference(t: Tables) -> DataFrame:
     """EXT-5."""
-    return t("documents").select("doc_id", predicate(F.col("text")).alias("predicate"))
+    return t("documents").select("doc_id", predicate(F.col("source"), F.col("text")).alias("predicate"))
 
 
 @query(r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) as text from pages")
@@ -39,25 +55,136 @@ def html_to_text(t: Tables) -> DataFrame:
     return t("pages").select("page_id", plain_text(F.col("html")).alias("text"))
 
 
-@query(r"select doc_id, regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') as text from documents")
+@query(r"with l as (select page_id, regexp_split_to_array(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\r\n?', chr(10), 'g'), '\n') as lines from pages) select page_id, " + _strip(r"regexp_replace(array_to_string(list_transform(lines, lambda y: " + _strip("y") + r"), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')") + " as text from l")
 def normalize_text(t: Tables) -> DataFrame:
-    """EXT-9: trailing blanks and runs of blank lines."""
-    return t("documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n").alias("text"))
+    """EXT-9: without tags, lines stripped, runs of blank lines as one."""
+    return t("pages").select("page_id", normalised(F.col("html")).alias("text"))
 
 
-@query(r"select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as subject, left(trim(regexp_replace(regexp_extract(html, '</h1>\s*<p>([^<]*(?:<b>)?[^<]*)', 1), '<[^>]+>', '', 'g')), 200) as object from pages")
-def heading_facts(t: Tables) -> DataFrame:
-    """EXT-2/6: the heading and the first paragraph under it."""
-    first = F.regexp_extract("html", r"</h1>\s*<p>([^<]*(?:<b>)?[^<]*)", 1)
-    return t("pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("subject"), F.left(F.trim(F.regexp_replace(first, "<[^>]+>", "")), F.lit(200)).alias("object"))
+_HEADING = r"^(#{1,6})\s+(.+)"
+
+
+def paragraphs_of(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, position, paragraph, level, heading): what blank lines part, stripped; level and heading are null for what isn't a heading."""
+    parts = F.filter(F.transform(F.split(text, r"\n{2,}"), strip), lambda x: x != "")
+    p = docs.select(id_, F.posexplode(parts).alias("position", "paragraph"))
+    heading = F.col("paragraph").rlike(_HEADING)
+    return p.withColumn("level", F.when(heading, F.length(F.regexp_extract("paragraph", _HEADING, 1)))).withColumn("heading", F.when(heading, F.trim(F.regexp_extract("paragraph", _HEADING, 2))))
+
+
+def with_heading_path(paragraphs: DataFrame, id_: str) -> DataFrame:
+    """Adds path, the headings a paragraph stands under: the last of each level, unless one of a higher level came later.
+
+    The window runs inside one document.
+    """
+    w = Window.partitionBy(id_).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    at = [F.max(F.when(F.col("level") == k, F.struct("position", "heading"))).over(w) for k in range(1, 7)]
+    d = paragraphs.withColumns({f"_h{k}": x for k, x in enumerate(at, 1)})
+    later = lambda k: F.greatest(F.lit(-1), F.lit(-1), *(F.col(f"_h{j}.position") for j in range(1, k)))
+    path = F.filter(F.array(*(F.when(F.col(f"_h{k}.position") > later(k), F.col(f"_h{k}.heading")) for k in range(1, 7))), lambda x: x.isNotNull())
+    return d.withColumn("path", path).drop(*(f"_h{k}" for k in range(1, 7)))
 
 
-@query(r"with p as (select doc_id, unnest(range(1, len(l) + 1)) as k, l from (select doc_id, list_filter(regexp_split_to_array(text, '\n'), lambda x: trim(x) != '') as l from documents)) select doc_id, k::int as position, sha256(trim(l[k])) as paragraph from p")
+def markdown_chunks(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, chunk_id, chunk, path, is_heading): each paragraph in windows of 800 characters with 100 in common, numbered through the document."""
+    p = with_heading_path(paragraphs_of(docs, id_, text), id_)
+    c = p.select(id_, "position", F.explode(chunks(F.col("paragraph"))).alias("c"), "path", F.col("level").isNotNull().alias("is_heading"))
+    n = F.row_number().over(Window.partitionBy(id_).orderBy("position", "c.index")) - 1
+    return c.select(id_, F.concat(F.lit("c"), n).alias("chunk_id"), F.col("c.chunk").alias("chunk"), "path", "is_heading")
+
+
+def markdown_facts(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, subject, predicate, object, confidence, importance): of every heading the first paragraph right under it."""
+    p = with_heading_path(paragraphs_of(docs, id_, text), id_).where("level is null and size(path) > 0").withColumn("subject", F.element_at("path", -1))
+    first = p.withColumn("_k", F.row_number().over(Window.partitionBy(id_, "subject").orderBy("position"))).where("_k = 1")
+    f = first.select(id_, "subject", predicate(F.col("subject"), F.col("paragraph")).alias("predicate"), first_sentences(F.col("paragraph")).alias("object"))
+    return f.where("object != ''").withColumn("confidence", F.lit(0.8)).withColumn("importance", F.lit(0.5))
+
+
+_PARAGRAPHS = (
+    "with l as (select page_id, list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda y: " + _strip("y") + "), lambda y: y != '') as l from notes), "
+    "p as (select page_id, unnest(range(0, len(l))) as position, unnest(l) as paragraph from l), "
+    f"h as (select *, case when regexp_matches(paragraph, '{_HEADING}') then length(regexp_extract(paragraph, '{_HEADING}', 1)) end as level, case when regexp_matches(paragraph, '{_HEADING}') then trim(regexp_extract(paragraph, '{_HEADING}', 2)) end as heading from p), "
+)
+_PATHS = (
+    _PARAGRAPHS
+    + "w as (select *, " + ", ".join(f"max(case when level = {k} then position end) over w as p{k}, max_by(heading, case when level = {k} then position end) over w as h{k}" for k in range(1, 7)) + " from h window w as (partition by page_id order by position rows unbounded preceding)), "
+    + "y as (select *, list_filter([" + ", ".join(f"case when p{k} > coalesce(greatest(-1, {', '.join(f'p{j}' for j in range(1, k)) or '-1'}), -1) then h{k} end" for k in range(1, 7)) + "], lambda x: x is not null) as path from w) "
+)
+
+
+@query(_PARAGRAPHS + "h2 as (select * from h) select page_id, position::int as position, sha256(paragraph) as paragraph, level::int as level from h2", "notes")
 def paragraphs(t: Tables) -> DataFrame:
-    """EXT-1: non-empty lines as paragraphs."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    p = t("documents").select("doc_id", F.posexplode(lines).alias("k", "line"))
-    return p.select("doc_id", (F.col("k") + 1).alias("position"), F.sha2(F.trim("line"), 256).alias("paragraph"))
+    """EXT-1."""
+    return paragraphs_of(t.notes(), "page_id", "text").select("page_id", "position", F.sha2("paragraph", 256).alias("paragraph"), "level")
+
+
+@query(_PATHS + "select page_id, position::int as position, array_to_string(path, ' / ') as path from y", "notes")
+def heading_paths(t: Tables) -> DataFrame:
+    """EXT-2."""
+    return with_heading_path(paragraphs_of(t.notes(), "page_id", "text"), "page_id").select("page_id", "position", F.array_join("path", " / ").alias("path"))
+
+
+@query(_PATHS + ", z as (select page_id, position, path, level, unnest(case when length(paragraph) <= 800 then [0] else range(0, length(paragraph), 700) end) as start, paragraph from y) select page_id, 'c' || (row_number() over (partition by page_id order by position, start) - 1) as chunk_id, sha256(substr(paragraph, start::bigint + 1, 800)) as content_hash, array_to_string(path, ' / ') as path, level is not null as is_heading from z", "notes")
+def markdown_chunk_rows(t: Tables) -> DataFrame:
+    """EXT-2/3, UDF-5: the extractor's chunks."""
+    return markdown_chunks(t.notes(), "page_id", "text").select("page_id", "chunk_id", F.sha2("chunk", 256).alias("content_hash"), F.array_join("path", " / ").alias("path"), "is_heading")
+
+
+@query(_PATHS + f", z as (select page_id, path[len(path)] as subject, paragraph from y where level is null and len(path) > 0 qualify row_number() over (partition by page_id, path[len(path)] order by position) = 1) select page_id, subject, {_predicate('subject', 'paragraph')} as predicate, {_sentences('paragraph')} as object from z where {_sentences('paragraph')} != ''", "notes")
+def heading_facts(t: Tables) -> DataFrame:
+    """EXT-6, EXT-5."""
+    return markdown_facts(t.notes(), "page_id", "text").select("page_id", "subject", "predicate", "object")
+
+
+def model_facts(replies: DataFrame, id_: str, reply: str, text: str, most: int = 20) -> DataFrame:
+    """(id, subject, predicate, object, confidence, importance) from a model's replies to chunks (id, chunk_index, reply, text).
+
+    A reply is a JSON array, in fences, or somewhere in other words; what isn't is no fact.  The first ``most`` chunks of 30 characters at
+    least count.  Facts with an empty part, a subject beyond 200 or an object beyond 300 characters are left out, as are those that a document
+    has already (whatever the case, by 50 characters of the object).  Confidence is held between 0.3 and 1, 0.8 where none is said.
+    """
+    kind = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
+    bare = strip(F.array_join(F.filter(F.split(F.col(reply), "\n"), lambda x: ~F.trim(x).startswith("```")), "\n"))
+    bare = F.when(strip(F.col(reply)).startswith("```"), bare).otherwise(strip(F.col(reply)))
+    inner = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    rows = F.coalesce(F.when(bare.startswith("["), F.from_json(bare, kind)), F.from_json(inner, kind))
+    r = replies.where((F.length(text) >= 30) & (F.col("chunk_index") < most)).select(id_, "chunk_index", F.posexplode(rows).alias("k", "f"))
+    part = lambda n: F.coalesce(strip(F.col(f"f.{n}")), F.lit(""))
+    f = r.select(id_, "chunk_index", "k", *(part(n).alias(n) for n in ("subject", "predicate", "object")), F.coalesce("f.confidence", F.lit(0.8)).alias("confidence"))
+    f = f.where("subject != '' and predicate != '' and object != '' and length(subject) <= 200 and length(object) <= 300")
+    w = Window.partitionBy(id_, F.lower("subject"), F.lower("predicate"), F.left(F.lower("object"), F.lit(50))).orderBy("chunk_index", "k")
+    f = f.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return f.select(id_, "subject", "predicate", "object", F.least(F.greatest("confidence", F.lit(0.3)), F.lit(1.0)).alias("confidence"), F.lit(0.6).alias("importance"))
+
+
+@query(
+    "select doc_id, trim(source) as subject, lang as predicate, left(text, 100) as object, least(greatest((doc_id % 13) / 10.0::double, 0.3), 1.0) as confidence from documents where length(text) >= 30 and regexp_replace(left(text, 100), '\\s', '', 'g') != '' and lang is not null "
+    "and doc_id % 3 != 2 and not regexp_matches(left(text, 100), '^\\s|\\s$')"
+)
+def model_fact_rows(t: Tables) -> DataFrame:
+    """EXT-8: replies made of documents, in fences or in other words; each third is broken."""
+    fact = F.to_json(F.array(F.struct(F.concat(F.lit(" "), "source").alias("subject"), F.col("lang").alias("predicate"), F.left("text", F.lit(100)).alias("object"), (F.col("doc_id") % 13 / F.lit(10.0)).alias("confidence"))))
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), fact, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here they are: "), fact, F.lit(" Done."))).otherwise(F.left(fact, F.length(fact) - 9))
+    d = t("documents").where(~F.left("text", F.lit(100)).rlike(r"^\s|\s$")).select("doc_id", F.lit(0).alias("chunk_index"), reply.alias("reply"), "text")
+    return model_facts(d, "doc_id", "reply", "text").drop("importance")
+
+
+def extract(notes: DataFrame, id_: str, replies: DataFrame | None = None) -> DataFrame:
+    """Facts of documents (id, content, mime_type, source_uri): web pages give their plain text as one fact's source, others their headings' facts; a model's facts beside them."""
+    web = F.col("mime_type").isin("text/html", "application/xhtml+xml") | F.col("source_uri").startswith("http")
+    content = F.when(web, plain_text(F.col("content"))).otherwise(F.col("content"))
+    facts = markdown_facts(notes.select(id_, content.alias("content")), id_, "content")
+    return facts if replies is None else facts.unionByName(model_facts(replies, id_, "reply", "text"))
+
+
+@query(_PATHS + f", z as (select page_id, path[len(path)] as subject, paragraph from y where level is null and len(path) > 0 qualify row_number() over (partition by page_id, path[len(path)] order by position) = 1), f as (select page_id, subject from z where {_sentences('paragraph')} != '') select page_id % 2 = 0 as web, count(subject) filter (page_id % 2 != 0) as facts from (select page_id from notes) n left join f using (page_id) group by 1", "notes")
+def extractor_routes(t: Tables) -> DataFrame:
+    """EXT-10: half of the pages are taken as they came, which has no headings, half as notes."""
+    n = t.notes().join(t("pages").select("page_id", "html"), "page_id")
+    rows = n.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.col("text")).alias("content"), F.when(F.col("page_id") % 2 == 0, "text/html").otherwise("text/markdown").alias("mime_type"), F.lit("file://").alias("source_uri"))
+    f = extract(rows, "page_id").groupBy((F.col("page_id") % 2 == 0).alias("web")).agg(F.count(F.lit(1)).alias("facts"))
+    return n.select((F.col("page_id") % 2 == 0).alias("web")).distinct().join(f, "web", "left").select("web", F.coalesce("facts", F.lit(0)).alias("facts"))
 
 
 @query(
@@ -76,52 +203,90 @@ def crawl_listing(t: Tables) -> DataFrame:
     return u.orderBy(F.desc("n"), "host").limit(50).select("host", "n", F.when(F.col("n") > 5, "approved").otherwise("proposed").alias("status"))
 
 
-def _sql_scrub(column: str) -> str:
-    for name, pattern, to in SCRUB:
-        column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
-    return column
+_LUHN = "list_sum(list_transform(range(1, length({c}) + 1), lambda k: case when k % 2 = 1 then substr({c}, length({c}) - k + 1, 1)::int else (case when substr({c}, length({c}) - k + 1, 1)::int > 4 then substr({c}, length({c}) - k + 1, 1)::int * 2 - 9 else substr({c}, length({c}) - k + 1, 1)::int * 2 end) end))::int % 10 = 0"
+
+
+def scrub_sql(source: str, id_: str, text: str, strict: bool = False) -> str:
+    """Tables s0, s1, ... of (id, t, n), rule after rule; the last one's name is ``scrubbed``."""
+    steps = [f"s0 as (select {id_}, {text} as t, 0 as n from {source})"]
+    for pattern, to in (PRIVATE_KEY, BEARER, *((p, TOKEN) for p in TOKENS)):
+        k = len(steps)
+        steps.append(f"s{k} as (select {id_}, regexp_replace(t, '{pattern}', '{to}', 'g') as t, n + coalesce(len(regexp_extract_all(t, '{pattern}')), 0) as n from s{k - 1})")
+    rules = [(CARD[0], _LUHN.format(c="regexp_replace(x, '[^0-9]', '', 'g')"), f"'{CARD[1]}'")]
+    rules += [(p, "not contains(x, 'REDACTED')", f"regexp_extract(x, '{p}', 1) || '{to}'") for p, to in (ENVIRONMENT, PASSWORD)]
+    rules += [(STRICT[0], "true", f"'{STRICT[1]}'")] if strict else []
+    for pattern, judge, new in rules:
+        k = len(steps)
+        steps.append(f"h{k} as (select {id_}, t, n, regexp_extract_all(t, '{pattern}') as h, regexp_split_to_array(t, '{pattern}') as p from s{k - 1})")
+        joined = f"array_to_string(list_transform(list_zip(p, list_transform(h, lambda x: case when {judge} then {new} else x end)), lambda z: z[1] || coalesce(z[2], '')), '')"
+        steps.append(f"s{len(steps)} as (select {id_}, case when len(h) > 0 then {joined} else t end as t, n + coalesce(len(list_filter(h, lambda x: {judge})), 0) as n from h{k})")
+    return ", ".join(steps) + f", scrubbed as (select {id_}, t, n from s{len(steps) - 1})"
 
 
-@query(f"select doc_id, sha256({_sql_scrub('text')}) as scrubbed from documents")
+@query("with " + scrub_sql("documents", "doc_id", "text") + " select doc_id, sha256(t) as scrubbed, n::bigint as redactions from scrubbed")
 def pii_scrub(t: Tables) -> DataFrame:
     """PII-1: the rules in order."""
-    return t("documents").select("doc_id", F.sha2(scrub(F.col("text")), 256).alias("scrubbed"))
+    return scrubbed(t("documents").select("doc_id", "text"), "text").select("doc_id", F.sha2("text", 256).alias("scrubbed"), "redactions")
 
 
-@query("select count(*) as rows_scanned, count(*) filter (" + _sql_scrub("text") + " != text) as rows_with_pii, sum(len(regexp_extract_all(text, '\\b[0-9]{13,19}\\b')))::bigint as card_like from documents")
+@query("with " + scrub_sql("documents", "doc_id", "text", True) + " select doc_id, sha256(t) as scrubbed, n::bigint as redactions from scrubbed")
+def pii_scrub_strict(t: Tables) -> DataFrame:
+    """PII-1, strict: any long number too."""
+    return scrubbed(t("documents").select("doc_id", "text"), "text", True).select("doc_id", F.sha2("text", 256).alias("scrubbed"), "redactions")
+
+
+@query("with " + scrub_sql("(select doc_id, '{\"note\":\"' || regexp_replace(text, '[\\x00-\\x1f\"\\\\]', ' ', 'g') || '\"}' as p from documents)", "doc_id", "p") + " select doc_id, n::bigint as redactions, not json_valid(t) as wrapped from scrubbed")
+def pii_envelopes(t: Tables) -> DataFrame:
+    """PII-2: payloads whose JSON a redaction breaks are wrapped."""
+    d = t("documents").select("doc_id", F.concat(F.lit('{"note":"'), F.regexp_replace("text", '[\\x00-\\x1f"\\\\]', " "), F.lit('"}')).alias("payload"))
+    return scrubbed_json(d, "payload").select("doc_id", "redactions", F.get_json_object("payload", "$._redacted_raw").isNotNull().alias("wrapped"))
+
+
+@query("with " + scrub_sql("documents", "doc_id", "text") + " select count(*) as rows_scanned, count(*) filter (n > 0) as rows_with_pii, sum(n)::bigint as redactions, (select string_agg(doc_id::varchar, ',' order by doc_id) from (select doc_id from scrubbed where n > 0 order by doc_id limit 5)) as samples from scrubbed")
 def pii_report(t: Tables) -> DataFrame:
-    """PII-3: a scan that changes nothing."""
-    d = t("documents").select(F.col("text"), (scrub(F.col("text")) != F.col("text")).alias("hit"), F.regexp_count("text", F.lit(r"\b[0-9]{13,19}\b")).alias("cards"))
-    return d.agg(F.count(F.lit(1)).alias("rows_scanned"), F.count_if("hit").alias("rows_with_pii"), F.sum("cards").alias("card_like"))
+    """PII-3: a scan that changes nothing, with five samples."""
+    d = scrubbed(t("documents").select("doc_id", "text"), "text").select("doc_id", "redactions")
+    totals = d.agg(F.count(F.lit(1)).alias("rows_scanned"), F.count_if(F.col("redactions") > 0).alias("rows_with_pii"), F.sum("redactions").alias("redactions"))
+    few = d.where("redactions > 0").orderBy("doc_id").limit(5).agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("samples"))
+    return totals.crossJoin(few)  # a row each
 
 
-@query(
-    r"with c as (select doc_id, unnest(regexp_extract_all(text, '\b[0-9]{13,19}\b')) as card from documents) select doc_id, card, "
-    "list_sum(list_transform(range(1, length(card) + 1), lambda k: case when k % 2 = 1 then substr(card, length(card) - k + 1, 1)::int else (case when substr(card, length(card) - k + 1, 1)::int > 4 then substr(card, length(card) - k + 1, 1)::int * 2 - 9 else substr(card, length(card) - k + 1, 1)::int * 2 end) end))::int % 10 = 0 as valid from c"
-)
+@query("with c as (select doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{13,19}\\b')) as card from documents) select doc_id, card, " + _LUHN.format(c="card") + " as valid from c")
 def luhn_cards(t: Tables) -> DataFrame:
     """PII-1: card-like numbers and whether their check digit is right."""
-    c = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{13,19}\b"), 0)).alias("card"))
+    c = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(java(r"\b[0-9]{13,19}\b")), 0)).alias("card"))
     return c.withColumn("valid", luhn_valid(F.col("card")))
 
 
-_CORRECTION = r"(?:^|[^\p{L}])(no|not|wrong|actually|instead)(?:[^\p{L}]|$)"
+def corrections_in(turns: DataFrame, text: str) -> DataFrame:
+    """Adds pattern and retracted (at most 500 characters) to the turns that take something back."""
+    return turns.withColumn("pattern", correction(F.col(text))).where("pattern is not null").withColumn("retracted", F.left(text, F.lit(MOST_RETRACTED)))
 
 
-@query(r"select conv_id, turn, regexp_extract(lower(left(question, 500)), '(?:^|[^\p{L}])(no|not|wrong|actually|instead)(?:[^\p{L}]|$)', 1) as pattern from questions where regexp_matches(lower(left(question, 500)), '(?:^|[^\p{L}])(no|not|wrong|actually|instead)(?:[^\p{L}]|$)')", "questions")
+_CORRECTED = "case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in CORRECTIONS) + " end"
+
+
+@query(f"select doc_id, {_CORRECTED} as pattern, sha256(left(text, 500)) as retracted from documents where {_CORRECTED} is not null")
 def corrections(t: Tables) -> DataFrame:
-    """COR-1: what sounds like a correction; the first 500 characters are the rule's own."""
-    q = F.lower(F.left("question", F.lit(500)))
-    return t.questions().where(q.rlike(_CORRECTION)).select("conv_id", "turn", F.regexp_extract(q, _CORRECTION, 1).alias("pattern"))
+    """COR-1: texts that take something back, by the first pattern that they hold."""
+    return corrections_in(t("documents"), "text").select("doc_id", "pattern", F.sha2("retracted", 256).alias("retracted"))
 
 
-@F.pandas_udf(StringType())
-def uuid5(names: pd.Series) -> pd.Series:
-    """Name-based identifiers: equal names, equal ids."""
-    return names.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
+def uuid5(name: Column, namespace: str = str(uuid.NAMESPACE_URL)) -> Column:
+    """Name-based identifiers: the SHA-1 of the namespace and the name, with the version's and the variant's bits."""
+    h = F.sha1(F.concat(F.lit(uuid.UUID(namespace).bytes), F.encode(name, "UTF-8")))
+    at = lambda k, n: F.substr(h, F.lit(k), F.lit(n))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(at(17, 1), 16, 10).cast("int") % 4 + 1))
+    return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-5"), at(14, 3), F.lit("-"), variant, at(18, 3), F.lit("-"), at(21, 12))
 
 
-@query()
+_UUID5 = (
+    "with h as (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chain|' || doc_id || '|' || source)) as h from documents) "
+    "select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::int % 4 + 1)::int, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as chain_id from h"
+)
+
+
+@query(_UUID5)
 def uuid5_ids(t: Tables) -> DataFrame:
     """GRA-9: deterministic chain ids."""
     return t("documents").select("doc_id", uuid5(F.concat_ws("|", F.lit("chain"), "doc_id", "source")).alias("chain_id"))
@@ -154,4 +319,8 @@ def insight_split(t: Tables) -> DataFrame:
     def parts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: split_insight(x or ""))
 
-    return t("documents").select("doc_id", F.posexplode(parts("text")).alias("part", "insight")).select("doc_id", "part", F.length("insight").alias("n_chars"))
+    # most texts are one part, and never leave the JVM
+    d = t("documents").select("doc_id", "text", uuid5(F.concat_ws("|", F.lit("insight"), "doc_id")).alias("root_id"))
+    short = d.where("length(text) between 1 and 2000").select("doc_id", "root_id", F.lit(0).alias("part"), F.length("text").alias("n_chars"))
+    long_ = d.where("length(text) > 2000").select("doc_id", "root_id", F.posexplode(parts("text")).alias("part", "insight"))
+    return short.unionByName(long_.select("doc_id", "root_id", "part", F.length("insight").alias("n_chars")))

@@ -76,6 +76,13 @@ class Tables:
             (F.col("event_id") % 9).alias("attempts"), (F.col("event_id") % 3 != 0).alias("drained"), (F.col("event_id") % 40).alias("age_days"),
         )
 
+    def notes(self) -> DataFrame:
+        """Pages as markdown notes: the menu's entries and the title are headings, paragraphs stand between blank lines."""
+        text = F.regexp_replace("html", r"<(?:title|style|script)[^>]*>[^<]*(?:</p>[^<]*)?</(?:title|style|script)>|<!--[^>]*>", "")
+        text = F.regexp_replace(F.regexp_replace(text, "<h1>", "\n\n# "), "<li>", "\n\n## ")
+        text = F.regexp_replace(F.regexp_replace(text, "<br>|</li>|</h1>|</p>|<p>|<div[^>]*>|</div>|<article>|<footer>", "\n\n"), "<[^>]+>", "")
+        return self("pages").select("page_id", "url", text.alias("text"))
+
     def questions(self) -> DataFrame:
         """What users asked, as it was said."""
         c = self("conversations").where(F.col("role") == "user")
@@ -99,6 +106,7 @@ SQL = {
     "nodes": "select conv_id * 1000 + turn as node, conv_id, turn, conv_id % 120 as age_days, turn % 5 = 4 as archived from conversations",
     "actions": "select event_id as action_id, event_type as source_system, case when user_id % 7 != 0 then 'p' || (user_id % 7) end as project, ts, strftime(ts, '%Y-%m-%d') as day, hour(ts)::int as hour, value, props from events",
     "outbox": "select event_id as seq, event_type as adapter, sha256(user_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d')) as idempotency_key, event_id % 9 as attempts, event_id % 3 != 0 as drained, event_id % 40 as age_days from events",
+    "notes": r"select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(?:title|style|script)[^>]*>[^<]*(?:</p>[^<]*)?</(?:title|style|script)>|<!--[^>]*>', '', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '<li>', chr(10) || chr(10) || '## ', 'g'), '<br>|</li>|</h1>|</p>|<p>|<div[^>]*>|</div>|<article>|<footer>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g') as text from pages",
     "questions": "select conv_id, turn, text as question from conversations where role = 'user'",
     "observations": "select doc_id as observe_id, case when doc_id % 3 = 0 then 'sensory' else 'local-file' end as kind, 'file://' || source || '/' || doc_id as source_uri, sha256(text) as content_hash, doc_id % 30 as age_days from documents",
 }
