@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-02-01 00:00:00"
+AS_OF_SEC = 1_706_745_600
 DAY = 86_400
 
 
@@ -29,6 +30,32 @@ class Tables:
             (F.lit(0.5) + (F.col("doc_id") % 50) / F.lit(100.0)).alias("confidence"), ((F.col("doc_id") % 90)).alias("age_days"), (F.col("doc_id") % 11 == 0).alias("archived"),
         )
 
+    def ranked_facts(self) -> DataFrame:
+        """Text facts with what the ranking needs; the seconds are those of the clock ``AS_OF``."""
+        d, k = self("documents"), F.col("doc_id")
+        return d.select(
+            k.alias("fact_id"), F.col("source").alias("subject"), F.col("lang").alias("predicate"), F.col("text").alias("object"), (F.lit(0.2) + (k % 80) / F.lit(100.0)).alias("confidence"),
+            (k % 37 / F.lit(37.0)).alias("importance"), F.when(k % 10 == 0, F.lit(0)).otherwise(F.lit(30 * DAY)).cast("long").alias("half_life_sec"), (F.lit(AS_OF_SEC) - (k * 7919) % 700 * DAY).alias("reinforced_sec"),
+            (k % 11 == 0).alias("archived"), k.alias("observe_id"),
+        )
+
+    def fact_contexts(self) -> DataFrame:
+        """(fact_id, context_id): a fact belongs to its source and to its language."""
+        d = self("documents")
+        return d.select(F.col("doc_id").alias("fact_id"), F.col("source").alias("context_id")).unionByName(d.select(F.col("doc_id").alias("fact_id"), F.col("lang").alias("context_id")))
+
+    def profiles(self) -> DataFrame:
+        """Ranking profiles; the one of phase 2 is superseded."""
+        k = F.col("r_regionkey")
+        pick = lambda a, b, c: F.when(k == 0, F.lit(a)).when(k == 1, F.lit(b)).otherwise(F.lit(c))
+        name = F.when(k == 0, "rp-phase3-default").when(k == 1, "rp-phase2-default").otherwise(F.concat(F.lit("rp-"), F.lower("r_name")))
+        return self("region").select(name.alias("profile_id"), pick(1.2, 1.0, 0.5).alias("w1"), pick(0.15, 0.2, 0.5).alias("w2"), pick(0.1, 0.1, 0.0).alias("w3"), pick(0.1, 0.0, 0.5).alias("w4"), F.lit(100).alias("access_saturation"), F.when(k == 1, "rp-phase3-default").alias("superseded_by"))
+
+    def wiki(self) -> DataFrame:
+        """Pages about sources, with the days since they were written; some were never, for some the last attempt failed."""
+        d = self("documents").groupBy("source").agg(F.max("doc_id").alias("n"))
+        return d.select(F.concat(F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "-"), F.lit(".md")).alias("path"), F.col("source").alias("title"), F.when(F.col("n") % 5 != 0, F.col("n") % 60).alias("synthesis_days"), (F.col("n") % 7 == 0).alias("failed"))
+
     def decaying(self) -> DataFrame:
         """Facts with importance, half-life and the seconds since they were last reinforced."""
         p = self("part")
@@ -98,6 +125,10 @@ class Tables:
 
 #: The same tables as SQL over the registered views.
 SQL = {
+    "ranked_facts": "select doc_id as fact_id, source as subject, lang as predicate, text as object, 0.2::double + (doc_id % 80) / 100.0::double as confidence, (doc_id % 37) / 37.0::double as importance, case when doc_id % 10 = 0 then 0 else 2592000 end::bigint as half_life_sec, 1706745600 - (doc_id * 7919) % 700 * 86400 as reinforced_sec, doc_id % 11 = 0 as archived, doc_id as observe_id from documents",
+    "fact_contexts": "select doc_id as fact_id, source as context_id from documents union all select doc_id, lang from documents",
+    "profiles": "select case r_regionkey when 0 then 'rp-phase3-default' when 1 then 'rp-phase2-default' else 'rp-' || lower(r_name) end as profile_id, case r_regionkey when 0 then 1.2 when 1 then 1.0 else 0.5 end::double as w1, case r_regionkey when 0 then 0.15 when 1 then 0.2 else 0.5 end::double as w2, case when r_regionkey <= 1 then 0.1 else 0.0 end::double as w3, case r_regionkey when 0 then 0.1 when 1 then 0.0 else 0.5 end::double as w4, 100 as access_saturation, case when r_regionkey = 1 then 'rp-phase3-default' end as superseded_by from region",
+    "wiki": "select regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') || '.md' as path, source as title, case when n % 5 != 0 then n % 60 end as synthesis_days, n % 7 = 0 as failed from (select source, max(doc_id) as n from documents group by source)",
     "facts": "select doc_id as fact_id, source as subject, lang as predicate, text as object, 0.5::double + (doc_id % 50) / 100.0::double as confidence, doc_id % 90 as age_days, doc_id % 11 = 0 as archived from documents",
     "decaying": "select p_partkey as fact_id, p_brand as subject, p_retailprice / 2500.0::double as importance, (p_partkey * 7919) % 700 * 86400 as idle_sec, case when p_size = 1 then 0 else 2592000 end::bigint as half_life_sec, p_size % 10 = 0 as pinned, 0.5::double + (p_partkey % 50) / 100.0::double as confidence, p_partkey % 13 = 0 as archived from part",
     "claims": "select s_suppkey as fact_id, n_name as subject, 'capital-of' as predicate, s_name as object, round(floor(s_acctbal / 1000) / 10.0::double, 1) as confidence, s_suppkey % 40 as age_days from supplier join nation on s_nationkey = n_nationkey",
