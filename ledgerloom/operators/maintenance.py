@@ -39,20 +39,15 @@ def outbox_prune(t: Tables) -> DataFrame:
     return t.outbox().where("drained and age_days > 7 and attempts < 6").groupBy("adapter").agg(F.count(F.lit(1)).alias("pruned"))
 
 
-def winners(claims: DataFrame) -> DataFrame:
-    """Adds winner to facts whose (subject, predicate) has several objects: the surest, then the newest, then the highest id."""
-    group = Window.partitionBy("subject", "predicate")
-    order = group.orderBy(F.desc("confidence"), "age_days", F.desc("fact_id"))
-    return claims.withColumn("rank", F.row_number().over(order)).withColumn("winner", F.first("fact_id").over(order)).withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
+_LOSERS = "with w as (select *, first(fact_id) over (partition by subject, predicate order by confidence desc, age_days, fact_id desc) as winner from claims) "
 
 
-_RANKED = "with w as (select *, row_number() over (partition by subject, predicate order by confidence desc, age_days, fact_id desc) as rank, first(fact_id) over (partition by subject, predicate order by confidence desc, age_days, fact_id desc) as winner, count(*) over (partition by subject, predicate) as n from claims) "
-
-
-@query(_RANKED + "select fact_id, winner as replaced_by, 'contradicted' as archive_reason from w where n > 1 and rank > 1", "claims")
+@query(_LOSERS + "select fact_id, winner as replaced_by, 'contradicted' as archive_reason from w x where exists (select 1 from claims y where y.subject = x.subject and y.predicate = x.predicate and y.object != x.object and (y.confidence > x.confidence or (y.confidence = x.confidence and (y.age_days < x.age_days or (y.age_days = x.age_days and y.fact_id > x.fact_id)))))", "claims")
 def contradiction_winners(t: Tables) -> DataFrame:
     """DOM-3, WIN-1: what loses, and to what."""
-    return winners(t.claims()).where("rank > 1").select("fact_id", F.col("winner").alias("replaced_by"), F.lit("contradicted").alias("archive_reason"))
+    from .lifecycle import arbitration
+
+    return arbitration(t.claims())[0].where("replaced_by is not null").select("fact_id", "replaced_by", "archive_reason")
 
 
 @query("select subject, predicate, count(distinct object) as objects, min(fact_id) as first_fact, max(confidence) as best from claims group by all having count(distinct object) > 1", "claims")
@@ -71,70 +66,98 @@ def contradiction_pairs(t: Tables) -> DataFrame:
     return x.join(y, ["subject", "predicate"]).where((F.col("object_x") != F.col("object_y")) & stronger).select("subject", F.col("fact_id_x").alias("a"), F.col("fact_id_y").alias("b"))
 
 
-def _oldest(df: DataFrame, kind: str, ref: Column, age: str) -> DataFrame:
-    """The oldest ``CAP`` targets as signals; the cap is the scanner's own."""
-    return df.select(F.lit(kind).alias("kind"), ref.cast("string").alias("target_ref"), F.col(age).cast("long").alias("age")).orderBy(F.desc("age"), "target_ref").limit(CAP)
+def _found(df: DataFrame, kind: str, severity: str, ref: Column, message: Column, *order: Column) -> DataFrame:
+    """The first ``CAP`` targets as signals (kind, severity, message, target_ref); the cap is the scanner's own."""
+    return df.orderBy(*order).limit(CAP).select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"), ref.alias("target_ref"))
+
+
+def stuck_outbox(outbox: DataFrame, days: int = 1) -> DataFrame:
+    """Rows (seq, adapter, age_days, drained, attempts) that wait longer and aren't quarantined."""
+    o = outbox.where(~F.col("drained") & (F.col("attempts") <= 5) & (F.col("age_days") > days))
+    return _found(o, "stuck_outbox", "warn", F.concat(F.lit("outbox:"), "seq"), F.format_string("outbox row seq=%d (adapter=%s) has been un-drained for %d days", F.col("seq").cast("long"), "adapter", F.col("age_days").cast("long")), F.desc("age_days"), F.col("seq"))
+
+
+def stale_facts(facts: DataFrame, days: int = 90) -> DataFrame:
+    """Facts (fact_id, subject, idle_sec, archived, pinned) that nothing has reinforced for so long."""
+    f = facts.where(~F.col("archived") & ~F.col("pinned") & (F.col("idle_sec") > days * 86_400))
+    return _found(f, "stale_fact", "info", F.concat(F.lit("fact:"), "fact_id"), F.format_string("fact (%s) has not been reinforced for %d seconds (> %dd)", "subject", F.col("idle_sec").cast("long"), F.lit(days)), F.desc("idle_sec"), F.col("fact_id"))
+
+
+def unresolved(facts: DataFrame, days: int = 7) -> DataFrame:
+    """Subjects with several objects of a predicate that can have one only, older than so many days."""
+    from .lifecycle import contradictable
+
+    c = facts.where((F.col("age_days") > days) & contradictable(F.col("subject"), F.col("predicate"))).groupBy("subject", "predicate").agg(F.countDistinct("object").alias("n"), F.max("age_days").alias("age")).where("n >= 2")
+    return _found(c, "unresolved_contradiction", "warn", F.concat(F.lit("contradiction:"), "subject", F.lit("/"), "predicate"), F.format_string("%d active objects for (%s, %s)", "n", "subject", "predicate"), F.desc("age"), F.col("subject"), F.col("predicate"))
 
 
-def stuck_outbox(t: Tables) -> DataFrame:
-    return _oldest(t.outbox().where("not drained and age_days > 1"), "stuck_outbox", F.col("seq"), "age_days")
+def orphan_facts(facts: DataFrame, links: DataFrame, accesses: DataFrame, since: Column, days: int = 30) -> DataFrame:
+    """Facts older than so many days that no link (a, b) touches and that nobody looked at since then: one anti join on the union of all ids in use."""
+    used = links.select(F.col("a").alias("fact_id")).unionByName(links.select(F.col("b").alias("fact_id"))).unionByName(accesses.where(F.col("ts") >= since).select("fact_id")).distinct()
+    f = facts.where(~F.col("archived") & (F.col("age_days") > days)).join(used, "fact_id", "left_anti")
+    return _found(f, "orphan_delta", "info", F.concat(F.lit("fact:"), "fact_id"), F.format_string("orphan fact (%s, %s): no links, no access in %dd", "subject", "predicate", F.lit(days)), F.desc("age_days"), F.col("fact_id"))
 
 
-def stale_facts(t: Tables) -> DataFrame:
-    return _oldest(t.decaying().where("not archived and not pinned and idle_sec > 90 * 86400"), "stale_fact", F.col("fact_id"), "idle_sec")
+def stale_pages(pages: DataFrame, days: int = 30) -> DataFrame:
+    """Pages (path, title, synthesis_days, failed) whose last attempt failed, that were never written, or too long ago."""
+    p = pages.where(F.col("failed") | F.col("synthesis_days").isNull() | (F.col("synthesis_days") > days))
+    reason = F.when(F.col("failed"), "last rebuild failed").when(F.col("synthesis_days").isNotNull(), F.format_string("last synthesis is older than %dd", F.lit(days))).otherwise("never synthesized")
+    return _found(p, "stale_wiki", "info", F.concat(F.lit("wiki:"), "path"), F.concat(F.lit('wiki page "'), "title", F.lit('" is stale: '), reason), F.desc(F.coalesce("synthesis_days", F.lit(1 << 30))), F.col("path"))
 
 
-def unresolved(t: Tables) -> DataFrame:
-    c = t.claims().where("age_days > 7").groupBy("subject").agg(F.countDistinct("object").alias("n"), F.max("age_days").alias("age_days")).where("n > 1")
-    return _oldest(c, "unresolved_contradiction", F.col("subject"), "age_days")
+_SINCE = "2024-01-02 00:00:00"
 
 
-def orphan_facts(t: Tables) -> DataFrame:
-    used = t.accesses().select("fact_id").distinct()
-    return _oldest(t.facts().where("not archived and age_days > 30").join(used, "fact_id", "left_anti"), "orphan_delta", F.col("fact_id"), "age_days")
+def _stuck(t: Tables) -> DataFrame:
+    return stuck_outbox(t.outbox())
 
 
-_STUCK = "(select 'stuck_outbox' as kind, seq::varchar as target_ref, age_days::bigint as age from outbox where not drained and age_days > 1 order by age desc, target_ref limit 100)"
-_STALE = "(select 'stale_fact' as kind, fact_id::varchar as target_ref, idle_sec::bigint as age from decaying where not archived and not pinned and idle_sec > 90 * 86400 order by age desc, target_ref limit 100)"
-_UNRES = "(select 'unresolved_contradiction' as kind, subject as target_ref, max(age_days)::bigint as age from claims where age_days > 7 group by subject having count(distinct object) > 1 order by age desc, target_ref limit 100)"
-_ORPH = "(select 'orphan_delta' as kind, fact_id::varchar as target_ref, age_days::bigint as age from facts f where not archived and age_days > 30 and not exists (select 1 from accesses a where a.fact_id = f.fact_id) order by age desc, target_ref limit 100)"
+def _orphans(t: Tables) -> DataFrame:
+    return orphan_facts(t.facts(), t.links(), t.accesses(), F.lit(_SINCE).cast("timestamp_ntz"))
+
+
+_STUCK = "(select 'stuck_outbox' as kind, 'warn' as severity, 'outbox row seq=' || seq || ' (adapter=' || adapter || ') has been un-drained for ' || age_days || ' days' as message, 'outbox:' || seq as target_ref from outbox where not drained and attempts <= 5 and age_days > 1 order by age_days desc, seq limit 100)"
+_STALE = "(select 'stale_fact' as kind, 'info' as severity, 'fact (' || subject || ') has not been reinforced for ' || idle_sec || ' seconds (> 90d)' as message, 'fact:' || fact_id as target_ref from decaying where not archived and not pinned and idle_sec > 90 * 86400 order by idle_sec desc, fact_id limit 100)"
+_UNRES = "(select 'unresolved_contradiction' as kind, 'warn' as severity, n || ' active objects for (' || subject || ', ' || predicate || ')' as message, 'contradiction:' || subject || '/' || predicate as target_ref from (select subject, predicate, count(distinct object) as n, max(age_days) as age from claims where age_days > 7 and predicate = 'capital-of' group by all) where n >= 2 order by age desc, subject limit 100)"
+_ORPH = f"(select 'orphan_delta' as kind, 'info' as severity, 'orphan fact (' || subject || ', ' || predicate || '): no links, no access in 30d' as message, 'fact:' || fact_id as target_ref from facts f where not archived and age_days > 30 and not exists (select 1 from links l where l.a = f.fact_id or l.b = f.fact_id) and not exists (select 1 from accesses a where a.fact_id = f.fact_id and a.ts >= timestamp '{_SINCE}') order by age_days desc, fact_id limit 100)"
+_WIKI = "(select 'stale_wiki' as kind, 'info' as severity, 'wiki page \"' || title || '\" is stale: ' || case when failed then 'last rebuild failed' when synthesis_days is not null then 'last synthesis is older than 30d' else 'never synthesized' end as message, 'wiki:' || path as target_ref from wiki where failed or synthesis_days is null or synthesis_days > 30 order by coalesce(synthesis_days, 1 << 30) desc, path limit 100)"
 
 
 @query(f"select * from {_STUCK}", "outbox")
 def triage_stuck_outbox(t: Tables) -> DataFrame:
-    """DOM-5."""
-    return stuck_outbox(t)
+    """DOM-5, FIL-4."""
+    return _stuck(t)
 
 
 @query(f"select * from {_STALE}", "decaying")
 def triage_stale_fact(t: Tables) -> DataFrame:
-    return stale_facts(t)
+    """DOM-5."""
+    return stale_facts(t.decaying())
 
 
 @query(f"select * from {_UNRES}", "claims")
 def triage_unresolved_contradiction(t: Tables) -> DataFrame:
-    return unresolved(t)
+    """DOM-5, FIL-10."""
+    return unresolved(t.claims())
 
 
-@query(f"select * from {_ORPH}", "facts", "accesses")
+@query(f"select * from {_ORPH}", "facts", "accesses", "links")
 def triage_orphan(t: Tables) -> DataFrame:
-    """JOIN-6: no access at all and old enough."""
-    return orphan_facts(t)
+    """DOM-5, JOIN-6: no link and no late access."""
+    return _orphans(t)
 
 
-@query(f"select kind, count(*) as n, max(age) as oldest from (from {_STUCK} union all from {_STALE} union all from {_UNRES} union all from {_ORPH}) group by kind", "outbox", "decaying", "claims", "facts", "accesses")
-def triage_by_kind(t: Tables) -> DataFrame:
-    """DOM-5/6: all scanners together."""
-    u = stuck_outbox(t).unionByName(stale_facts(t)).unionByName(unresolved(t)).unionByName(orphan_facts(t))
-    return u.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("age").alias("oldest"))
+@query(f"select * from {_WIKI}", "wiki")
+def triage_stale_wiki(t: Tables) -> DataFrame:
+    """DOM-5, SORT-4: never written ones come first."""
+    return stale_pages(t.wiki())
 
 
-@query("with p as (select source, max(doc_id) as newest, count(*) as n from documents group by source), f as (select subject, max(fact_id) filter (age_days < 30) as changed from facts group by subject) select source as page, n from p join f on f.subject = p.source where f.changed > p.newest - 200", "facts")
-def triage_stale_wiki(t: Tables) -> DataFrame:
-    """DOM-5/20, JOIN-14: pages whose newest fact is later than they are."""
-    p = t("documents").groupBy("source").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("n"))
-    f = t.facts().groupBy("subject").agg(F.max(F.when(F.col("age_days") < 30, F.col("fact_id"))).alias("changed"))
-    return p.join(f, F.col("source") == F.col("subject")).where(F.col("changed") > F.col("newest") - 200).select(F.col("source").alias("page"), "n")
+@query(f"select kind, severity, count(*) as n from (from {_STUCK} union all from {_STALE} union all from {_UNRES} union all from {_ORPH} union all from {_WIKI}) group by all", "outbox", "decaying", "claims", "facts", "accesses", "links", "wiki")
+def triage_by_kind(t: Tables) -> DataFrame:
+    """DOM-5/6: all scanners together."""
+    u = _stuck(t).unionByName(stale_facts(t.decaying())).unionByName(unresolved(t.claims())).unionByName(_orphans(t)).unionByName(stale_pages(t.wiki()))
+    return u.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 _VERDICT = "case when toxic = 1 then 'rejected' when quality = 1 then 'confirmed' when doc_id % 2 = 0 then 'refined' end"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import activity, graph, ledger_ops, maintenance, questions, retrieval, similarity, text_ops
+from ledgerloom.operators import activity, graph, ledger_ops, lifecycle, maintenance, questions, retrieval, similarity, text_ops
 from ledgerloom.streaming.drain import Breaker, drain, failures
 
 
@@ -66,9 +66,90 @@ def test_links_refuse_loops_and_weights_out_of_range(spark):
 
 
 def test_winner_by_confidence_then_age_then_id(spark):
-    claims = spark.createDataFrame([(1, "s", "p", "a", 0.5, 1), (2, "s", "p", "b", 0.9, 5), (3, "s", "p", "c", 0.9, 5), (4, "t", "p", "a", 0.1, 1)], "fact_id long, subject string, predicate string, object string, confidence double, age_days long")
-    got = {r.fact_id: r.winner for r in maintenance.winners(claims).collect()}
-    assert got == {1: 3, 2: 3, 3: 3}
+    kind = "fact_id long, subject string, predicate string, object string, confidence double, age_days long"
+    claims = [(1, "s", "capital-of", "a", 0.5, 1), (2, "s", "capital-of", "b", 0.9, 5), (3, "s", "Capital-of ", "c", 0.9, 5), (4, "t", "capital-of", "a", 0.1, 1)]
+    claims += [(5, "u", "capital-of", "x", 0.9, 1), (6, "u", "capital-of", "x", 0.5, 1), (7, "u", "capital-of", "y", 0.7, 1), (8, "u", "capital-of", "x", 0.8, 1)]  # 8 has the winner's object, and nothing stronger against it
+    claims += [(9, "notes", "capital-of", "a", 0.5, 1), (10, "notes", "capital-of", "b", 0.4, 1), (11, "v", "describes", "a", 0.5, 1), (12, "v", "describes", "b", 0.4, 1), (13, "image 3", "capital-of", "a", 0.5, 1), (14, "image 3", "capital-of", "b", 0.5, 1)]
+    facts, links, audit = lifecycle.arbitration(spark.createDataFrame(claims, kind))
+    got = {r.fact_id: r.replaced_by for r in facts.collect()}
+    assert {k: v for k, v in got.items() if v} == {1: 2, 6: 5, 7: 5} and len(got) == 14
+    assert {(r.a, r.b) for r in links.collect()} == {(1, 2), (6, 5), (7, 5)}
+    assert {r.target_id: r.loser_ids for r in lifecycle.recorded(audit).where("error is null").collect()} == {"cg:s:capital-of": [1], "cg:u:capital-of": [6, 7]}
+    assert all(x.count() == 0 for x in lifecycle.arbitration(spark.createDataFrame([], kind)))
+
+
+def test_decisions_below_the_floor_are_errors(spark):
+    e = spark.createDataFrame([("kernel", 0.9), ("kernel", 0.89), ("instance", 0.85), ("exploration", 0.7), ("other", 1.0)], "tier string, confidence double")
+    assert [r.error for r in lifecycle.recorded(e).collect()] == [None, "below floor", None, "below floor", "unknown tier"]
+
+
+def test_gaps_count_on_and_keep_their_status(spark):
+    gaps = spark.createDataFrame([], "problem_id string, question string, status string, ask_count long, last_asked long, confidence double, tags string")
+    asks = lambda *rows: spark.createDataFrame(rows, "question string, at long, confidence double, tags string")
+    one = lifecycle.log_gaps(gaps, asks(("How?", 1, 0.1, None), ("how", 2, None, "x"), ("Why?", 1, 0.3, None)))
+    got = {r.question: r for r in one.collect()}
+    assert got["How?"].ask_count == 2 and got["How?"].confidence is None and got["How?"].tags == "x" and got["Why?"].status == "open"
+    two = lifecycle.moved(one, one.where("question = 'How?'"), "problem_id", "open", "dismissed")
+    three = lifecycle.log_gaps(two, asks(("HOW??", 9, 0.4, None)))
+    row = three.where("question = 'How?'").first()
+    assert (row.status, row.ask_count, row.last_asked, row.tags) == ("dismissed", 3, 9, "x")
+    assert lifecycle.moved(three, three, "problem_id", "open", "resolved").where("question = 'How?'").first().status == "dismissed"
+    assert [r.question for r in lifecycle.list_gaps(three).collect()] == ["Why?", "How?"] and lifecycle.list_gaps(three, since=5).count() == 1 and lifecycle.list_gaps(three, "open", limit=5).count() == 1
+    assert lifecycle.forgotten(three, three, "problem_id").count() == 0
+
+
+def test_crawl_queue_hides_what_was_rejected(spark):
+    queue = spark.createDataFrame([], "url_hash string, url string, status string, proposed_by string, proposed_at long, rationale string")
+    p = lambda *rows: spark.createDataFrame(rows, "url string, proposed_by string, at long, rationale string")
+    q = lifecycle.propose(queue, p((" HTTP://Example.com/#x", None, 1, "a"), ("http://example.com", "agent", 2, None), ("no url", None, 1, None), (None, None, 1, None)))
+    assert [(r.url, r.status, r.proposed_by, r.rationale) for r in q.collect()] == [("http://example.com", "proposed", "agent", None)]
+    q = lifecycle.moved(q, q, "url_hash", "proposed", "rejected")
+    q = lifecycle.propose(q, p(("http://example.com/", None, 5, "again")))
+    assert [(r.status, r.proposed_at, r.rationale, r.proposed_by) for r in q.collect()] == [("rejected", 5, "again", "agent")]
+    assert lifecycle.list_crawl(q).count() == 0 and lifecycle.list_crawl(q, "rejected").count() == 1
+
+
+def test_signals_are_not_doubled_and_resolve_once(spark):
+    kind = "kind string, severity string, message string, target_ref string, created long, resolved long, resolved_by string"
+    s = spark.createDataFrame([("k", "info", "m", "a", 1, None, None), ("k", "info", "m", "b", 1, 1, "user")], kind)
+    found = spark.createDataFrame([("k", "info", "new", x) for x in ("a", "b", "c", "c")], "kind string, severity string, message string, target_ref string")
+    after = lifecycle.signals_after(s, found, 2)
+    assert sorted((r.target_ref, r.created) for r in after.collect()) == [("a", 1), ("b", 1), ("b", 2), ("c", 2)]
+    done = lifecycle.resolve_signals(after, found.where("target_ref = 'b'"), 3, "agent")
+    assert sorted((r.created, r.resolved_by) for r in done.where("target_ref = 'b'").collect()) == [(1, "user"), (2, "agent")]
+    assert lifecycle.list_signals(done).count() == 2 and lifecycle.list_signals(done, resolved=True).count() == 4 and lifecycle.list_signals(done, kind="x").count() == 0
+
+
+def test_related_facts_stay_in_their_session(spark):
+    facts = spark.createDataFrame([(1, "harbour lights", "failed twice", "s1", 1, False), (2, "harbour lights", "failed twice", "s2", 1, False), (3, "harbour lights", "old", None, 90, False), (4, "harbour lights", "new", None, 2, False), (5, "harbour lights", "gone", "s1", 1, True)], "fact_id long, subject string, object string, session_id string, age_days long, archived boolean")
+    events = spark.createDataFrame([(1, "s1", "the harbour lights failed"), (2, None, "harbour lights"), (3, "s9", "harbour lights"), (4, None, None)], "event_id long, session_id string, text string")
+    got = sorted((r.event_id, r.fact_id, r.overlap) for r in lifecycle.related_facts(events, facts).collect())
+    assert got == [(1, 1, 3), (2, 1, 2), (2, 2, 2), (2, 4, 2)]
+
+
+def test_ranking_profile_must_be_active(spark):
+    p = spark.createDataFrame([("a", 1.0, None), ("b", 1.0, "a")], "profile_id string, w1 double, superseded_by string")
+    assert retrieval.ranking_profile(p, "a")["w1"] == 1.0
+    for bad in ("b", "c"):
+        with pytest.raises(ValueError):
+            retrieval.ranking_profile(p, bad)
+
+
+def test_gap_rule_without_hits_or_with_weak_ones(spark):
+    q = spark.createDataFrame([(k,) for k in range(4)], "question_id long")
+    hits = spark.createDataFrame([(1, 0.9, 1), (1, 0.1, 2), (2, 0.39, 1), (2, 0.9, 2)], "question_id long, confidence double, rank_position long")
+    pages = spark.createDataFrame([(3, "p")], "question_id long, path string")
+    got = {r.question_id: r.is_gap for r in retrieval.gaps_of(q, hits, pages).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True}
+    assert {r.question_id: r.is_gap for r in retrieval.gaps_of(q, hits, pages, answered=False).collect()} == {0: True, 1: False, 2: False, 3: False}
+
+
+def test_page_context_by_subject_or_by_name(spark):
+    q = spark.createDataFrame([(1, "x"), (2, "The Harbour!"), (3, "?!")], "question_id long, text string")
+    hits = spark.createDataFrame([(1, f"s{k}", k) for k in range(7)], "question_id long, subject string, rank_position long")
+    pages = spark.createDataFrame([(f"s{k}.md", f"s{k}", k) for k in range(7)] + [("the-harbour.md", "H", 3), ("other.md", "the-harbour", 1)], "path string, title string, synthesis_days long")
+    got = sorted((r.question_id, r.path) for r in retrieval.page_context(q, hits, pages).collect())
+    assert got == [(1, f"s{k}.md") for k in range(5)] + [(2, "other.md")]
 
 
 def test_question_keys_ignore_case_space_and_stops(spark):
