@@ -108,14 +108,6 @@ def active_policies(t: Tables) -> DataFrame:
     return p.join(gone, "p_partkey", "left_anti").groupBy(F.col("p_brand").alias("policy")).agg(F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("active"))
 
 
-@query("select case when lower(url) like '%.html' then 'text/html' when lower(url) like '%.json' then 'application/json' when lower(url) like '%.md' then 'text/markdown' else 'text/plain' end as mime, count(*) as n from pages group by 1")
-def mime_types(t: Tables) -> DataFrame:
-    """SRC-2."""
-    u = F.lower("url")
-    m = F.when(u.endswith(".html"), "text/html").when(u.endswith(".json"), "application/json").when(u.endswith(".md"), "text/markdown").otherwise("text/plain")
-    return t("pages").groupBy(m.alias("mime")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("select source_uri, observe_id from observations where not regexp_matches(source_uri, '^file://src1[0-9]/')", "observations")
 def self_consumption_guard(t: Tables) -> DataFrame:
     """FIL-6/7: the ledger doesn't read what it has written."""
