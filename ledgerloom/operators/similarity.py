@@ -6,17 +6,19 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ..functions.text import jaccard
+from ..functions.text import jaccard, normalised
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
+from ..sources.scratch import saved
+from .sequences import with_previous
 
 #: The MinHash prime and the gates' thresholds.
 PRIME = 4_294_967_311
-SAME, NOVEL = 0.98, 0.05
+SAME, NOVEL, COSINE = 0.98, 0.05, 0.985
 
 
 @query("select sha256(text) as content_hash, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
@@ -44,34 +46,102 @@ def word_set(text: Column) -> Column:
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """Each text beside the one before it from its source: a source's documents are its versions."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs.withColumn("words", word_set(F.col("text"))).withColumn("before", F.lag("words").over(w)).withColumn("text_before", F.lag("text").over(w)).where("before is not null")
+    """(doc_id, prior): each document and the one before it from its source, by ids alone; a source's documents are its versions."""
+    ids = with_previous(docs.select("doc_id", "source"), ["source"], F.shiftright("doc_id", 16), ["doc_id"], ["doc_id"])
+    return ids.select("doc_id", F.col("before.doc_id").alias("prior"))
 
 
-_VERSIONS = (
-    r"with d as (select doc_id, source, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda x: x != '')) as w from documents), "
-    "v as (select *, lag(w) over (partition by source order by doc_id) as b, lag(text) over (partition by source order by doc_id) as tb from d), "
-    "j as (select doc_id, text, tb, len(list_intersect(w, b)) / (len(w) + len(b) - len(list_intersect(w, b)))::double as sim, (len(w) - len(list_intersect(w, b))) / len(w)::double as novel from v where b is not null) "
-)
+def beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (doc_id, prior) with both rows of the table (doc_id, ...): its columns, and those of the prior as structs ``was``."""
+    was = table.select(F.col("doc_id").alias("prior"), F.struct(*[c for c in table.columns if c != "doc_id"]).alias("was"))
+    return pairs.join(table, "doc_id").join(was, "prior", "left")
+
 
+_VERSIONS = "with v as (select doc_id, text, lag(doc_id) over (partition by source order by doc_id) as prior, lag(text) over (partition by source order by doc_id) as tb from documents) "
+_JACCARD = "len(list_intersect(w, b)) / (len(w) + len(b) - len(list_intersect(w, b)))::double"
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[ \n\t\r]+'), lambda x: x != ''))"
 
-@query(_VERSIONS + "select doc_id, round(sim, 6) as similarity from j")
+
+@query(_VERSIONS + f", j as (select doc_id, {_WORDS.format(x='text')} as w, {_WORDS.format(x='tb')} as b from v where prior is not null) select doc_id, round(case when len(w) + len(b) = 0 then 0 else {_JACCARD} end, 6) as similarity from j")
 def exact_jaccard_versions(t: Tables) -> DataFrame:
     """SIM-4: exact Jaccard of each version and the one before."""
-    return versions(t("documents")).select("doc_id", F.round(jaccard(F.col("words"), F.col("before")), 6).alias("similarity"))
+    d = t("documents")
+    v = beside(versions(d).where("prior is not null"), d.select("doc_id", word_set(F.col("text")).alias("words")))
+    return v.select("doc_id", F.round(jaccard(F.col("words"), F.col("was.words")), 6).alias("similarity"))
 
 
-@query(_VERSIONS + "select doc_id, case when text = tb then 'same-bytes' when trim(lower(text)) = trim(lower(tb)) then 'same-text' when sim >= 0.98 then 'near-same' when novel < 0.05 then 'nothing-new' else 'noteworthy' end as reason from j")
-def noteworthy_gates(t: Tables) -> DataFrame:
-    """SIM-3: the gates in order; what passes all is noteworthy."""
-    v = versions(t("documents"))
-    novel = F.size(F.array_except("words", "before")) / F.size("words")
+@F.pandas_udf(ArrayType(LongType()))
+def shingles(texts: pd.Series) -> pd.Series:
+    """64-bit hashes of a text's shingles of five characters, distinct; a shorter text is one shingle."""
+    out = []
+    for t in texts:
+        codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h = np.zeros(max(1, len(codes) - 4) if len(codes) else 0, np.uint64)
+        for k in range(min(5, len(codes))):
+            h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out.append(np.unique(h).view(np.int64))
+    return pd.Series(out)
+
+
+def gates(pairs: DataFrame, snapshots: DataFrame, chunks: DataFrame | None = None, facts: DataFrame | None = None, same: float = SAME, novel: float = NOVEL, estimated: bool = True) -> DataFrame:
+    """(doc_id, reason, noteworthy, jaccard, novel_ratio, new_facts): whether a version says anything that the prior one (null: there is none) doesn't.
+
+    snapshots (doc_id, raw, normalised): the bytes' equality, then that of the normalised text, then MinHash (or exact) similarity of its shingles of
+    five characters, then the share of chunks (doc_id, score: the cosine of its nearest stored vector) that are new; a version without chunks is
+    all new.  The number of new facts (doc_id, n) is a signal only.
+    """
+    s = snapshots.select("doc_id", F.sha2("raw", 256).alias("raw"), F.sha2("normalised", 256).alias("norm"), (minhash if estimated else shingles)("normalised").alias("sketch"))
+    v = beside(pairs, saved(s, "sketches"))
+    if estimated:
+        alike = F.size(F.filter(F.zip_with("sketch", "was.sketch", lambda x, y: x == y), lambda x: x)) / 128.0
+        alike = F.when((F.size("sketch") == 0) & (F.size("was.sketch") == 0), 1.0).otherwise(alike)
+    else:
+        alike = jaccard(F.col("sketch"), F.col("was.sketch"))
+    fresh = None if chunks is None else chunks.groupBy("doc_id").agg((F.count_if(F.col("score").isNull() | (F.col("score") < COSINE)) / F.count(F.lit(1))).alias("_novel"))
+    v = v.withColumn("_novel", F.lit(None).cast("double")) if fresh is None else v.join(fresh, "doc_id", "left")
+    v = v.withColumn("_facts", F.lit(0)) if facts is None else v.join(facts.select("doc_id", F.col("n").alias("_facts")), "doc_id", "left")
+    v = v.withColumn("_alike", F.when(F.col("was").isNull(), 0.0).when(F.col("norm") == F.col("was.norm"), 1.0).otherwise(alike)).withColumn("_novel", F.coalesce("_novel", F.lit(1.0)))
     reason = (
-        F.when(F.col("text") == F.col("text_before"), "same-bytes").when(F.trim(F.lower("text")) == F.trim(F.lower("text_before")), "same-text")
-        .when(jaccard(F.col("words"), F.col("before")) >= SAME, "near-same").when(novel < NOVEL, "nothing-new").otherwise("noteworthy")
+        F.when(F.col("was").isNull(), "first-seen").when(F.col("raw") == F.col("was.raw"), "byte-identical").when(F.col("norm") == F.col("was.norm"), "whitespace-normalized-identical")
+        .when(F.col("_alike") >= same, "near-duplicate-jaccard").when(F.col("_novel") < novel, "semantic-duplicate").when(F.col("_novel") < 1, "partial-novelty").otherwise("content-changed")
     )
-    return v.select("doc_id", reason.alias("reason"))
+    quiet = F.col("reason").isin("byte-identical", "whitespace-normalized-identical", "near-duplicate-jaccard", "semantic-duplicate")
+    v = v.withColumn("reason", reason)
+    none = F.when(F.col("reason").isin("byte-identical", "whitespace-normalized-identical", "near-duplicate-jaccard"), 0.0).otherwise(F.col("_novel"))
+    return v.select("doc_id", "reason", (~quiet).alias("noteworthy"), F.col("_alike").alias("jaccard"), none.alias("novel_ratio"), F.when(quiet, 0).otherwise(F.coalesce("_facts", F.lit(0))).alias("new_facts"))
+
+
+def _snapshots(t: Tables) -> DataFrame:
+    return t("documents").select("doc_id", F.col("text").alias("raw"), normalised(F.col("text")).alias("normalised"))
+
+
+def _chunks(t: Tables) -> DataFrame:
+    """Each third document has chunks whose nearest stored vectors are known."""
+    k = F.col("doc_id")
+    return t("documents").where("doc_id % 3 = 0").select("doc_id", F.explode(F.sequence(F.lit(1), k % 4 + 1)).alias("c")).select("doc_id", F.when((k + F.col("c")) % 5 == 0, 0.5).when(k % 2 == 0, 0.99).alias("score"))
+
+
+_NORMAL = r"regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '\r\n?', chr(10), 'g'), '\n'), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_SETS = "list_distinct(case when length({x}) = 0 then []::varchar[] when length({x}) < 5 then [{x}] else list_transform(range(1, length({x}) - 3), lambda k: substr({x}, k, 5)) end)"
+
+
+@query(
+    _VERSIONS + f", n as (select doc_id, prior, text, tb, {_NORMAL.format(x='text')} as nt, {_NORMAL.format(x='tb')} as nb from v), j as (select *, {_SETS.format(x='nt')} as w, {_SETS.format(x='nb')} as b from n), "
+    "k as (select doc_id, doc_id % 4 + 1 as m, len(list_filter(range(1, doc_id % 4 + 2), lambda c: (doc_id + c) % 5 = 0 or doc_id % 2 != 0)) as fresh from documents where doc_id % 3 = 0), "
+    f"g as (select j.doc_id, prior, text, tb, nt, nb, case when nt = nb then 1.0 when len(w) + len(b) = 0 then 0 else {_JACCARD} end as jac, coalesce(fresh / m::double, 1.0) as novel from j left join k using (doc_id)) "
+    "select doc_id, case when prior is null then 'first-seen' when text = tb then 'byte-identical' when nt = nb then 'whitespace-normalized-identical' when jac >= 0.98 then 'near-duplicate-jaccard' when novel < 0.05 then 'semantic-duplicate' when novel < 1 then 'partial-novelty' else 'content-changed' end as reason, round(case when prior is null then 0 else jac end, 6) as jaccard from g"
+)
+def noteworthy_gates(t: Tables) -> DataFrame:
+    """SIM-3: the five gates in order, on exact shingle sets."""
+    g = gates(versions(t("documents")), _snapshots(t), _chunks(t), estimated=False)
+    return g.select("doc_id", "reason", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query()
+def noteworthy_by_sketch(t: Tables) -> DataFrame:
+    """SIM-2/3: the same gates on MinHash sketches."""
+    return gates(versions(t("documents")), _snapshots(t), _chunks(t))
 
 
 def fnv1a(text: str, width: int = 5) -> np.ndarray:
@@ -95,22 +165,22 @@ def _coefficients(n: int = 128) -> tuple[np.ndarray, np.ndarray]:
 def minhash(texts: pd.Series) -> pd.Series:
     """128 MinHash values of each text: (a x + b) mod 4294967311 mod 2^32; empty for an empty text."""
     a, b = _coefficients()
-    out = []
-    for t in texts:
-        x = fnv1a(t or "")
-        sig = np.full(128, 1 << 32, np.uint64)
-        for lo in range(0, len(x), 4096):
-            part = x[lo : lo + 4096]
-            # a x + b < 2^64 for 32-bit a, b, x
-            sig = np.minimum(sig, (((a[:, None] * part + b[:, None]) % np.uint64(PRIME)) & np.uint64(0xFFFFFFFF)).min(1))
-        out.append(sig.astype(np.int64).tolist() if len(x) else [])
-    return pd.Series(out)
+    sets = [fnv1a(t or "") for t in texts]
+    n = np.array([len(x) for x in sets])
+    full = np.flatnonzero(n)
+    sig = np.zeros((len(sets), 128), np.int64)
+    if len(full):
+        x = np.concatenate([sets[k] for k in full])
+        first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
+        for k in range(128):  # a x + b < 2^64 for 32-bit a, b, x; over all texts of a batch at once
+            sig[full, k] = np.minimum.reduceat(((a[k] * x + b[k]) % np.uint64(PRIME)) & np.uint64(0xFFFFFFFF), first)
+    return pd.Series([row if m else [] for row, m in zip(sig.tolist(), n)])
 
 
 @query()
 def minhash_jaccard(t: Tables) -> DataFrame:
     """SIM-1/2: estimated Jaccard of each text and the one before it from its source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = t("documents").select("doc_id", "source", minhash("text").alias("sig")).withColumn("before", F.lag("sig").over(w)).where("before is not null")
-    same = F.size(F.filter(F.zip_with("sig", "before", lambda x, y: x == y), lambda x: x))
-    return d.select("doc_id", (same / 128.0).alias("similarity"))
+    d = t("documents")
+    v = beside(versions(d).where("prior is not null"), saved(d.select("doc_id", minhash("text").alias("sig")), "sketches"))
+    same = F.size(F.filter(F.zip_with("sig", "was.sig", lambda x, y: x == y), lambda x: x))
+    return v.select("doc_id", (same / 128.0).alias("similarity"))
