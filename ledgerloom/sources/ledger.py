@@ -95,6 +95,19 @@ class Tables:
             "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("hour"), "value", "props",
         )
 
+    def action_log(self) -> DataFrame:
+        """The activity log with what was done and JSON pointers to where it is; some of the JSON is broken."""
+        e, k = self("events"), F.col("event_id")
+        kind = F.col("event_type")
+        system = F.when(kind == "view", "git").when(kind == "click", "obsidian").when(kind == "purchase", "memory").when(kind == "signup", "codex").otherwise("local-file")
+        project = F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("p"), F.col("user_id") % 7))
+        pointer = (
+            F.when(k % 6 == 1, F.concat(F.lit('{"git_ref":"r'), k % 97, F.lit('"}'))).when(k % 6 == 2, F.concat(F.lit('{"obsidian":{"vault":"v","relative_path":"n'), k % 50, F.lit('.md"}}')))
+            .when(k % 6 == 3, F.concat(F.lit('{"memory_uri":"m'), k % 31, F.lit('"}'))).when(k % 6 == 4, F.concat(F.lit('{"file_path":"/f'), k % 13, F.lit('","git_ref":" "}'))).when(k % 6 == 5, "{broken").otherwise("{}")
+        )
+        what = F.concat(kind, F.lit(" of "), F.coalesce(project, F.lit("nothing")), F.lit(" for user "), "user_id")
+        return e.select(k.alias("action_id"), system.alias("source_system"), F.concat(F.lit("s"), "user_id").alias("source_id"), project.alias("project"), what.alias("what_text"), "ts", pointer.alias("artifact_locations"))
+
     def outbox(self) -> DataFrame:
         """Events queued for the ledger: many share an idempotency key."""
         e = self("events")
@@ -136,6 +149,7 @@ SQL = {
     "links": "select x.conv_id * 1000 + x.turn as a, x.conv_id * 1000 + x.turn + 1 as b, case when x.turn % 2 = 0 then 'derived_from' else 'elaborates' end as kind from conversations x join conversations y on x.conv_id = y.conv_id and y.turn = x.turn + 1",
     "nodes": "select conv_id * 1000 + turn as node, conv_id, turn, conv_id % 120 as age_days, turn % 5 = 4 as archived from conversations",
     "actions": "select event_id as action_id, event_type as source_system, case when user_id % 7 != 0 then 'p' || (user_id % 7) end as project, ts, strftime(ts, '%Y-%m-%d') as day, hour(ts)::int as hour, value, props from events",
+    "action_log": "select event_id as action_id, case event_type when 'view' then 'git' when 'click' then 'obsidian' when 'purchase' then 'memory' when 'signup' then 'codex' else 'local-file' end as source_system, 's' || user_id as source_id, case when user_id % 7 != 0 then 'p' || (user_id % 7) end as project, event_type || ' of ' || case when user_id % 7 != 0 then 'p' || (user_id % 7) else 'nothing' end || ' for user ' || user_id as what_text, ts, case event_id % 6 when 1 then '{\"git_ref\":\"r' || (event_id % 97) || '\"}' when 2 then '{\"obsidian\":{\"vault\":\"v\",\"relative_path\":\"n' || (event_id % 50) || '.md\"}}' when 3 then '{\"memory_uri\":\"m' || (event_id % 31) || '\"}' when 4 then '{\"file_path\":\"/f' || (event_id % 13) || '\",\"git_ref\":\" \"}' when 5 then '{broken' else '{}' end as artifact_locations from events",
     "outbox": "select event_id as seq, event_type as adapter, sha256(user_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d')) as idempotency_key, event_id % 9 as attempts, event_id % 3 != 0 as drained, event_id % 40 as age_days from events",
     "notes": r"select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(?:title|style|script)[^>]*>[^<]*(?:</p>[^<]*)?</(?:title|style|script)>|<!--[^>]*>', '', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '<li>', chr(10) || chr(10) || '## ', 'g'), '<br>|</li>|</h1>|</p>|<p>|<div[^>]*>|</div>|<article>|<footer>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g') as text from pages",
     "questions": "select conv_id, turn, text as question from conversations where role = 'user'",

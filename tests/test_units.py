@@ -22,7 +22,8 @@ def test_time_windows():
     assert activity.window_of("Today", now) == (day(3, 13), day(3, 14))
     assert activity.window_of("this  week", now) == (day(3, 11), day(3, 18))
     assert activity.window_of("last month", now) == (day(2, 1), day(3, 1))
-    assert activity.window_of("last 7 days", now) == (day(3, 7), day(3, 14))
+    assert activity.window_of("last 7 days", now) == activity.window_of("最近 7 天", now) == (dt.datetime(2024, 3, 6, 15), now)
+    assert activity.window_of("上周", now) == (day(3, 4), day(3, 11))
     assert activity.window_of("2024-02-29", now) == (day(2, 29), day(3, 1))
     for bad in ("last 0 days", "last 366 days", "2024-02-30", "someday"):
         with pytest.raises(ValueError):
@@ -296,3 +297,55 @@ def test_failures_reach_quarantine(spark, tmp_path):
 def test_append_to_an_empty_table(spark):
     empty = spark.createDataFrame([], "seq long, adapter string, idempotency_key string")
     assert ledger_ops.append_new(empty, empty).count() == 0
+
+
+def test_previous_rows_cross_slots_and_hold_null_groups(spark):
+    rows = [(k, "a" if k % 2 else None, k) for k in (1, 2, 3, 4, 15, 16, 37, 38)]
+    from ledgerloom.operators.sequences import with_previous
+
+    got = {r.k: r.before and r.before.v for r in with_previous(spark.createDataFrame(rows, "k long, g string, v long"), ["g"], F.floor(F.col("k") / 10), ["k"], ["v"]).collect()}
+    assert got == {1: None, 3: 1, 15: 3, 37: 15, 2: None, 4: 2, 16: 4, 38: 16}
+    alone = {r.k: r.before and r.before.v for r in with_previous(spark.createDataFrame(rows, "k long, g string, v long"), [], F.floor(F.col("k") / 10), ["k"], ["v"]).collect()}
+    assert alone == {1: None, 2: 1, 3: 2, 4: 3, 15: 4, 16: 15, 37: 16, 38: 37}
+
+
+def test_patterns_by_their_thresholds(spark):
+    kind = "action_id long, source_system string, project string, ts timestamp_ntz"
+    at = lambda d, h, m=0: dt.datetime(2024, 1, d, h, m)
+    rows = [(k, "git" if k % 2 else "zsh", "p" if k < 6 else None, at(1 + k, 9)) for k in range(10)]
+    got = {r.kind: (r.key, r.support_count, r.confidence) for r in activity.patterns(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"capture_spread": ("2", 10, "provisional"), "work_rhythm": ("09", 10, "medium"), "project_focus": ("p", 6, "provisional"), "source_sequence": ("zsh -> git", 5, "provisional")}
+    assert activity.patterns(spark.createDataFrame([], kind)).count() == 0
+    few = [(1, "git", "a", at(1, 23, 59)), (2, "git", "b", at(2, 0, 1)), (3, "git", "a", at(2, 0, 2)), (4, "git", None, at(3, 5))]
+    got = {r.kind: r.support_count for r in activity.patterns(spark.createDataFrame(few, kind)).collect()}
+    assert got == {"project_switching": 3}
+
+
+def test_pointers_that_should_be_there(spark):
+    rows = [(1, "git", '{"git_ref":"x"}'), (2, "git", '{"git_ref":" "}'), (3, "obsidian", '{"obsidian":{"path":"p"}}'), (4, "obsidian", "{broken"), (5, "memory", None), (6, "codex", '{"file_path":"f"}'), (7, "codex", "{}"), (8, "web", "{}")]
+    got = {r.action_id: r.issue for r in activity.pointer_issues_of(spark.createDataFrame(rows, "action_id long, source_system string, artifact_locations string")).collect()}
+    assert got == {2: "missing_git_ref", 4: "missing_obsidian_pointer", 5: "missing_memory_uri", 7: "missing_durable_pointer"}
+
+
+def test_routes_of_a_timeline_and_of_documents(spark):
+    actions = spark.createDataFrame([(1, "git", "s", None, "lights", dt.datetime(2024, 1, 1), '{"git_ref":"r"}'), (2, "git", "s", None, "lights", dt.datetime(2024, 1, 2), '{"git_ref":"r"}')], "action_id long, source_system string, source_id string, project string, what_text string, ts timestamp_ntz, artifact_locations string")
+    q = spark.createDataFrame([(1, "lights today")], "question_id int, text string")
+    docs = spark.createDataFrame([(1, "doc.md:3", 50, "a line")], "question_id int, ref string, score int, label string")
+    found = activity.matched(actions, q, timeline=True)
+    got = [(r.system, r.ref, r.confidence, r.evidence_count) for r in activity.routes(found, docs, timeline=True).orderBy("rank").collect()]
+    assert got[0] == ("action_log", "action_log:window", 0.99, 2) and ("git", "r", 0.74, 2) in got and ("repo-docs", "doc.md:3", 0.74, 1) in got
+    cover = {r.system: (r.evidence_count, r.is_gap) for r in activity.coverage(found, q, docs).collect()}
+    assert cover["git"] == (4, False) and cover["roadmap"] == (1, False) and cover["memory"] == (0, True) and cover["web"] == (0, False) and len(cover) == 10
+
+
+def test_gates_in_order(spark):
+    words = " ".join(f"word{k}" for k in range(300))
+    raw = {1: words, 2: words, 3: words + "  ", 4: words.replace("word150", "word151"), 5: words[:900] + " entirely other things here " * 20, 6: "x" * 400, 7: "y" * 400, 8: "", 9: None}
+    snaps = spark.createDataFrame([(k, v, (v or "").strip()) for k, v in raw.items()], "doc_id long, raw string, normalised string")
+    pairs = spark.createDataFrame([(1, None), *((k, 1) for k in range(2, 10))], "doc_id long, prior long")
+    chunks = spark.createDataFrame([(6, 0.99), (6, 0.985), (7, 0.99), (7, 0.5)], "doc_id long, score double")
+    facts = spark.createDataFrame([(7, 3), (2, 3)], "doc_id long, n long")
+    for estimated in (True, False):
+        got = {r.doc_id: (r.reason, r.new_facts) for r in similarity.gates(pairs, snaps, chunks, facts, estimated=estimated).collect()}
+        assert got[1][0] == "first-seen" and got[2] == ("byte-identical", 0) and got[3][0] == "whitespace-normalized-identical" and got[4][0] == "near-duplicate-jaccard"
+        assert got[5][0] == "content-changed" and got[6][0] == "semantic-duplicate" and got[7] == ("partial-novelty", 3) and got[8][0] == got[9][0] == "content-changed"
