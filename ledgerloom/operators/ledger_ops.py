@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
 
+QUARANTINE_AFTER = 5
+
 
 def append_new(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Events whose (adapter, idempotency_key) is new to the ledger, the earliest of each; nothing that is there is touched."""
@@ -65,17 +69,80 @@ def backoff_schedule(t: Tables) -> DataFrame:
 @query("with p as (select user_id as pair_id, count(*) filter (event_type = 'purchase') as committed, count(*) filter (event_type = 'view') as pending from events group by 1) select pair_id, committed, pending from p where committed > 0 and pending > 0")
 def queue_pair_fragments(t: Tables) -> DataFrame:
     """AGG-11, DOM-24, STR-11: pairs of which only one half is written."""
-    p = t("events").groupBy(F.col("user_id").alias("pair_id")).agg(F.count_if(F.col("event_type") == "purchase").alias("committed"), F.count_if(F.col("event_type") == "view").alias("pending"))
+    return fragments(t("events").select(F.col("user_id").alias("pair_id"), (F.col("event_type") == "purchase").alias("done"), F.col("event_type").isin("purchase", "view").alias("counts")).where("counts"))
+
+
+def fragments(writes: DataFrame) -> DataFrame:
+    """(pair_id, committed, pending) of pairs (pair_id, done) of which some writes are done and others aren't."""
+    p = writes.where("pair_id is not null").groupBy("pair_id").agg(F.count_if("done").alias("committed"), F.count_if(~F.col("done")).alias("pending"))
     return p.where("committed > 0 and pending > 0")
 
 
-@query("with o as (select o_orderstatus as source, count(distinct o_orderkey) as expected from orders group by 1), c as (select o_orderstatus as source, count(distinct o_orderkey) as captured from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' group by 1) select source, expected, coalesce(captured, 0) as captured, round(coalesce(captured, 0) / expected::double, 6) as coverage from o left join c using (source)")
+def paired(invalidations: DataFrame, memories: DataFrame) -> DataFrame:
+    """Writes in two phases (pair_id, kind, place): of every pair the invalidation comes before what replaces it; a pair without either half is left out."""
+    both = invalidations.select("pair_id").distinct().join(memories.select("pair_id").distinct(), "pair_id")
+    return both.select("pair_id", F.posexplode(F.array(F.lit("invalidate"), F.lit("remember"))).alias("place", "kind"))
+
+
+@query("select o_orderkey as pair_id, unnest(['invalidate', 'remember']) as kind, unnest([0, 1]) as place from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R') and o_orderstatus = 'F'")
+def paired_writes(t: Tables) -> DataFrame:
+    """STR-11: what was returned is invalidated before it is written again."""
+    gone = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("pair_id"))
+    return paired(gone, t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pair_id")))
+
+
+def released(outbox: DataFrame, ids: DataFrame) -> DataFrame:
+    """Quarantined rows that ``ids`` (seq) names start anew, without attempts; others stay."""
+    hit = ids.select("seq").distinct().withColumn("_hit", F.lit(True))
+    return outbox.join(hit, "seq", "left").withColumn("attempts", F.when(F.col("_hit") & (F.col("attempts") > QUARANTINE_AFTER), 0).otherwise(F.col("attempts"))).drop("_hit")
+
+
+@query("select seq, case when attempts > 5 and seq % 2 = 0 then 0 else attempts end as attempts from outbox where not drained", "outbox")
+def outbox_release(t: Tables) -> DataFrame:
+    """STR-2: some of the quarantined rows are released by hand."""
+    o = t.outbox().where("not drained").select("seq", "attempts")
+    return released(o, o.where("seq % 2 = 0"))
+
+
+def leased(jobs: DataFrame, now: int, worker: str, most: int = 1, seconds: int = 60) -> DataFrame:
+    """Jobs (id, priority, token, lease_until, done) after a worker has taken ``most`` of them: not done, without a lease or with one that ran out, by priority, then first in, first out."""
+    free = jobs.where(~F.col("done") & (F.col("lease_until").isNull() | (F.col("lease_until") <= now))).orderBy("priority", "id").limit(most)
+    mine = free.select("id", F.concat_ws(":", F.lit(worker), "id").alias("_token"))
+    j = jobs.join(mine, "id", "left")
+    return j.withColumn("token", F.coalesce("_token", "token")).withColumn("lease_until", F.when(F.col("_token").isNotNull(), F.lit(now + seconds)).otherwise(F.col("lease_until"))).drop("_token")
+
+
+def finished(jobs: DataFrame, tokens: DataFrame, now: int, done: bool = True, seconds: int = 60) -> DataFrame:
+    """Jobs whose token is among ``tokens`` are done, or keep their lease for longer (``done`` false: a heartbeat); a token that has run out or is another's changes nothing."""
+    hit = tokens.select("token").distinct().withColumn("_hit", F.lit(True))
+    j = jobs.join(hit, "token", "left").withColumn("_now", F.coalesce(F.col("_hit") & (F.col("lease_until") > now) & ~F.col("done"), F.lit(False)))
+    j = j.withColumn("done", F.col("done") | F.col("_now")) if done else j.withColumn("lease_until", F.when(F.col("_now"), F.lit(now + seconds)).otherwise(F.col("lease_until")))
+    return j.drop("_hit", "_now").select(jobs.columns)
+
+
+@query("with j as (select o_orderkey as id, o_orderpriority as priority, o_orderstatus = 'F' as done, case when o_orderkey % 5 = 0 then 100 when o_orderkey % 5 = 1 then 200 end as lease_until from orders), m as (select id from j where not done and (lease_until is null or lease_until <= 150) order by priority, id limit 40) select id, case when id in (select id from m) then 'w:' || id end as token, case when id in (select id from m) then 210 else lease_until end as lease_until from j where not done")
+def lease_claims(t: Tables) -> DataFrame:
+    """STR-3: forty jobs are taken; leases that ran out are free again."""
+    k = F.col("o_orderkey")
+    j = t("orders").select(k.alias("id"), F.col("o_orderpriority").alias("priority"), F.lit(None).cast("string").alias("token"), F.when(k % 5 == 0, 100).when(k % 5 == 1, 200).alias("lease_until"), (F.col("o_orderstatus") == "F").alias("done"))
+    return leased(j, 150, "w", 40).where("not done").select("id", "token", "lease_until")
+
+
+def covered(expected: DataFrame, captured: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, expected, captured, coverage, target, met) of items (source, item) that a source should have, and that were captured; a source without items has no coverage and meets its target."""
+    got = captured.select("source", "item").distinct().withColumn("_got", F.lit(1))
+    c = expected.select("source", "item").distinct().join(got, ["source", "item"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("expected"), F.count("_got").alias("captured"))
+    c = targets.join(c, "source", "left").select("source", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("captured", F.lit(0)).alias("captured"), "target")
+    ratio = F.try_divide("captured", "expected")
+    return c.select("source", "expected", "captured", F.round(ratio, 6).alias("coverage"), "target", F.coalesce(ratio >= F.col("target"), F.lit(True)).alias("met"))
+
+
+@query("with e as (select distinct event_type as source, user_id as item from events), g as (select distinct event_type as source, user_id as item from events where event_id % 4 = 0 and event_type != 'error'), c as (select source, count(*) as expected, count(g.item) as captured from e left join g using (source, item) group by 1) select source, expected, captured, round(captured / expected::double, 6) as coverage, case when source = 'view' then 0.99 else 0.2 end::double as target, captured / expected::double >= case when source = 'view' then 0.99 else 0.2 end as met from c")
 def coverage_ratio(t: Tables) -> DataFrame:
-    """AGG-17: captured over expected, per source."""
-    o = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("source"))
-    got = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("got", F.lit(1))
-    c = o.join(got, "o_orderkey", "left").groupBy("source").agg(F.countDistinct("o_orderkey").alias("expected"), F.count("got").alias("captured"))
-    return c.withColumn("coverage", F.round(F.col("captured") / F.col("expected"), 6))
+    """AGG-17: captured over expected, per source, against its target."""
+    e = t("events").select("event_id", F.col("event_type").alias("source"), F.col("user_id").alias("item"))
+    targets = e.select("source").distinct().withColumn("target", F.when(F.col("source") == "view", 0.99).otherwise(0.2))
+    return covered(e, e.where("event_id % 4 = 0 and source != 'error'"), targets)
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, points: tuple[float, ...]) -> DataFrame:
@@ -100,23 +167,62 @@ def regression_ratio(t: Tables) -> DataFrame:
     return d.crossJoin(F.broadcast(base)).select("day", F.round("mean", 6).alias("mean"), (F.col("mean") / F.col("base") > 1.5).alias("regressed"))
 
 
-@query("select p_brand as policy, max_by(p_partkey, (p_size, p_partkey)) as active from part where p_partkey not in (select p_partkey - 1 from part where p_size = 50) group by 1")
+def trimmed(df: DataFrame, group: str, value: str, share: float = 0.02) -> DataFrame:
+    """Rows without the lowest and the highest ``share`` of each group's values, rounded down; places come from counts of values, not from a sort of a whole group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(group)
+    c = counts.withColumn("_upto", F.sum("_k").over(w.orderBy(value))).withColumn("_n", F.sum("_k").over(w))
+    cut = F.floor(F.col("_n") * share)
+    kept = F.least("_upto", F.col("_n") - cut) - F.greatest(F.col("_upto") - F.col("_k"), cut)
+    return c.withColumn("_left", kept).where("_left > 0").select(group, value, F.explode(F.sequence(F.lit(1), F.col("_left"))).alias("_i")).drop("_i")
+
+
+@query("with r as (select event_type, value as v, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events where value is not null), t as (select event_type, v, row_number() over (partition by event_type order by v) as k, count(*) over (partition by event_type) as n from r where k > floor(n * 0.02) and k <= n - floor(n * 0.02)) select event_type, min(v) filter (k >= ceil(0.5 * n)) as p50, min(v) filter (k >= ceil(0.9 * n)) as p90, min(v) filter (k >= ceil(0.95 * n)) as p95, min(v) filter (k >= ceil(0.99 * n)) as p99 from t group by 1")
+def trimmed_percentiles(t: Tables) -> DataFrame:
+    """AGG-15: nearest ranks without the lowest and the highest 2 %."""
+    return nearest_rank(trimmed(t("events").select("event_type", "value"), "event_type", "value"), "event_type", "value", (0.5, 0.9, 0.95, 0.99))
+
+
+def active(registry: DataFrame) -> DataFrame:
+    """(family, policy_id) of a registry (family, policy_id, effective, supersedes): of every family the latest policy that no other supersedes."""
+    gone = registry.where("supersedes is not null").select(F.col("supersedes").alias("policy_id")).distinct()
+    return registry.join(gone, "policy_id", "left_anti").groupBy("family").agg(F.max_by("policy_id", F.struct("effective", "policy_id")).alias("policy_id"))
+
+
+@query("select p_brand as family, max_by(p_partkey, (p_size, p_partkey)) as policy_id from part where p_partkey not in (select p_partkey - 1 from part where p_size = 50) group by 1")
 def active_policies(t: Tables) -> DataFrame:
-    """DOM-23, RET-9: the latest that nothing supersedes."""
-    p = t("part")
-    gone = p.where("p_size = 50").select((F.col("p_partkey") - 1).alias("p_partkey"))
-    return p.join(gone, "p_partkey", "left_anti").groupBy(F.col("p_brand").alias("policy")).agg(F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("active"))
+    """DOM-23: parts as policies; those of size 50 supersede the one before."""
+    p = t("part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("policy_id"), F.col("p_size").alias("effective"), F.when(F.col("p_size") == 50, F.col("p_partkey") - 1).alias("supersedes"))
+    return active(p)
+
 
+def own_pages(uri: Column, folder: str) -> Column:
+    """Whether a source is a page that the ledger has written itself, under ``folder``."""
+    return uri.rlike(rf"^file://.*/{re.escape(folder)}/wiki/.*\.md$")
 
-@query("select source_uri, observe_id from observations where not regexp_matches(source_uri, '^file://src1[0-9]/')", "observations")
+
+@query("select seq, adapter, case when regexp_matches(uri, '^file://.*/\\.ledger/wiki/.*\\.md$') then 6 else attempts end as attempts from (select event_id as seq, event_type as adapter, event_id % 9 as attempts, case event_id % 4 when 0 then 'file:///h/.ledger/wiki/a' || event_id || '.md' when 1 then 'file:///h/.ledger/wiki/a.txt' when 2 then 'file:///h/notes/wiki/a.md' else 'https://h/.ledger/wiki/a.md' end as uri from events) where true")
 def self_consumption_guard(t: Tables) -> DataFrame:
-    """FIL-6/7: the ledger doesn't read what it has written."""
-    return t.observations().where(~F.col("source_uri").rlike("^file://src1[0-9]/")).select("source_uri", "observe_id")
+    """FIL-6/7: the ledger doesn't read what it has written: such rows are quarantined at once."""
+    k = F.col("event_id")
+    uri = F.when(k % 4 == 0, F.concat(F.lit("file:///h/.ledger/wiki/a"), k, F.lit(".md"))).when(k % 4 == 1, "file:///h/.ledger/wiki/a.txt").when(k % 4 == 2, "file:///h/notes/wiki/a.md").otherwise("https://h/.ledger/wiki/a.md")
+    return t("events").select(k.alias("seq"), F.col("event_type").alias("adapter"), F.when(own_pages(uri, ".ledger"), F.lit(QUARANTINE_AFTER + 1)).otherwise(k % 9).alias("attempts"))
+
+
+def chunk_facts(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(chunk_id, fact): the first fact of the observation that names the chunk, else the observation's first fact, else ``orphan:`` and the observation.
+
+    chunks (chunk_id, observe_id), facts (fact_id, observe_id, source_chunk_ids).
+    """
+    named = facts.select("observe_id", "fact_id", F.explode("source_chunk_ids").alias("chunk_id")).groupBy("observe_id", "chunk_id").agg(F.min("fact_id").alias("_named"))
+    first = facts.groupBy("observe_id").agg(F.min("fact_id").alias("_first"))
+    c = chunks.join(named, ["observe_id", "chunk_id"], "left").join(first, "observe_id", "left")
+    return c.select("chunk_id", F.coalesce(F.col("_named").cast("string"), F.col("_first").cast("string"), F.concat(F.lit("orphan:"), "observe_id")).alias("fact"))
 
 
-@query("with h as (select observe_id, min(fact_id) as fact_id from observations o join facts f on f.fact_id = o.observe_id and f.age_days < 45 group by 1) select o.observe_id, coalesce('f' || h.fact_id, 'orphan:' || o.observe_id) as chunk_fact from observations o left join h using (observe_id)", "observations", "facts")
+@query("with c as (select doc_id as chunk_id, doc_id // 4 as observe_id from documents), f as (select doc_id as fact_id, doc_id // 4 as observe_id, [doc_id - 1, doc_id + 1] as ids from documents where doc_id % 3 = 0 and doc_id // 4 % 5 != 0), n as (select observe_id, chunk_id, min(fact_id) as named from (select observe_id, fact_id, unnest(ids) as chunk_id from f) group by all), s as (select observe_id, min(fact_id) as first from f group by 1) select chunk_id, coalesce(named::varchar, first::varchar, 'orphan:' || observe_id) as fact from c left join n using (observe_id, chunk_id) left join s using (observe_id)")
 def chunk_first_fact(t: Tables) -> DataFrame:
-    """JOIN-18/11: each observation's first fact, else an orphan's name; one row each."""
-    f = t.facts().where("age_days < 45").groupBy(F.col("fact_id").alias("observe_id")).agg(F.min("fact_id").alias("fact_id"))
-    o = t.observations().join(f, "observe_id", "left")
-    return o.select("observe_id", F.coalesce(F.concat(F.lit("f"), F.col("fact_id")), F.concat(F.lit("orphan:"), F.col("observe_id"))).alias("chunk_fact"))
+    """JOIN-18/11: each chunk's fact, one row each."""
+    d = t("documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("observe_id"))
+    facts = d.where("doc_id % 3 = 0 and observe_id % 5 != 0").select(F.col("doc_id").alias("fact_id"), "observe_id", F.array(F.col("doc_id") - 1, F.col("doc_id") + 1).alias("source_chunk_ids"))
+    return chunk_facts(d.select(F.col("doc_id").alias("chunk_id"), "observe_id"), facts)

@@ -19,11 +19,21 @@ def sensory_gc_counts(t: Tables) -> DataFrame:
     return t.observations().groupBy("kind").agg(F.count(F.lit(1)).alias("observations"), F.count_if((F.col("kind") == "sensory") & (F.col("age_days") > 7)).alias("to_delete"))
 
 
-@query("select f.fact_id from facts f where f.fact_id not in (select observe_id from observations where kind = 'sensory' and age_days > 7)", "facts", "observations")
+def collected(observations: DataFrame, facts: DataFrame, links: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observations, facts, links) without sensory observations older than so many days, their facts, and links at either end of these."""
+    gone = observations.where((F.col("kind") == "sensory") & (F.col("age_days") > days)).select("observe_id")
+    dead = facts.join(gone, "observe_id", "left_semi").select("fact_id")
+    l = links.join(dead.withColumnRenamed("fact_id", "a"), "a", "left_anti").join(dead.withColumnRenamed("fact_id", "b"), "b", "left_anti")
+    return observations.join(gone, "observe_id", "left_anti"), facts.join(dead, "fact_id", "left_anti"), l
+
+
+@query("with gone as (select observe_id from observations where kind = 'sensory' and age_days > 7) select (select count(*) from observations where observe_id not in (from gone)) as observations, (select count(*) from ranked_facts where observe_id not in (from gone)) as facts, (select count(*) from (select fact_id as a, fact_id + 1 as b from ranked_facts) where a not in (from gone) and b not in (from gone)) as links", "observations", "ranked_facts")
 def cascade_survivors(t: Tables) -> DataFrame:
-    """DOM-1: facts of deleted observations go with them."""
-    gone = t.observations().where("kind = 'sensory' and age_days > 7").select(F.col("observe_id").alias("fact_id"))
-    return t.facts().select("fact_id").join(gone, "fact_id", "left_anti")
+    """DOM-1: facts and links of deleted observations go with them."""
+    f = t.ranked_facts().select("fact_id", "observe_id")
+    o, f, l = collected(t.observations(), f, f.select(F.col("fact_id").alias("a"), (F.col("fact_id") + 1).alias("b")))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(o, "observations").crossJoin(n(f, "facts")).crossJoin(n(l, "links"))  # a row each
 
 
 @query("select fact_id, 'stale' as archive_reason from decaying where not archived and not pinned and importance * case when half_life_sec > 0 then pow(0.5, idle_sec / half_life_sec::double) else 1.0 end < 0.001", "decaying")
@@ -181,12 +191,51 @@ def verdict_stats(t: Tables) -> DataFrame:
     return s.withColumn("positive_rate", F.round(F.try_divide(F.col("confirmed") + F.col("refined"), F.col("judged")), 6))
 
 
-@query(_VERDICTS + ", r as (select * from v order by doc_id desc limit 10) select count(*) as n, count(verdict) as judged, count(*) filter (verdict = 'rejected') as rejected, count(verdict) >= 5 and count(*) filter (verdict = 'rejected') >= 0.5 * count(verdict) as gate_closed from r")
+def gate(chains: DataFrame, paused_days: float | None = None, skips: int = 0) -> DataFrame:
+    """One row that says whether another chain may run, and why not: chains (at, verdict), the days since a hard pause (None: not paused), and the runs skipped in a row.
+
+    Less than ten chains: too few to judge by, go on.  A pause ends by itself after seven days.  Of the last ten at least five judged, and half of the
+    judged rejected: skip; the fourth skip in a row is a pause.
+    """
+    n = chains.agg(F.count(F.lit(1)).alias("chains"))
+    last = chains.orderBy(F.desc("at")).limit(10).agg(F.count("verdict").alias("judged"), F.count_if(F.col("verdict") == "rejected").alias("rejected"))
+    s = n.crossJoin(last)  # a row each
+    bad = (F.col("judged") >= 5) & (F.col("rejected") >= 0.5 * F.col("judged"))
+    state = F.when(F.lit(paused_days is not None and paused_days < 7), "paused").when(F.col("chains") < 10, "entry").when(bad & F.lit(skips + 1 >= 4), "pause").when(bad, "skip").otherwise("run")
+    return s.withColumn("state", state)
+
+
+_GATE = ", r as (select * from v order by doc_id desc limit 10), s as (select (select count(*) from v) as chains, count(verdict) as judged, count(*) filter (verdict = 'rejected') as rejected from r) "
+
+
+@query(_VERDICTS + _GATE + "select *, case when chains < 10 then 'entry' when judged >= 5 and rejected >= 0.5 * judged then 'skip' else 'run' end as state from s")
 def recent_verdicts(t: Tables) -> DataFrame:
     """WIN-7, DOM-19: the scheduler's gate looks at the last ten."""
-    r = _verdicts(t).orderBy(F.desc("doc_id")).limit(10)
-    s = r.agg(F.count(F.lit(1)).alias("n"), F.count("verdict").alias("judged"), F.count_if(F.col("verdict") == "rejected").alias("rejected"))
-    return s.withColumn("gate_closed", (F.col("judged") >= 5) & (F.col("rejected") >= 0.5 * F.col("judged")))
+    return gate(_verdicts(t).withColumnRenamed("doc_id", "at"))
+
+
+def parsed_chains(replies: DataFrame) -> DataFrame:
+    """Adds chain and confidence to a model's replies (reply): a JSON object, in fences or not, whose chain is text; confidence between 0 and 1; anything else is no chain."""
+    bare = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
+    x = F.from_json(bare, "chain string, confidence double")
+    r = replies.withColumn("_x", x).withColumn("chain", F.nullif(F.trim(F.col("_x.chain")), F.lit("")))
+    return r.withColumn("confidence", F.when(F.col("chain").isNotNull(), F.least(F.greatest(F.coalesce("_x.confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))).drop("_x")
+
+
+@query("select doc_id, case when doc_id % 4 in (0, 1) then 'because of ' || source end as chain, case when doc_id % 4 in (0, 1) then least((doc_id % 15) / 10.0::double, 1.0) end as confidence from documents")
+def chain_replies(t: Tables) -> DataFrame:
+    """DOM-18: replies as they come: bare, in fences, cut off, without a chain."""
+    k = F.col("doc_id")
+    body = F.to_json(F.struct(F.concat(F.lit(" because of "), "source").alias("chain"), (k % 15 / F.lit(10.0)).alias("confidence")))
+    reply = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 4 == 2, F.left(body, F.length(body) - 3)).otherwise('{"confidence":1}')
+    return parsed_chains(t("documents").select("doc_id", reply.alias("reply"))).select("doc_id", "chain", "confidence")
+
+
+def chain_list(chains: DataFrame, prefix: str) -> DataFrame:
+    """The chain whose id (chain_id) starts with a prefix, with ``error`` where several do: a prefix must name one."""
+    found = chains.where(F.col("chain_id").startswith(prefix))
+    n = found.agg(F.count(F.lit(1)).alias("_n"))
+    return found.crossJoin(n).withColumn("error", F.when(F.col("_n") > 1, "ambiguous")).drop("_n")
 
 
 @query("select subject, max_by(fact_id, (-age_days, fact_id)) as newest from facts where not archived group by subject order by min(age_days), subject limit 3", "facts")
@@ -196,25 +245,64 @@ def seed_subjects(t: Tables) -> DataFrame:
     return s.orderBy("age", "subject").limit(3).select("subject", "newest")
 
 
-@query(
-    "with f as (select 'fact' as section, fact_id::varchar as ref, age_days from facts where not archived and confidence >= 0.75 and age_days < 7 order by confidence desc, fact_id limit 25), "
-    "c as (select 'contradiction' as section, subject as ref, min(age_days) as age_days from claims group by subject having count(*) > 1 order by subject limit 25), "
-    "a as (select 'activity' as section, day as ref, 0 as age_days from actions group by day order by day desc limit 25) select section, ref, age_days::bigint as age_days from (from f union all from c union all from a)",
-    "facts", "claims", "actions",
-)
+def digest(facts: DataFrame, gaps: DataFrame, pages: DataFrame, audits: DataFrame, days: int = 7, floor: float = 0.75, most: int = 25) -> DataFrame:
+    """(section, id, headline, fact_ids): new sure facts by importance, gaps resolved, and pages written in the last days, ``most`` of each.
+
+    facts (fact_id, subject, predicate, object, confidence, importance, age_days, archived); gaps (problem_id, question, ask_count, status, resolved_days,
+    fact_id); pages (path, title, synthesis_days); audits (target_id, decided, id, input_fact_ids): of a page's the latest counts.
+    """
+    ids = lambda x: F.when(x.isNotNull(), F.array(x.cast("long"))).otherwise(F.array().cast("array<long>"))
+    f = facts.where(~F.col("archived") & (F.col("confidence") >= floor) & (F.col("age_days") <= days)).orderBy(F.desc("importance"), "age_days", "fact_id").limit(most)
+    f = f.select(F.lit("fact").alias("section"), F.col("fact_id").cast("string").alias("id"), F.format_string("%s %s %s (conf=%.2f)", "subject", "predicate", "object", "confidence").alias("headline"), ids(F.col("fact_id")).alias("fact_ids"))
+    g = gaps.where((F.col("status") == "resolved") & (F.col("resolved_days") <= days)).orderBy(F.desc("ask_count"), "resolved_days", "problem_id").limit(most)
+    g = g.select(F.lit("gap").alias("section"), F.col("problem_id").alias("id"), F.format_string('asked %dx "%s" (resolved)', "ask_count", "question").alias("headline"), ids(F.col("fact_id")).alias("fact_ids"))
+    p = pages.where(F.col("synthesis_days") <= days).orderBy("synthesis_days", "path").limit(most)
+    latest = audits.groupBy(F.col("target_id").alias("path")).agg(F.max_by("input_fact_ids", F.struct("decided", "id")).alias("_ids"))
+    p = p.join(latest, "path", "left").select(F.lit("wiki").alias("section"), F.col("path").alias("id"), F.format_string("%s (%s) rebuilt", "title", "path").alias("headline"), F.coalesce("_ids", F.array().cast("array<long>")).alias("fact_ids"))
+    return f.unionByName(g).unionByName(p)
+
+
+def _digest(t: Tables) -> DataFrame:
+    k = F.col("fact_id")
+    f = t.ranked_facts().withColumn("age_days", k % 90)
+    gaps = t.questions().where("turn = 0").select(F.concat(F.lit("g"), "conv_id").alias("problem_id"), "question", (F.col("conv_id") % 17 + 1).alias("ask_count"), F.when(F.col("conv_id") % 2 == 0, "resolved").otherwise("open").alias("status"), (F.col("conv_id") % 20).alias("resolved_days"), F.when(F.col("conv_id") % 3 == 0, F.col("conv_id")).alias("fact_id"))
+    audits = t.ranked_facts().groupBy("subject", (k % 4).alias("decided")).agg(F.sort_array(F.collect_list("fact_id")).alias("input_fact_ids"), F.min("fact_id").alias("id"))
+    return digest(f, gaps, t.wiki(), audits.select(F.concat("subject", F.lit(".md")).alias("target_id"), "decided", "id", "input_fact_ids"))
+
+
+_DIGEST = (
+    "with f as (select 'fact' as section, fact_id::varchar as id, subject || ' ' || predicate || ' ' || object || ' (conf=' || printf('%.2f', confidence) || ')' as headline, [fact_id] as ids from ranked_facts where not archived and confidence >= 0.75 and fact_id % 90 <= 7 order by importance desc, fact_id % 90, fact_id limit 25), "
+    "g as (select 'gap' as section, 'g' || conv_id as id, 'asked ' || (conv_id % 17 + 1) || 'x \"' || question || '\" (resolved)' as headline, case when conv_id % 3 = 0 then [conv_id] else [] end as ids from questions where turn = 0 and conv_id % 2 = 0 and conv_id % 20 <= 7 order by conv_id % 17 desc, conv_id % 20, 'g' || conv_id limit 25), "
+    "a as (select subject || '.md' as path, fact_id % 4 as decided, min(fact_id) as id, list(fact_id order by fact_id) as ids from ranked_facts group by 1, 2), l as (select path, max_by(ids, (decided, id)) as ids from a group by 1), "
+    "p as (select 'wiki' as section, w.path as id, title || ' (' || w.path || ') rebuilt' as headline, coalesce(l.ids, []) as ids from (select * from wiki where synthesis_days <= 7 order by synthesis_days, path limit 25) w left join l on l.path = w.path), u as (from f union all from g union all from p) "
+)
+
+
+@query(_DIGEST + "select section, id, sha256(headline) as headline, len(ids)::int as n from u", "ranked_facts", "questions", "wiki")
 def digest_sections(t: Tables) -> DataFrame:
     """DOM-10, SET-3: the digest's sections, 25 rows each."""
-    f = t.facts().where("not archived and confidence >= 0.75 and age_days < 7").orderBy(F.desc("confidence"), "fact_id").limit(25).select(F.lit("fact").alias("section"), F.col("fact_id").cast("string").alias("ref"), "age_days")
-    c = t.claims().groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("age_days").alias("age_days")).where("n > 1").orderBy("subject").limit(25).select(F.lit("contradiction").alias("section"), F.col("subject").alias("ref"), "age_days")
-    a = t.actions().select("day").distinct().orderBy(F.desc("day")).limit(25).select(F.lit("activity").alias("section"), F.col("day").alias("ref"), F.lit(0).cast("long").alias("age_days"))
-    return f.unionByName(c).unionByName(a)
+    return _digest(t).select("section", "id", F.sha2("headline", 256).alias("headline"), F.size("fact_ids").alias("n"))
 
 
-@query("select string_agg(fact_id::varchar, ',' order by fact_id) as ids, count(*) as n from (select fact_id from facts where not archived and confidence >= 0.75 and age_days < 7 order by confidence desc, fact_id limit 25)", "facts")
+@query(_DIGEST + "select string_agg(i::varchar, ',' order by i::varchar) as ids, count(*) as n from (select distinct unnest(ids) as i from u)", "ranked_facts", "questions", "wiki")
 def digest_fact_ids(t: Tables) -> DataFrame:
-    """DOM-10: the ids that the digest carries, sorted."""
-    f = t.facts().where("not archived and confidence >= 0.75 and age_days < 7").orderBy(F.desc("confidence"), "fact_id").limit(25)
-    return f.agg(F.array_join(F.transform(F.sort_array(F.collect_list("fact_id")), lambda x: x.cast("string")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+    """DOM-10, SET-4: the ids that the digest carries, each once, sorted."""
+    i = _digest(t).select(F.explode("fact_ids").alias("i")).select(F.col("i").cast("string").alias("i")).distinct()
+    return i.agg(F.array_join(F.sort_array(F.collect_list("i")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+def recovered(runs: DataFrame, now: int, seconds: int = 3600) -> DataFrame:
+    """Derivation runs (status, started, error): those that have run for longer than an hour have failed."""
+    stuck = (F.col("status") == "running") & (F.col("started") < now - seconds)
+    return runs.withColumn("error", F.when(stuck, "stale: the process ended").otherwise(F.col("error"))).withColumn("status", F.when(stuck, "failed").otherwise(F.col("status")))
+
+
+@query("select case when s = 'running' and o_custkey < 1000 then 'failed' else s end as status, count(*) as n from (select o_custkey, case o_orderstatus when 'O' then 'running' when 'F' then 'succeeded' else 'failed' end as s from orders) group by 1")
+def stale_runs(t: Tables) -> DataFrame:
+    """DOM-22: orders as derivation runs."""
+    s = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed")
+    r = recovered(t("orders").select(s.alias("status"), F.col("o_custkey").alias("started"), F.lit(None).cast("string").alias("error")), 1000 + 3600)
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select n_name as page, (select max(s_suppkey) from supplier s where s.s_nationkey = n.n_nationkey) as latest, (select arg_max(s_name, s_suppkey) from supplier s where s.s_nationkey = n.n_nationkey) as audit from nation n")

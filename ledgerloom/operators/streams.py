@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
-from ..streaming.drain import breaker_states, drain
-
-
-def _folder(t: Tables, name: str) -> str:
-    """A folder that driver and executors share; a temporary one only where the session names none."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ledgerloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from ..sources.scratch import new_folder
+from ..streaming.drain import breaker_states, drain, sessions
 
 
 @query("select adapter, idempotency_key, min(seq) as seq from outbox group by all", "outbox")
@@ -26,7 +18,7 @@ def stream_outbox_drain(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
     key = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd")), 256)
     out = stream.select(F.col("event_id").alias("seq"), F.col("event_type").alias("adapter"), key.alias("idempotency_key"))
-    to = _folder(t, "ledger")
+    to = new_folder(t.spark, "ledger")
     drain(out, f"{to}/rows", f"{to}/progress").awaitTermination()
     return t.spark.read.parquet(f"{to}/rows").select("adapter", "idempotency_key", "seq")
 
@@ -45,3 +37,14 @@ def tumbling_windows(t: Tables) -> DataFrame:
     e = t("events").select("user_id", "ts", F.round("value").cast("long").alias("value"))
     w = e.groupBy("user_id", F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("value"))
     return w.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "value")
+
+
+@query(
+    "with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '6 hours' then 0 else 1 end as first from events), "
+    "s as (select user_id, ts, sum(first) over (partition by user_id order by ts rows unbounded preceding) as k from o) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k"
+)
+def activity_sessions(t: Tables) -> DataFrame:
+    """STR-13: sessions a user, with pauses of less than six hours; the same function takes a stream."""
+    e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = sessions(e, "6 hours")
+    return s.select("user_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

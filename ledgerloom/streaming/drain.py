@@ -6,7 +6,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +14,31 @@ from ..operators.ledger_ops import append_new
 QUARANTINE_AFTER = 5
 
 
+#: Parts of a ledger by the hash of the key: a micro-batch reads those that its own keys fall into.
+PARTS = 256
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drain(stream: DataFrame, ledger: str, checkpoint: str, once: bool = True):
     """Appends a stream of outbox events (seq, adapter, idempotency_key, ...) to the ledger at ``ledger``, each key once.
 
-    Every micro-batch keeps the earliest event of each key and leaves out keys that the ledger has.  A batch writes a folder of its own
-    number, so a batch that runs again after a failure replaces what it had written: its own folder isn't read when it is judged.
+    Every micro-batch keeps the earliest event of each key and leaves out keys that the ledger has; of the ledger it reads the keys' own parts, and
+    of those the two key columns.  A batch writes a folder of its own number, so a batch that runs again after a failure replaces what it had
+    written: its own folder isn't read when it is judged.
     """
+    part = F.pmod(F.xxhash64("adapter", "idempotency_key"), F.lit(PARTS)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(ledger).where(F.col("batch") != number)
-        except AnalysisException:  # the first batch finds no ledger
-            before = None
-        append_new(batch, before).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        spark, before = batch.sparkSession, None
+        batch = batch.withColumn("part", part)
+        if _there(spark, ledger):  # the first batch finds none
+            parts = [r.part for r in batch.select("part").distinct().collect()]  # PARTS at most
+            before = spark.read.parquet(ledger).where((F.col("batch") != number) & F.col("part").isin(parts)).select("adapter", "idempotency_key")
+        append_new(batch, before).write.mode("overwrite").partitionBy("part").parquet(f"{ledger}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
