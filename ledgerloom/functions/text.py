@@ -88,8 +88,12 @@ def strip(text: Column) -> Column:
 def first_sentences(text: Column, n: int = 3) -> Column:
     """The first sentences, or the first 300 characters of a text without any; without marks of emphasis, code and headings."""
     flat = strip(F.regexp_replace(text, r"[`*_#]", ""))
-    found = F.regexp_extract_all(flat, F.lit(r"[^.!?]+[.!?]"), 0)
-    return F.when(F.size(found) > 0, F.array_join(F.transform(F.slice(found, 1, n), strip), " ")).otherwise(strip(F.left(flat, F.lit(300))))
+
+    def of(x: Column) -> Column:
+        found = F.transform(F.slice(F.regexp_extract_all(x, F.lit(r"[^.!?]+[.!?]"), 0), 1, n), strip)
+        return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.array_join(f, " ")).otherwise(strip(F.left(x, F.lit(300)))))[0]
+
+    return F.transform(F.array(flat), of)[0]  # bound once, lest the text is cleaned for every use
 
 
 def whole_word(words_: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import question_tokens
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
-from .lifecycle import _FLAT, clamp, substring_score
+from .lifecycle import _FLAT, clamp, flat, substring_score
 from .questions import tokens_sql
 from .sequences import with_previous
 
@@ -200,7 +200,7 @@ def matched(actions: DataFrame, questions: DataFrame, most: int = 20, timeline:
     """
     words = F.concat_ws(" ", "source_system", "source_id", F.coalesce("project", F.lit("")), "what_text", "artifact_locations")
     q = questions.select("question_id", F.col("text").alias("_q"), question_tokens(F.col("text")).alias("_w"))
-    s = actions.withColumn("_t", words).crossJoin(F.broadcast(q))
+    s = actions.withColumn("_t", flat(words)).crossJoin(F.broadcast(q))
     s = s.withColumn("score", F.lit(1) if timeline else substring_score(F.col("_t"), F.col("_q"), F.col("_w"))).where("score > 0").drop("_t", "_q", "_w")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("ts"), F.desc("action_id")))
     return s.withColumn("rank", rank).where(F.col("rank") <= clamp(most, 200, 20))

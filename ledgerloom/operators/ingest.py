@@ -12,7 +12,7 @@ from ..functions.text import scrubbed, scrubbed_json
 from ..jobs.catalog import query
 from ..sources.ledger import AS_OF, Tables
 from ..sources.scratch import new_folder
-from .lifecycle import FLOORS, substring_score
+from .lifecycle import FLOORS, flat, substring_score
 from .retrieval import nearest, top
 from .text_ops import markdown_chunks, markdown_facts, scrub_sql
 
@@ -179,8 +179,9 @@ def memory_rows(entries: DataFrame, mapper=None) -> tuple[DataFrame, DataFrame,
 def doc_evidence(files: DataFrame, phrase: str, tokens: list[str]) -> DataFrame:
     """(path, score, line, label) of documents (path, content) that say something about a question: how well, the first line that does, and that line."""
     words = F.array(*map(F.lit, tokens)).cast("array<string>")
-    d = files.select("path", substring_score(F.col("content"), F.lit(phrase), words).alias("score"), F.posexplode(F.split("content", "\n")).alias("at", "label")).where("score > 0")
-    d = d.where(substring_score(F.col("label"), F.lit(phrase), words) > 0)
+    d = files.withColumn("_t", flat(F.col("content"))).select("path", "content", substring_score(F.col("_t"), F.lit(phrase), words).alias("score")).where("score > 0")
+    d = d.select("path", "score", F.posexplode(F.split("content", "\n")).alias("at", "label")).withColumn("_l", flat(F.col("label")))
+    d = d.where(substring_score(F.col("_l"), F.lit(phrase), words) > 0)
     return d.groupBy("path", "score").agg(F.min_by(F.struct((F.col("at") + 1).alias("line"), F.left(F.trim("label"), F.lit(160)).alias("label")), "at").alias("x")).select("path", "score", "x.line", "x.label")
 
 

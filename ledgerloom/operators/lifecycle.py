@@ -443,12 +443,18 @@ def synthesis_topics(t: Tables) -> DataFrame:
     return topics_needing_synthesis(f, t.wiki())
 
 
+def flat(text: Column) -> Column:
+    """Lower-cased, white space as one blank, nothing around."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
 def substring_score(text: Column, phrase: Column, tokens: Column) -> Column:
-    """The number of tokens that the text contains, and their number and five more if it contains the whole phrase."""
-    flat = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
-    t = flat(text)
-    whole = F.when((flat(phrase) != "") & t.contains(flat(phrase)), F.size(tokens) + 5).otherwise(0)
-    return whole + F.size(F.filter(tokens, lambda w: t.contains(flat(w))))
+    """The number of lower-cased tokens that a ``flat`` text contains, and their number and five more if it contains the whole phrase.
+
+    The text should be a column that has been made flat: it is read once a token.
+    """
+    whole = F.when((flat(phrase) != "") & text.contains(flat(phrase)), F.size(tokens) + 5).otherwise(0)
+    return whole + F.size(F.filter(tokens, lambda w: text.contains(w)))
 
 
 _FLAT = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
@@ -461,7 +467,7 @@ _FLAT = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
 def substring_hits(t: Tables) -> DataFrame:
     """SIM-9: the fifty best of every query whose id is divisible by 50; a block of queries against all texts."""
     q = t("benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("phrase"), question_tokens(F.col("text")).alias("w"))
-    s = t("documents").select("doc_id", "text").crossJoin(F.broadcast(q)).select("item_id", "doc_id", substring_score(F.col("text"), F.col("phrase"), F.col("w")).alias("score")).where("score > 0")
+    s = t("documents").select("doc_id", flat(F.col("text")).alias("text")).crossJoin(F.broadcast(q)).select("item_id", "doc_id", substring_score(F.col("text"), F.col("phrase"), F.col("w")).alias("score")).where("score > 0")
     return s.withColumn("_k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("_k <= 50").drop("_k")
 
 

@@ -27,10 +27,10 @@ def with_previous(rows: DataFrame, group: list[str], slot: Column, order: list[s
     return r.drop("_in", "_carry", "_slot", *(f"_{c}_" for c in (*group, "_slot")))
 
 
-def connected(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connected(edges: DataFrame, save: Callable[[DataFrame], DataFrame], drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b): the smallest node it reaches.  Alternating stars: union-find in two joins a round.
 
-    ``save`` writes a round's table and reads it again.  Loops and repeated edges are allowed, null ends are ignored.  Joins are on nodes, never on
+    ``save`` writes a round's table and reads it again; ``drop`` is told of those that aren't needed any more.  Loops and repeated edges are allowed, null ends are ignored.  Joins are on nodes, never on
     components; a node with very many neighbours is one row with a minimum.
     """
 
@@ -45,8 +45,9 @@ def connected(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataF
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
-        e = save(joined.select(F.explode(ends).alias("x")).select("x.*").where("a != b").distinct())
-        before, now = now, mark(e)
+        new = save(joined.select(F.explode(ends).alias("x")).select("x.*").where("a != b").distinct())
+        drop(e)
+        e, before, now = new, now, mark(new)
         if now == before:
             break
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -20,7 +20,9 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table.  Texts that lie in fewer splits than there are cores are dealt out first, as most of the work is on them; a large table never is."""
+        df, cores = self.spark.read.parquet(f"{self.dir}/{name}.parquet"), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
     def facts(self) -> DataFrame:
         """Text facts: source - language - text, with synthetic confidence and age from the id."""
