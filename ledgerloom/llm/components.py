@@ -1,38 +1,13 @@
-"""Connected components by alternating large and small stars: union-find whose parents are rows of a table."""
+"""Connected components: union-find whose parents are rows of a table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.sequences import connected
 from .common import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of the undirected ``edges`` (a, b): the smallest node it reaches.
-
-    Each round hangs every node's neighbours under the smallest of them, in two joins; the depth of the forest halves
-    about each round, and each round's table is written to the shared folder, which keeps the lineage short.  Loops and repeated edges
-    are allowed; a null end is ignored; no edges give no rows.  A node with very many neighbours is one row with a minimum (summed
-    before the shuffle) and a skewed join, which adaptive execution splits.
-    """
-    e = scratch.save(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(e)
-    while mark[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
-        new = scratch.save(small)
-        scratch.drop(e)
-        e, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
-    stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    """(node, component) for every node of the undirected ``edges`` (a, b): the smallest node it reaches; each round's table is written to the shared folder, and the last one dropped."""
+    return connected(edges, scratch.save, scratch.drop)
