@@ -90,7 +90,9 @@ def first_sentences(text: Column, n: int = 3) -> Column:
     flat = strip(F.regexp_replace(text, r"[`*_#]", ""))
 
     def of(x: Column) -> Column:
-        found = F.transform(F.slice(F.regexp_extract_all(x, F.lit(r"[^.!?]+[.!?]"), 0), 1, n), strip)
+        # behind the last stop there is no sentence, and a search for one would start at every character
+        upto = F.regexp_extract(x, r"(?s)^(.*[.!?])", 1)
+        found = F.transform(F.slice(F.regexp_extract_all(upto, F.lit(r"[^.!?]++[.!?]"), 0), 1, n), strip)
         return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.array_join(f, " ")).otherwise(strip(F.left(x, F.lit(300)))))[0]
 
     return F.transform(F.array(flat), of)[0]  # bound once, lest the text is cleaned for every use
