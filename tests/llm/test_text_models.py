@@ -406,6 +406,13 @@ def test_equal_values_stay_linked(spark):
     assert c[1] == f"{d}/{m}/{y}" and c[2] == f"{y}-{m}-{d}" and c[3] == f"{d}.{m}.{y}" and int(d) > 12 and c[0] != "12/31/2024"
 
 
+def test_longer_dotted_numbers_are_no_addresses(spark):
+    texts = ["1.2.3.4.5", "release 10.20.30.40.50 of 10.20.30.40", "10.20.30.40."]
+    a, b, c = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    new = c[:-1]
+    assert a == texts[0] and b == f"release 10.20.30.40.50 of {new}" and new != "10.20.30.40"
+
+
 def test_a_key_is_needed(awkward):
     with pytest.raises(ValueError):
         pseudonyms.pseudonymise(awkward, "")
@@ -476,6 +483,25 @@ def test_quotes_without_end_and_inline_adverts(spark):
     assert "<" not in got[5][0] and "class" not in got[5][0] and got[99][0] == frame((long_ * 20_000).strip())
 
 
+def test_lists_sections_and_comments(spark):
+    long_ = "The lamps of the old pier were lit again last night, after a winter without them."
+    p = f"<p>{long_}</p>"
+    pages = [
+        (f"<nav><a href=/>Home</a></nav><article><h1>Title</h1>{p}<ul><li>one of three</li><li>two</li><li><a href=x>three</a>, the last</li></ul>{p}</article>", ["Title", long_, "one of three", "two", "three, the last", long_]),
+        ("<main><h1>Soup</h1><ol><li>Boil the water.</li><li><p>Add salt.</p></li></ol></main><footer>Rights reserved</footer>", ["Soup", "Boil the water.", "Add salt."]),
+        (f"<main><section><h2>One</h2>{p}</section><section><h2>Two</h2><ul><li>a point</li></ul></section></main>", ["One", long_, "Two", "a point"]),
+        (f'<article><h1>T</h1>{p}<form><p>Sign up</p></form></article><section class="comments"><h2>Comments</h2><p>Great post! I agree.</p></section>', ["T", long_]),
+        (f'<article><h1>T</h1>{p}<div id="comments"><div class="comment"><p>{long_}</p></div></div><div class="ad"><p>Buy {long_}</p></div></article>', ["T", long_]),
+        (f'<div class="content"><h1>T</h1>{p}</div><div class="comment-list"><div class="comment-body"><p>I think so. {long_}</p></div></div>', ["T", long_]),
+        (f"<article><h1>T</h1>{p}{p}</article><aside><ul><li>Plain old item</li></ul></aside>", ["T", long_, long_]),
+        (f"{long_} {long_}", [f"{long_} {long_}"]),
+    ]
+    model = html_extract.fit(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    df = spark.createDataFrame([(k, f"<html><body>{body}</body></html>") for k, (body, _) in enumerate(pages)], "page_id int, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df, model).collect()}
+    assert [got[k] for k in range(len(pages))] == ["\n\n".join(want) for _, want in pages]
+
+
 def test_training_pages_are_bounded_whatever_repeats(spark):
     df = spark.range(3000).select(F.lit("<article><p>Same page, many times.</p></article>").alias("html")).unionByName(spark.range(50).select(F.concat(F.lit("<article><p>Page "), "id", F.lit("</p></article>")).alias("html")))
     seen = []
@@ -567,8 +593,8 @@ def test_network_finds_kinds_that_no_pattern_has(spark):
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = lower + lower.upper() + digits
     say = lambda n: " ".join(draw(lower, int(r.integers(2, 11))) for _ in range(n))
-    kinds = [lambda: "ghp_" + draw(mixed, 36), lambda: f"xoxb-{draw(digits, 11)}-{draw(digits, 12)}-{draw(mixed, 24)}", lambda: "sk-" + draw(mixed, 48), lambda: "eyJ" + draw(mixed, 60), lambda: draw(mixed + "+/", 43) + "="]
-    ids = [lambda: "/".join(say(5).split()) + "/part" + draw(digits, 4), lambda: "-".join(say(4).split()) + "-2024-05-17", lambda: "".join(x.title() for x in say(4).split()) + "Test", lambda: "_".join(say(4).split()) + "_v2"]
+    kinds = [lambda: "ghp_" + draw(mixed, 36), lambda: f"xoxb-{draw(digits, 11)}-{draw(digits, 12)}-{draw(mixed, 24)}", lambda: "sk-" + draw(mixed, 48), lambda: "eyJ" + draw(mixed, 60), lambda: draw(mixed + "+/", 43) + "=", lambda: "sk_live_" + draw(mixed, 24)]
+    ids = [lambda: "/".join(say(5).split()) + "/part" + draw(digits, 4), lambda: "-".join(say(4).split()) + "-2024-05-17", lambda: "".join(x.title() for x in say(4).split()) + "Test", lambda: "_".join(say(4).split()) + "_v2", lambda: "get" + "".join(x.title() for x in say(4).split() if len(x) > 2)]
     texts = [f'{say(20)} token = "{draw("0123456789abcdef", 40)}" {say(20)}' for _ in range(60)] + [say(40) for _ in range(200)]
     planted, harmless = ([k() for _ in range(30) for k in of] for of in (kinds, ids))
     at = len(texts)
