@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words in Spark, by the tokenizer's own rule, once.  The words of a batch of texts are numbered, so that a text is a list of numbers and the
-batch a short list of words.  The lists' distinct words are encoded, each one once, by the tokenizers library; a join on the word gives each batch
-the ids of its words, and the texts' ids come back by position.  A word that is in every text is one row for each batch, so no key is hot and
-nothing is broadcast.  Decoding joins ids to their pieces and the pieces, in order, to a text.
+batch a list of distinct words.  These lists, sorted by word, are the table of distinct words: each word is encoded once, by the tokenizers
+library, and its ids go back to every batch that has it, and by position into the texts.  A word that is in every text is one row for each batch, so
+no key is hot and nothing is broadcast; the texts' numbers lie in buckets by batch and aren't shuffled.  Decoding joins ids to their pieces and the pieces, in order, to a text.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from tokenizers import Tokenizer
 
 from .common import Scratch, ranges, released, text_batches
 
-#: Bytes of words in one batch; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 22
+#: Bytes of words in one batch of texts; the text that goes beyond ends it.
+BATCH_BYTES = 1 << 24
+#: Words of a list of distinct words in one row.
+LIST_WORDS = 10_000
+#: Rows of the table of distinct words that are encoded and packed together.
+PACK_ROWS = 50_000
 
 # Letters and numbers of Unicode 14 to 16, which the tokenizers library knows and Java 17 doesn't, and white space.
 LATER_LETTERS = """
@@ -131,84 +135,125 @@ def unpacked(data: np.ndarray) -> np.ndarray:
 # ----------------------------------------------------------------------------- encoding
 
 
+def _cut(data: np.ndarray, size: np.ndarray, ptr: np.ndarray) -> pa.BinaryArray:
+    """Packed numbers (bytes, bytes of each) in parts: part k has the numbers from ptr[k] to ptr[k + 1]."""
+    edge = np.concatenate(([0], np.cumsum(size)))[ptr].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ptr) - 1, [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 @released
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of texts a row with its distinct words, the most frequent first, and how often each occurs; and a row for each text with its words' numbers."""
+    """A row for each text with its words' numbers, and behind the texts of a batch its distinct words by number."""
+    number: dict[str, int] = {}
+    size, name = 0, 0
+
+    def listed(row_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        words = list(number)
+        for k in range(0, len(words), LIST_WORDS):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, row_type), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([words[k : k + LIST_WORDS]], pa.list_(pa.string()))], names=["_batch", "_row", "_codes", "_first", "_words"])
+
+    kind = None
     for whole in batches:
-        lists = whole.column("_words")
-        flat, ptr = lists.values, lists.offsets.to_numpy().astype(np.int64)
-        size = flat.offsets.to_numpy() if hasattr(flat, "offsets") else np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
-        edge = size[ptr] if len(size) else np.zeros(len(ptr), np.int64)
-        at = 0
-        while at < whole.num_rows:
-            to = max(at + 1, int(np.searchsorted(edge, int(edge[at]) + BATCH_BYTES, "right")) - 1)
-            coded = flat.slice(ptr[at], ptr[to] - ptr[at]).dictionary_encode()
-            code = coded.indices.to_numpy().astype(np.int64)
-            count = np.bincount(code, minlength=len(coded.dictionary))
-            order = np.argsort(-count, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            data, n = packed(rank[code])
-            cut = np.concatenate(([0], np.cumsum(n)))[ptr[at : to + 1] - ptr[at]]
-            rows = to - at
-            texts = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
-            name = uuid.uuid4().hex
-            yield pa.RecordBatch.from_arrays([pa.array([name] * rows), whole.column("_row").slice(at, rows), texts, pa.nulls(rows, pa.list_(pa.string())), pa.nulls(rows, pa.list_(pa.int64()))], names=["_batch", "_row", "_codes", "_words", "_counts"])
-            if len(order):
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, whole.column("_row").type), pa.nulls(1, pa.binary()), one(coded.dictionary.take(pa.array(order))), one(pa.array(count[order]))], names=["_batch", "_row", "_codes", "_words", "_counts"])
-            at = to
+        kind = whole.column("_row").type
+        for at in range(0, whole.num_rows, 100):
+            b = whole.slice(at, 100)
+            if not number:
+                name = uuid.uuid4().int >> 65
+            lists = b.column("_words")
+            ptr = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.values.slice(ptr[0], ptr[-1] - ptr[0]).dictionary_encode()
+            own = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int64)
+            data, n = packed(own[coded.indices.to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), name)), b.column("_row"), _cut(data, n, ptr - ptr[0]), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.list_(pa.string()))], names=["_batch", "_row", "_codes", "_first", "_words"])
+            size += coded.nbytes + pc.sum(pc.binary_length(lists.values.slice(ptr[0], ptr[-1] - ptr[0]))).as_py() if len(coded) else 0
+            if size >= BATCH_BYTES:
+                yield from listed(kind)
+                number.clear()
+                size = 0
+    if number:
+        yield from listed(kind)
 
 
 def _encoder(vocabulary: Vocabulary):
+    """The kernel that encodes words in their order, each once, and packs the ids of each batch's words."""
+
     @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = vocabulary.tokenizer()
+        last: tuple[str, list[int]] = ("", [])
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            coded = t.column("word").combine_chunks().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            known = words[0] == last[0]
+            ids = [*[last[1]] * known, *(e.ids for e in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False))]
+            last = words[-1], ids[-1]
+            of = t.column("_of").to_numpy()
+            order = np.argsort(of, kind="stable")
+            own = coded.indices.to_numpy()[order].astype(np.int64)
+            size = np.array([len(x) for x in ids])
+            flat, start = np.array([k for x in ids for k in x], np.int64), np.cumsum(size) - size
+            n = size[own]
+            ptr = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1], [True])))
+            parts = [_cut(*packed(x), p) for x, p in ((t.column("_code").to_numpy()[order].astype(np.int64), ptr), (n, ptr), (flat[ranges(start[own], n)], np.concatenate(([0], np.cumsum(n)))[ptr]))]
+            yield pa.RecordBatch.from_arrays([pa.array(of[order][ptr[:-1]]), *parts], names=["_of", "codes", "sizes", "ids"])
+
         for b in batches:
-            ids = [e.ids for e in tokenizer.encode_batch_fast(b.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+            held.append(b)
+            if sum(x.num_rows for x in held) >= PACK_ROWS:
+                yield from done()
+        if held and sum(x.num_rows for x in held):
+            yield from done()
 
     return encode
 
 
-def _place(texts: pa.Table, known: pa.Table) -> pa.Table:
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and where its values begin and end."""
+    data = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    cut = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) if len(data) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data.buffers()[2], np.uint8)[cut[0] : cut[-1]] if len(data) and data.buffers()[2] else np.zeros(0, np.uint8)
+    return raw, cut - cut[0]
+
+
+def _place(texts: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
     """The ids of one batch's texts: the numbers of their words, each replaced by the ids of the word."""
-    known = known.combine_chunks().sort_by("_code")
-    lists = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-    ids, off = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
-    data = texts.column("_codes").combine_chunks()
-    cut = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-    raw = np.frombuffer(data.buffers()[2], np.uint8)[cut[0] : cut[-1]] if data.buffers()[2] else np.zeros(0, np.uint8)
-    code = unpacked(raw)
-    words = np.concatenate(([0], np.cumsum(raw < 128)))[cut - cut[0]]
-    n = (off[1:] - off[:-1])[code]
-    edge = np.concatenate(([0], np.cumsum(n)))[words]
-    out = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids[ranges(off[code], n)], pa.int32()))
-    return pa.Table.from_arrays([texts.column("_row").combine_chunks(), out], names=["_row", "ids"])
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: bool = False, table: list | None = None) -> DataFrame:
+    code, size, ids = (unpacked(_bytes(known.column(c))[0]) for c in ("codes", "sizes", "ids"))
+    n_of, start_of = np.zeros(len(code) + 1, np.int64), np.zeros(len(code) + 1, np.int64)
+    n_of[code], start_of[code] = size, np.cumsum(size) - size
+    ids = ids.astype(np.int32)
+    for b in texts.combine_chunks().to_batches(max_chunksize=200):
+        raw, cut = _bytes(pa.chunked_array([b.column("_codes")]))
+        word = unpacked(raw)
+        n = n_of[word]
+        edge = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(raw < 128)))[cut]]
+        yield pa.RecordBatch.from_arrays([b.column("_row"), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids[ranges(start_of[word], n)], pa.int32()))], names=["_row", "ids"])
+
+
+def _placed(texts: pa.Table, known: pa.Table) -> pa.Table:
+    return pa.Table.from_batches(_place(texts, known))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: bool = False) -> DataFrame:
     """``docs`` (which has text) with ``ids``, an array of the ids of the whole text's tokens; the text itself only if ``text`` says so.
 
     A column named ids is replaced, others stay.  Special tokens are recognised wherever they stand.  A null or empty text has no ids; very long texts are read
-    whole; rows that repeat are separate rows, and need no doc_id; an empty table gives an empty result.  The table of distinct words
-    (word, n, ids) is added to ``table`` where one is given.
+    whole; rows that repeat are separate rows, and need no doc_id; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    scratch = Scratch(spark, "bpe")
     columns = [c for c in docs.columns if c != "ids" and (text or c != "text")] or ["text"]
     rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce(words(F.col("text"), vocabulary.special), F.array().cast("array<string>")).alias("_words"))
     kind = rows.schema["_row"].dataType.simpleString()
-    parts = scratch.save(rows.mapInArrow(_number, f"_batch string, _row {kind}, _codes binary, _words array<string>, _counts array<bigint>"))
-    lists = parts.where("_words is not null")
-    counted = lists.select(F.explode(F.arrays_zip(F.col("_words").alias("word"), F.col("_counts").alias("n"))).alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"))
-    encoded = scratch.save(counted.mapInArrow(_encoder(vocabulary), "word string, n long, ids array<int>"))
-    if table is not None:
-        table.append(encoded)
-    known = lists.select(F.col("_batch").alias("_of"), F.posexplode("_words").alias("_code", "word")).join(encoded.select("word", "ids"), "word").select("_of", "_code", "ids")
+    parts = Scratch(spark, "bpe").save_in_buckets(rows.mapInArrow(_number, f"_batch long, _row {kind}, _codes binary, _first int, _words array<string>"), "_batch")
+    table = parts.where("_words is not null").select(F.posexplode("_words").alias("_at", "word"), F.col("_batch").alias("_of"), "_first").select("word", "_of", (F.col("_first") + F.col("_at")).alias("_code"))
+    known = table.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(vocabulary), "_of long, codes binary, sizes binary, ids binary")
     texts = parts.where("_codes is not null").select("_batch", "_row", "_codes")
-    out = texts.groupBy("_batch").cogroup(known.groupBy("_of")).applyInArrow(_place, f"_row {kind}, ids array<int>")
+    out = texts.groupBy("_batch").cogroup(known.groupBy("_of")).applyInArrow(_placed, f"_row {kind}, ids array<int>")
     return out.select(*(F.col("_row").getField(c).alias(c) for c in columns), "ids")
 
 
