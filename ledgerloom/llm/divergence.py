@@ -28,7 +28,7 @@ BLOCK_BYTES = 64 << 20
 #: Bytes of counts that a task holds before it hands them on.
 COUNT_BYTES = 64 << 20
 #: Numbers in one piece of the matrix of a language's groups and terms.
-PIECE = 1 << 19
+PIECE = 1 << 16
 _NO_TERM = NOT_WORD.copy()
 _NO_TERM[0x30:0x3A] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
