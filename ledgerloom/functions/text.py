@@ -146,7 +146,8 @@ def scrubbed(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
     A card is 13 to 19 digits, with spaces or hyphens or without, whose check digit is right; ``strict`` takes any 13 to 19 digits in a
     row.  What a more specific rule has replaced is left alone by those after it.  A null stays null with 0 redactions; a column redactions is replaced.
     """
-    d = df.drop("redactions").withColumn("_t", F.col(column)).withColumn("_n", F.lit(0))
+    columns = [c for c in df.columns if c != "redactions"]
+    d = df.select(F.struct(*columns).alias("_row"), F.col(column).alias("_t"), F.lit(0).alias("_n"))
     for pattern, to in (PRIVATE_KEY, BEARER, *((p, TOKEN) for p in TOKENS)):
         d = d.withColumn("_n", F.col("_n") + F.coalesce(F.regexp_count("_t", F.lit(java(pattern))), F.lit(0))).withColumn("_t", F.regexp_replace("_t", java(pattern), to))
     d = _rewritten(d, CARD[0], lambda h: luhn_valid(F.regexp_replace(h, "[^0-9]", "")), lambda h: F.lit(CARD[1]))
@@ -154,7 +155,7 @@ def scrubbed(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
         d = _rewritten(d, pattern, lambda h: ~h.contains("REDACTED"), lambda h, pattern=pattern, to=to: F.concat(F.regexp_extract(h, java(pattern), 1), F.lit(to)))
     if strict:
         d = _rewritten(d, STRICT[0], lambda h: F.lit(True), lambda h: F.lit(STRICT[1]))
-    return d.withColumn(column, F.col("_t")).withColumn("redactions", F.col("_n").cast("long")).drop("_t", "_n")
+    return d.select(*(F.col("_t").alias(c) if c == column else F.col("_row").getField(c).alias(c) for c in columns), F.col("_n").cast("long").alias("redactions"))
 
 
 def scrubbed_json(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
@@ -174,12 +175,24 @@ def luhn_valid(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
+# Ports that a scheme has anyway.
+PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+
+
 def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no slash behind a bare host."""
-    bare = F.regexp_replace(url, r"#.*$", "")
-    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+://[^/?]*)", 1))
-    rest = F.substr(bare, F.length(scheme) + 1)
-    return F.concat(scheme, F.when(rest == "/", "").otherwise(rest))
+    """The address by which one page is one: trimmed, scheme and host in lower case, without the scheme's own port, a fragment, or a slash behind a bare host.
+
+    Spaces and quotes become percent signs with their codes; path and query are otherwise kept.  Null where there is no scheme with a host.
+    """
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", ""), r"#.*$", "")
+    head = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?\\]*@)?([^/?@:\\]+|\[[0-9A-Fa-f:.]+\])(?::([0-9]*))?(?=[/?]|$)"
+    part = lambda k: F.regexp_extract(bare, head, k)
+    scheme, port = F.lower(part(1)), F.regexp_replace(part(4), "^0+(?=[0-9])", "")
+    own = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PORTS.items() for x in kv)), scheme), F.lit(""))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substr(bare, F.length(part(0)) + 1), " ", "%20"), '"', "%22"), "<", "%3C"), ">", "%3E")
+    rest = F.when(rest.startswith("/?"), rest).when(rest.startswith("?"), F.concat(F.lit("/"), rest)).when(rest == "/", "").otherwise(rest)
+    port = F.when((port == "") | (port == own), "").otherwise(F.concat(F.lit(":"), port))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), part(2), F.lower(part(3)), port, rest))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -287,10 +287,3 @@ def route_candidates(t: Tables) -> DataFrame:
 def underived_actions(t: Tables) -> DataFrame:
     """JOIN-9: what no later table has taken up yet."""
     return t.actions().select("action_id").join(t.accesses().select(F.col("fact_id").alias("action_id")), "action_id", "left_anti")
-
-
-@query("select source_system || ':' || action_id as key, first(coalesce(project, json_extract_string(props, '$.k'), 'none')) as what, count(*) as n from actions group by 1", "actions")
-def action_derivation(t: Tables) -> DataFrame:
-    """DOM-11: the derived action's key and its first useful description."""
-    a = t.actions().select(F.concat_ws(":", "source_system", "action_id").alias("key"), F.coalesce("project", F.get_json_object("props", "$.k"), F.lit("none")).alias("what"))
-    return a.groupBy("key").agg(F.first("what").alias("what"), F.count(F.lit(1)).alias("n"))

@@ -123,7 +123,7 @@ def propose(queue: DataFrame, proposals: DataFrame) -> DataFrame:
 
     A URL that is known keeps its status and takes the latest proposal's time, and its rationale and proposer if it has some.  What is no URL is left out.
     """
-    p = proposals.withColumn("url", normal_url(F.trim("url"))).where(F.col("url").rlike(r"^[a-z][a-z0-9+.-]*://[^/?#]+"))
+    p = proposals.withColumn("url", normal_url(F.col("url"))).where(F.col("url").isNotNull())
     p = p.groupBy(F.sha2("url", 256).alias("url_hash"), F.col("url").alias("_url")).agg(F.max_by(F.struct("proposed_by", "rationale"), F.struct("at", "rationale")).alias("_p"), F.max("at").alias("_at"))
     q = queue.join(p, "url_hash", "full_outer")
     return q.select(

@@ -191,27 +191,42 @@ def verdict_stats(t: Tables) -> DataFrame:
     return s.withColumn("positive_rate", F.round(F.try_divide(F.col("confirmed") + F.col("refined"), F.col("judged")), 6))
 
 
-def gate(chains: DataFrame, paused_days: float | None = None, skips: int = 0) -> DataFrame:
-    """One row that says whether another chain may run, and why not: chains (at, verdict), the days since a hard pause (None: not paused), and the runs skipped in a row.
+#: What the scheduler's gate decides.
+DECISIONS = ("skipped_below_entry", "skipped_hard_paused", "skipped_soft", "ran")
 
-    Less than ten chains: too few to judge by, go on.  A pause ends by itself after seven days.  Of the last ten at least five judged, and half of the
-    judged rejected: skip; the fourth skip in a row is a pause.
+
+def gate(chains: DataFrame, paused: bool = False, paused_days: float | None = None, skips: int = 0) -> DataFrame:
+    """One row: may another chain run?  chains (verdict, verdict_at), and the state that the last call left: a hard pause, the days since, and the soft skips in a row.
+
+    Less than ten chains, judged or not: below entry, whatever the state.  A pause of less than seven days, or one without a date, holds; a longer one ends and
+    the count of skips with it.  Of the ten chains judged last, by the time of the verdict, at least five, and half of them rejected: a soft skip; the fourth in a row is
+    a hard pause.  ``paused`` and ``skips`` are the state to keep.  Verdicts of equal times go by verdict; other words than the three aren't judgements.
     """
     n = chains.agg(F.count(F.lit(1)).alias("chains"))
-    last = chains.orderBy(F.desc("at")).limit(10).agg(F.count("verdict").alias("judged"), F.count_if(F.col("verdict") == "rejected").alias("rejected"))
-    s = n.crossJoin(last)  # a row each
+    v = F.col("verdict")
+    last = chains.where(v.isNotNull()).orderBy(F.desc("verdict_at"), "verdict").limit(10).agg(*(F.count_if(v == x).alias(x) for x in ("confirmed", "refined", "rejected")))
+    s = n.crossJoin(last).withColumn("judged", F.col("confirmed") + F.col("refined") + F.col("rejected"))  # a row each
+    holds = paused and (paused_days is None or paused_days < 7)
+    before = 0 if paused and not holds else skips
     bad = (F.col("judged") >= 5) & (F.col("rejected") >= 0.5 * F.col("judged"))
-    state = F.when(F.lit(paused_days is not None and paused_days < 7), "paused").when(F.col("chains") < 10, "entry").when(bad & F.lit(skips + 1 >= 4), "pause").when(bad, "skip").otherwise("run")
-    return s.withColumn("state", state)
+    entry = F.col("chains") < 10
+    turned = ~entry & ~F.lit(holds) & bad
+    decision = F.when(entry, DECISIONS[0]).when(F.lit(holds), DECISIONS[1]).when(bad & F.lit(before + 1 >= 4), DECISIONS[1]).when(bad, DECISIONS[2]).otherwise(DECISIONS[3])
+    s = s.withColumn("decision", decision).withColumn("paused", F.when(entry, F.lit(paused)).otherwise(F.lit(holds) | (turned & F.lit(before + 1 >= 4))))
+    return s.withColumn("skips", F.when(entry, F.lit(skips)).otherwise(F.when(turned, F.lit(before + 1)).otherwise(F.lit(before)))).select("chains", "judged", "rejected", "decision", "paused", "skips")
 
 
-_GATE = ", r as (select * from v order by doc_id desc limit 10), s as (select (select count(*) from v) as chains, count(verdict) as judged, count(*) filter (verdict = 'rejected') as rejected from r) "
+# written from the rule: the last ten judgements by the time they were given, then five of them and half
+_GATE = (
+    ", j as (select verdict from v where verdict is not null order by (doc_id * 7919) % 10007 desc, verdict limit 10), "
+    "s as (select (select count(*) from v) as chains, count(*) as judged, count(*) filter (verdict = 'rejected') as rejected from j) "
+)
 
 
-@query(_VERDICTS + _GATE + "select *, case when chains < 10 then 'entry' when judged >= 5 and rejected >= 0.5 * judged then 'skip' else 'run' end as state from s")
+@query(_VERDICTS + _GATE + "select *, case when chains < 10 then 'skipped_below_entry' when judged >= 5 and rejected * 2 >= judged then 'skipped_soft' else 'ran' end as decision, false as paused, case when chains >= 10 and judged >= 5 and rejected * 2 >= judged then 1 else 0 end as skips from s")
 def recent_verdicts(t: Tables) -> DataFrame:
-    """WIN-7, DOM-19: the scheduler's gate looks at the last ten."""
-    return gate(_verdicts(t).withColumnRenamed("doc_id", "at"))
+    """WIN-7, DOM-19: the scheduler's gate looks at the last ten judgements."""
+    return gate(_verdicts(t).withColumn("verdict_at", F.col("doc_id") * 7919 % 10007))
 
 
 def parsed_chains(replies: DataFrame) -> DataFrame:
@@ -238,11 +253,22 @@ def chain_list(chains: DataFrame, prefix: str) -> DataFrame:
     return found.crossJoin(n).withColumn("error", F.when(F.col("_n") > 1, "ambiguous")).drop("_n")
 
 
-@query("select subject, max_by(fact_id, (-age_days, fact_id)) as newest from facts where not archived group by subject order by min(age_days), subject limit 3", "facts")
+def seeds(facts: DataFrame, observations: DataFrame, budget: int = 3, days: int = 7, importing: str = "memory") -> DataFrame:
+    """(subject, newest): the newest fact of each of the subjects that had facts last, ``budget`` or three at most.
+
+    facts (fact_id, subject, observe_id, age_days, archived) of less than ``days`` days that aren't archived and whose observation (observe_id, adapter)
+    didn't come by the adapter that imports in bulk.  Facts of one age go by the larger id, subjects by name.
+    """
+    f = facts.where(~F.col("archived") & (F.col("age_days") < days)).join(observations.where(F.col("adapter") != importing).select("observe_id"), "observe_id")
+    s = f.groupBy("subject").agg(F.max_by("fact_id", F.struct(-F.col("age_days"), "fact_id")).alias("newest"), F.min("age_days").alias("_age"))
+    return s.orderBy("_age", "subject").limit(min(budget, 3)).select("subject", "newest")
+
+
+@query("select subject, max_by(fact_id, (-age_days, fact_id)) as newest from facts where not archived and age_days < 7 and fact_id % 5 != 0 group by subject order by min(age_days), subject limit 3", "facts")
 def seed_subjects(t: Tables) -> DataFrame:
-    """AGG-7, DOM-19: the newest fact of each of the three most recent subjects."""
-    s = t.facts().where("not archived").groupBy("subject").agg(F.max_by("fact_id", F.struct(-F.col("age_days"), "fact_id")).alias("newest"), F.min("age_days").alias("age"))
-    return s.orderBy("age", "subject").limit(3).select("subject", "newest")
+    """AGG-7, DOM-19: a fifth of the facts is imported."""
+    o = t.observations().select("observe_id", F.when(F.col("observe_id") % 5 == 0, "memory").otherwise("local-file").alias("adapter"))
+    return seeds(t.facts().withColumn("observe_id", F.col("fact_id")), o)
 
 
 def digest(facts: DataFrame, gaps: DataFrame, pages: DataFrame, audits: DataFrame, days: int = 7, floor: float = 0.75, most: int = 25) -> DataFrame:

@@ -14,17 +14,17 @@ def with_previous(rows: DataFrame, group: list[str], slot: Column, order: list[s
     Slots must not descend along the order.  Windows run inside a slot, and over the last rows of the slots, of which a group has few;
     so a hot group is sorted slot by slot.
     """
-    r = rows.withColumn("_slot", slot)
-    v = F.struct(*values)
-    r = r.withColumn("_in", F.lag(v).over(Window.partitionBy(*group, "_slot").orderBy(*order)))
-    last = r.groupBy(*group, "_slot").agg(F.max_by(v, F.struct(*order)).alias("_last"))
-    last = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*group).orderBy("_slot")))
-    last = last.select(*(F.col(c).alias(f"_{c}_") for c in (*group, "_slot")), "_carry")
+    columns = [c for c in rows.columns if c != "before"]
+    key = [f"_{k}" for k in range(len(group))]
+    r = rows.select(F.struct(*columns).alias("_row"), slot.alias("_slot"), F.struct(*values).alias("_v"), F.struct(*order).alias("_at"), *(F.col(c).alias(k) for c, k in zip(group, key)))
+    r = r.withColumn("_in", F.lag("_v").over(Window.partitionBy(*key, "_slot").orderBy("_at")))
+    last = r.groupBy(*key, "_slot").agg(F.max_by("_v", "_at").alias("_last"))
+    last = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*key).orderBy("_slot")))
+    last = last.select(*(F.col(c).alias(f"{c}_") for c in (*key, "_slot")), "_carry")
     same = F.lit(True)
-    for c in (*group, "_slot"):
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_"))
-    r = r.join(last, same, "left").withColumn("before", F.coalesce("_in", "_carry"))
-    return r.drop("_in", "_carry", "_slot", *(f"_{c}_" for c in (*group, "_slot")))
+    for c in (*key, "_slot"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return r.join(last, same, "left").select(*(F.col("_row").getField(c).alias(c) for c in columns), F.coalesce("_in", "_carry").alias("before"))
 
 
 def connected(edges: DataFrame, save: Callable[[DataFrame], DataFrame], drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
     BEARER, CARD, CORRECTIONS, ENVIRONMENT, MOST_RETRACTED, PASSWORD, PREDICATES, PRIVATE_KEY, STRICT, TOKEN, TOKENS,
-    chunks, correction, first_sentences, java, luhn_valid, normal_url, normalised, plain_text, predicate, scrubbed, scrubbed_json, strip, whole_word,
+    chunks, correction, first_sentences, jaccard, java, luhn_valid, normal_url, normalised, plain_text, predicate, scrubbed, scrubbed_json, strip, whole_word,
 )
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
@@ -187,13 +186,21 @@ def extractor_routes(t: Tables) -> DataFrame:
     return n.select((F.col("page_id") % 2 == 0).alias("web")).distinct().join(f, "web", "left").select("web", F.coalesce("facts", F.lit(0)).alias("facts"))
 
 
-@query(
-    r"with b as (select page_id, regexp_replace(url, '#.*$', '') as u from pages), s as (select page_id, u, lower(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1)) as h from b) "
-    "select page_id, h || case when substr(u, length(h) + 1) = '/' then '' else substr(u, length(h) + 1) end as url from s"
+#: The address rule over a column ``url``.
+_BARE = r"regexp_replace(regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]', '', 'g'), '#.*$', '')"
+_HEAD = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*@)?([^/?@:]+)(:([0-9]*))?"
+_ADDRESS = (
+    f"(select case when u.s <> '' then u.s || '://' || u.w || lower(u.h) || case when u.p = '' or (u.s = 'http' and u.p = '80') or (u.s = 'https' and u.p = '443') then '' else ':' || u.p end || case when u.r = '/' then '' when u.r like '?%' then '/' || u.r else u.r end end "
+    f"from (select lower(regexp_extract(b, '{_HEAD}', 1)) as s, regexp_extract(b, '{_HEAD}', 2) as w, regexp_extract(b, '{_HEAD}', 3) as h, regexp_extract(b, '{_HEAD}', 5) as p, replace(substr(b, length(regexp_extract(b, '{_HEAD}', 0)) + 1), ' ', '%20') as r from (select {_BARE} as b)) u)"
 )
+
+
+@query(f"select page_id, {_ADDRESS} as url from (select page_id, case page_id % 4 when 0 then '  HTTPS://Example.COM:443/' || page_id || ' a#x ' when 1 then upper(url) else url end as url from pages)")
 def url_normalize(t: Tables) -> DataFrame:
-    """DOM-9."""
-    return t("pages").select("page_id", normal_url(F.col("url")).alias("url"))
+    """DOM-9: addresses as they are, in capitals, and with blanks, the scheme's port and a fragment."""
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, F.concat(F.lit("  HTTPS://Example.COM:443/"), "page_id", F.lit(" a#x "))).when(k == 1, F.upper("url")).otherwise(F.col("url"))
+    return t("pages").select("page_id", normal_url(url).alias("url"))
 
 
 @query("with u as (select regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) as host, count(*) as n from pages group by 1) select host, n, case when n > 5 then 'approved' else 'proposed' end as status from u order by n desc, host limit 50")
@@ -280,47 +287,99 @@ def uuid5(name: Column, namespace: str = str(uuid.NAMESPACE_URL)) -> Column:
     return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-5"), at(14, 3), F.lit("-"), variant, at(18, 3), F.lit("-"), at(21, 12))
 
 
-_UUID5 = (
-    "with h as (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chain|' || doc_id || '|' || source)) as h from documents) "
-    "select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::int % 4 + 1)::int, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as chain_id from h"
-)
+def _uuid5_sql(name: str, namespace: str) -> str:
+    h = f"sha1(unhex('{uuid.UUID(namespace).hex}') || encode({name}))"
+    return f"(select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::int % 4 + 1)::int, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) from (select {h} as h))"
+
+
+#: The namespaces of identifiers, and the version of the rules by which chains are made.
+CHAINS = "5b9c1e7d-3b1c-5e7f-9c3a-7f8b1e2d4a6c"
+INSIGHTS = str(uuid.NAMESPACE_URL)
+CHAIN_POLICY = "l5-v1"
 
 
-@query(_UUID5)
+def chain_id(kind: Column, seed: Column, candidates: Column, policy: str = CHAIN_POLICY) -> Column:
+    """The id of a reasoning chain: the same seed, policy and candidates, in whatever order, are the same chain."""
+    return uuid5(F.concat_ws("|", kind, seed, F.lit(policy), F.array_join(F.sort_array(candidates), ",")), CHAINS)
+
+
+@query("with c as (select conv_id, string_agg(turn::varchar, ',' order by turn::varchar) as ids from conversations where turn > 0 group by conv_id) select d.conv_id, " + _uuid5_sql(f"'fact|' || d.conv_id || '|{CHAIN_POLICY}|' || coalesce(c.ids, '')", CHAINS) + " as chain_id from (select distinct conv_id from conversations) d left join c using (conv_id)")
 def uuid5_ids(t: Tables) -> DataFrame:
-    """GRA-9: deterministic chain ids."""
-    return t("documents").select("doc_id", uuid5(F.concat_ws("|", F.lit("chain"), "doc_id", "source")).alias("chain_id"))
-
-
-def split_insight(text: str, most: int = 2000) -> list[str]:
-    """Parts of at most ``most`` characters: whole, else packed paragraphs, else packed sentences, else cut."""
-    if len(text) <= most:
-        return [text] if text else []
-    for mark in ("\n", ". "):
-        pieces = text.split(mark)
-        if len(pieces) > 1:
-            out, part = [], ""
-            for p in pieces:
-                joined = f"{part}{mark}{p}" if part else p
-                if len(joined) <= most:
-                    part = joined
-                    continue
-                out += [part] if part else []
-                part = p
-            return [y for x in (*out, part) if x for y in (split_insight(x, most) if len(x) > most and x != text else [x[k : k + most] for k in range(0, len(x), most)])]
-    return [text[k : k + most] for k in range(0, len(text), most)]
-
-
-@query()
-def insight_split(t: Tables) -> DataFrame:
-    """EXT-11: greedy packing."""
+    """GRA-9: deterministic chain ids: a conversation's first turn is the seed, the others are the candidates."""
+    c = t("conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("turn") > 0, F.col("turn").cast("string"))).alias("ids"))
+    return c.select("conv_id", chain_id(F.lit("fact"), F.col("conv_id").cast("string"), F.col("ids")).alias("chain_id"))
+
+
+#: Characters of a part, and the similarity from which two parts in a row could be taken for one.
+MOST_CHARS = 2_000
+MOST_SIMILAR = 0.75
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_insight(x or ""))
 
-    # most texts are one part, and never leave the JVM
-    d = t("documents").select("doc_id", "text", uuid5(F.concat_ws("|", F.lit("insight"), "doc_id")).alias("root_id"))
-    short = d.where("length(text) between 1 and 2000").select("doc_id", "root_id", F.lit(0).alias("part"), F.length("text").alias("n_chars"))
-    long_ = d.where("length(text) > 2000").select("doc_id", "root_id", F.posexplode(parts("text")).alias("part", "insight"))
-    return short.unionByName(long_.select("doc_id", "root_id", "part", F.length("insight").alias("n_chars")))
+def packed(pieces: Column, between: str, most: int = MOST_CHARS) -> Column:
+    """Pieces put together one after the other while they fit: a fold.  A piece that is too long by itself stays so."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def add(s: Column, piece: Column) -> Column:
+        fits = (s["now"] == "") | (F.length(s["now"]) + len(between) + F.length(piece) <= most)
+        joined = F.when(s["now"] == "", piece).otherwise(F.concat(s["now"], F.lit(between), piece))
+        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))).alias("done"), F.when(fits, joined).otherwise(piece).alias("now"))
+
+    return F.aggregate(F.filter(pieces, lambda x: x != ""), start, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+
+
+def split_insights(insights: DataFrame, content: str, project: Column, fact_ids: Column, synthesized_at: Column, most: int = MOST_CHARS) -> DataFrame:
+    """The rows of ``insights`` in parts, with the trace of each: root_insight_id, fact_ids, chunk_index, total_chunks, split_strategy, synthesized_at, similarity, too_similar.
+
+    One strategy holds for a whole text: ``none`` up to ``most`` characters; else paragraphs packed together; if a paragraph is too long, sentences; if a sentence is, ``hard-cut``.
+    ``similarity`` is the share of words that a part has in common with the part before it (null for the first).  The root id is made of the project and the sorted ids, so it is the same
+    for the same facts.  A null text gives no part, an empty one an empty part; columns of these names are replaced.
+    """
+    added = ("root_insight_id", "fact_ids", "chunk_index", "total_chunks", "split_strategy", "synthesized_at", "similarity", "too_similar")
+    columns = [c for c in insights.columns if c not in added]
+    d = insights.select(F.struct(*columns).alias("_row"), F.col(content).alias("_text"), project.alias("_project"), F.sort_array(fact_ids).alias("_ids"), synthesized_at.alias("_at")).where(F.col("_text").isNotNull())
+    long_ = F.length("_text") > most
+    too_long = lambda parts: F.exists(parts, lambda x: F.length(x) > most)
+    d = d.withColumn("_parts", F.when(long_, packed(F.split("_text", r"\n\n+"), "\n\n", most)).otherwise(F.array("_text")))
+    d = d.withColumn("_how", F.when(~long_, "none").when(~too_long(F.col("_parts")), "paragraph").otherwise("sentence"))
+    d = d.withColumn("_parts", F.when(F.col("_how") == "sentence", packed(F.split("_text", r"(?<=[.!?])\s+"), " ", most)).otherwise(F.col("_parts")))
+    d = d.withColumn("_how", F.when((F.col("_how") == "sentence") & too_long(F.col("_parts")), "hard-cut").otherwise(F.col("_how")))
+    d = d.withColumn("_parts", F.when(F.col("_how") == "hard-cut", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{most}}}"), 0)).otherwise(F.col("_parts")))
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""))
+    d = d.withColumn("_words", F.transform("_parts", words))
+    root = uuid5(F.concat(F.coalesce("_project", F.lit("")), F.lit("|"), F.array_join("_ids", ",")), INSIGHTS)
+    d = d.select("_row", "_parts", "_words", "_ids", "_at", "_how", root.alias("_root"), F.posexplode("_parts").alias("_k", "_part"))
+    near = F.when(F.col("_k") > 0, jaccard(F.get("_words", F.col("_k") - 1), F.get("_words", F.col("_k"))))
+    rows = [F.col("_part").alias(c) if c == content else F.col("_row").getField(c).alias(c) for c in columns]
+    return d.select(*rows, F.col("_root").alias("root_insight_id"), F.col("_ids").alias("fact_ids"), F.col("_k").alias("chunk_index"), F.size("_parts").alias("total_chunks"), F.col("_how").alias("split_strategy"), F.col("_at").alias("synthesized_at"), near.alias("similarity"), (near >= MOST_SIMILAR).alias("too_similar"))
+
+
+def _packed_sql(pieces: str, between: str) -> str:
+    """``packed`` of a list; ``between`` is SQL for a string of one or two characters."""
+    fits = f"len(s) > 0 and length(s[-1]) + length({between}) + length(x[1]) <= {MOST_CHARS}"
+    return f"list_reduce([[]::varchar[]] || list_transform(list_filter({pieces}, lambda q: q <> ''), lambda q: [q]), lambda s, x: case when {fits} then s[:-2] || [s[-1] || {between} || x[1]] else s || x end)"
+
+
+_PARAGRAPHS = _packed_sql(r"regexp_split_to_array(text, '\n\n+')", "chr(10) || chr(10)")
+_SENTENCES = _packed_sql(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))", "' '")
+_TOO_LONG = f"len(list_filter({{}}, lambda q: length(q) > {MOST_CHARS})) > 0"
+_WORDS_OF = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
+_SPLIT = (
+    "with d as (select doc_id, text, source from documents where text is not null), "
+    f"p as (select *, case when length(text) <= {MOST_CHARS} then [text] else {_PARAGRAPHS} end as a from d), "
+    f"s as (select *, case when length(text) <= {MOST_CHARS} then 'none' when {_TOO_LONG.format('a')} then 'sentence' else 'paragraph' end as how from p), "
+    f"b as (select doc_id, text, source, how, case when how = 'sentence' then {_SENTENCES} else a end as c from s), "
+    f"h as (select doc_id, text, source, case when how = 'sentence' and {_TOO_LONG.format('c')} then 'hard-cut' else how end as how, c from b), "
+    f"e as (select doc_id, source, how, case when how = 'hard-cut' then list_transform(range(0, length(text), {MOST_CHARS}), lambda i: substr(text, i + 1, {MOST_CHARS})) else c end as c from h), "
+    "u as (select *, unnest(range(len(c))) as k from e), "
+    f"w as (select *, case when k > 0 then {_WORDS_OF.format('c[k]')} end as l, {_WORDS_OF.format('c[k + 1]')} as r from u), "
+    "x as (select *, case when k > 0 then coalesce(len(list_intersect(l, r))::double / nullif(len(l) + len(r) - len(list_intersect(l, r)), 0), 0) end as similarity from w) "
+    "select doc_id, " + _uuid5_sql("source || '|' || list_aggregate(list_sort(['f', doc_id::varchar]), 'string_agg', ',')", INSIGHTS) + " as root_insight_id, k::int as chunk_index, len(c)::int as total_chunks, how as split_strategy, sha256(c[k + 1]) as content, round(similarity, 9) as similarity, similarity >= 0.75 as too_similar from x"
+)
+
+
+@query(_SPLIT)
+def insight_split(t: Tables) -> DataFrame:
+    """EXT-11, WIN-8: texts as insights in parts, each part beside the one before it."""
+    d = t("documents").select("doc_id", "text", "source")
+    s = split_insights(d, "text", F.col("source"), F.array(F.lit("f"), F.col("doc_id").cast("string")), F.lit("2024-02-01T00:00:00Z"))
+    return s.select("doc_id", "root_insight_id", "chunk_index", "total_chunks", "split_strategy", F.sha2("text", 256).alias("content"), F.round("similarity", 9).alias("similarity"), "too_similar")

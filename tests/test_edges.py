@@ -92,18 +92,10 @@ def test_maintenance_of_empty_tables(spark):
     e = lambda kind: spark.createDataFrame([], kind)
     observations, facts, links = e("observe_id long, kind string, age_days long"), e("fact_id long, observe_id long"), e("a long, b long")
     assert [x.count() for x in maintenance.collected(observations, facts, links)] == [0, 0, 0]
-    assert maintenance.gate(e("at long, verdict string")).first().state == "entry"
+    assert maintenance.gate(e("verdict_at long, verdict string")).first().decision == "skipped_below_entry"
     assert maintenance.stale_pages(e("path string, title string, synthesis_days long, failed boolean")).count() == 0
 
 
-def test_gate_states(spark):
-    chains = lambda *verdicts: spark.createDataFrame([(k, v) for k, v in enumerate(verdicts)], "at long, verdict string")
-    bad, good = chains(*["confirmed"] * 5, *["rejected"] * 5, *[None] * 3), chains(*["rejected"] * 5, *["confirmed"] * 10)
-    state = lambda c, **k: maintenance.gate(c, **k).first().state
-    assert state(bad) == "skip" and state(bad, skips=3) == "pause" and state(good) == "run" and state(good, paused_days=6.9) == "paused" and state(good, paused_days=7) == "run"
-    assert state(chains(*["rejected"] * 9)) == "entry" and state(chains(*[None] * 8, "rejected", "rejected")) == "run"
-
-
 def test_leases_and_their_tokens(spark):
     jobs = spark.createDataFrame([(1, 2, None, None, False), (2, 1, "x:2", 100, False), (3, 1, None, None, True), (4, 1, None, None, False)], "id long, priority int, token string, lease_until int, done boolean")
     taken = ledger_ops.leased(jobs, 100, "w", 2)

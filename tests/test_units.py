@@ -246,13 +246,6 @@ def test_greedy_clusters_keep_the_first_anchor():
     assert dict(zip(*got[["key", "cluster"]].T.values)) == {"a": "a", "b": "a", "c": "c", "d": "d"} and got["shared"].tolist()[:2] == ["x,y", "x,y"]
 
 
-def test_insight_parts_fit_and_lose_no_word():
-    for source in ("", "x" * 4500, "one. " * 900, "para\n" * 900, "short"):
-        parts = text_ops.split_insight(source)
-        assert all(0 < len(p) <= 2000 for p in parts)
-        assert sorted("".join(parts).replace("\n", "").replace(". ", "").replace(" ", "").replace(".", "")) == sorted(source.replace("\n", "").replace(" ", "").replace(".", ""))
-
-
 def test_minhash_of_equal_and_empty_texts(spark):
     a, b, c, d = column(spark, ["the same text", "the same text", "", None], similarity.minhash)
     assert a == b and len(a) == 128 and c == [] and d == []
