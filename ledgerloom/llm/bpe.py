@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words in Spark, by the tokenizer's own rule, once.  The words of a batch of texts are numbered, so that a text is a list of numbers and the
-batch a list of distinct words.  These lists, sorted by word, are the table of distinct words: each word is encoded once, by the tokenizers
-library, and its ids go back to every batch that has it, and by position into the texts.  A word that is in every text is one row for each batch, so
+batch a list of distinct words.  These lists are dealt out by a hash of the word, which makes the table of distinct words: each word is encoded once, by the tokenizers
+library, and its ids go back to every batch that has it, and by position into the texts.  A word that is in every text comes once from each batch, so
 no key is hot and nothing is broadcast; the texts' numbers lie in buckets by batch and aren't shuffled.  Decoding joins ids to their pieces and the pieces, in order, to a text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,9 @@ from tokenizers import Tokenizer
 from .common import Scratch, ranges, released, text_batches
 
 #: Bytes of words in one batch of texts; the text that goes beyond ends it.
-BATCH_BYTES = 1 << 24
-#: Words of a list of distinct words in one row.
-LIST_WORDS = 10_000
-#: Rows of the table of distinct words that are encoded and packed together.
-PACK_ROWS = 50_000
+BATCH_BYTES = 1 << 23
+#: Parts of the table of distinct words for each partition of a shuffle.
+PARTS = 2
 
 # Letters and numbers of Unicode 14 to 16, which the tokenizers library knows and Java 17 doesn't, and white space.
 LATER_LETTERS = """
@@ -141,73 +140,71 @@ def _cut(data: np.ndarray, size: np.ndarray, ptr: np.ndarray) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ptr) - 1, [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-@released
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text with its words' numbers, and behind the texts of a batch its distinct words by number."""
-    number: dict[str, int] = {}
-    size, name = 0, 0
-
-    def listed(row_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        words = list(number)
-        for k in range(0, len(words), LIST_WORDS):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, row_type), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([words[k : k + LIST_WORDS]], pa.list_(pa.string()))], names=["_batch", "_row", "_codes", "_first", "_words"])
-
-    kind = None
-    for whole in batches:
-        kind = whole.column("_row").type
-        for at in range(0, whole.num_rows, 100):
-            b = whole.slice(at, 100)
-            if not number:
-                name = uuid.uuid4().int >> 65
-            lists = b.column("_words")
-            ptr = lists.offsets.to_numpy().astype(np.int64)
-            coded = lists.values.slice(ptr[0], ptr[-1] - ptr[0]).dictionary_encode()
-            own = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int64)
-            data, n = packed(own[coded.indices.to_numpy()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), name)), b.column("_row"), _cut(data, n, ptr - ptr[0]), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.list_(pa.string()))], names=["_batch", "_row", "_codes", "_first", "_words"])
-            size += coded.nbytes + pc.sum(pc.binary_length(lists.values.slice(ptr[0], ptr[-1] - ptr[0]))).as_py() if len(coded) else 0
-            if size >= BATCH_BYTES:
-                yield from listed(kind)
-                number.clear()
-                size = 0
-    if number:
-        yield from listed(kind)
+def _number(parts: int):
+    """The kernel that numbers words: a row for each text with its words' numbers, and for each batch its distinct words in parts, by a hash, with their numbers."""
 
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
+        size, name, kind = 0, 0, None
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            words = [w.encode() for w in number]
+            part = np.array([zlib.crc32(w) % parts for w in words])
+            order = np.argsort(part, kind="stable")
+            length = np.array([len(w) for w in words])[order]
+            ptr = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) > 0, [True])))
+            body = [pa.compress(b"".join([words[k] for k in order[a:z]]), "zstd", asbytes=True) for a, z in zip(ptr[:-1], ptr[1:])]
+            n = len(ptr) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, name)), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(part[order][ptr[:-1]], pa.int32()), pa.array(body, pa.binary()), _cut(*packed(length), ptr), _cut(*packed(order), ptr)],
+                names=["_batch", "_row", "_codes", "_part", "_words", "_lengths", "_numbers"],
+            )
+            number.clear()
 
-def _encoder(vocabulary: Vocabulary):
-    """The kernel that encodes words in their order, each once, and packs the ids of each batch's words."""
+        for whole in batches:
+            kind = whole.column("_row").type
+            for at in range(0, whole.num_rows, 100):
+                b = whole.slice(at, 100)
+                if not number:
+                    name = uuid.uuid4().int >> 65
+                lists = b.column("_words")
+                ptr = lists.offsets.to_numpy().astype(np.int64)
+                flat = lists.values.slice(ptr[0], ptr[-1] - ptr[0])
+                coded = flat.dictionary_encode()
+                own = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int64)
+                codes = _cut(*packed(own[coded.indices.to_numpy()]), ptr - ptr[0])
+                none = [pa.nulls(len(b), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), name)), b.column("_row"), codes, *none], names=["_batch", "_row", "_codes", "_part", "_words", "_lengths", "_numbers"])
+                size += pc.sum(pc.binary_length(flat)).as_py() or 0
+                if size >= BATCH_BYTES:
+                    yield from dealt()
+                    size = 0
+        if number:
+            yield from dealt()
+
+    return run
 
-    @released
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = vocabulary.tokenizer()
-        last: tuple[str, list[int]] = ("", [])
-        held: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal last
-            t = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            coded = t.column("word").combine_chunks().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = words[0] == last[0]
-            ids = [*[last[1]] * known, *(e.ids for e in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False))]
-            last = words[-1], ids[-1]
-            of = t.column("_of").to_numpy()
-            order = np.argsort(of, kind="stable")
-            own = coded.indices.to_numpy()[order].astype(np.int64)
-            size = np.array([len(x) for x in ids])
-            flat, start = np.array([k for x in ids for k in x], np.int64), np.cumsum(size) - size
-            n = size[own]
-            ptr = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1], [True])))
-            parts = [_cut(*packed(x), p) for x, p in ((t.column("_code").to_numpy()[order].astype(np.int64), ptr), (n, ptr), (flat[ranges(start[own], n)], np.concatenate(([0], np.cumsum(n)))[ptr]))]
-            yield pa.RecordBatch.from_arrays([pa.array(of[order][ptr[:-1]]), *parts], names=["_of", "codes", "sizes", "ids"])
-
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= PACK_ROWS:
-                yield from done()
-        if held and sum(x.num_rows for x in held):
-            yield from done()
+
+def _encoder(vocabulary: Vocabulary):
+    """The kernel that encodes the distinct words of a part of the table, each once, and gives the ids of each batch's words."""
+    made: list[Tokenizer] = []
+
+    def encode(part: pa.Table) -> pa.Table:
+        if not made:  # once a task
+            made.append(vocabulary.tokenizer())
+        length = [unpacked(np.frombuffer(x, np.uint8)) for x in part.column("_lengths").to_pylist()]
+        body = b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(part.column("_words").to_pylist(), length))
+        n = np.concatenate(length)
+        edge = np.concatenate(([0], np.cumsum(n)))
+        words = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(body)).dictionary_encode()
+        ids = [e.ids for e in made[0].encode_batch_fast(words.dictionary.to_pylist(), add_special_tokens=False)]
+        size = np.array([len(x) for x in ids])
+        flat, start = np.array([k for x in ids for k in x], np.int64), np.cumsum(size) - size
+        own = words.indices.to_numpy().astype(np.int64)
+        ptr = np.concatenate(([0], np.cumsum([len(x) for x in length])))
+        placed = np.concatenate(([0], np.cumsum(size[own])))[ptr]
+        return pa.Table.from_arrays([part.column("_of"), part.column("_numbers"), _cut(*packed(size[own]), ptr), _cut(*packed(flat[ranges(start[own], size[own])]), placed)], names=["_of", "codes", "sizes", "ids"])
 
     return encode
 
@@ -249,9 +246,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: bool = False) -> DataF
     columns = [c for c in docs.columns if c != "ids" and (text or c != "text")] or ["text"]
     rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce(words(F.col("text"), vocabulary.special), F.array().cast("array<string>")).alias("_words"))
     kind = rows.schema["_row"].dataType.simpleString()
-    parts = Scratch(spark, "bpe").save_in_buckets(rows.mapInArrow(_number, f"_batch long, _row {kind}, _codes binary, _first int, _words array<string>"), "_batch")
-    table = parts.where("_words is not null").select(F.posexplode("_words").alias("_at", "word"), F.col("_batch").alias("_of"), "_first").select("word", "_of", (F.col("_first") + F.col("_at")).alias("_code"))
-    known = table.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(vocabulary), "_of long, codes binary, sizes binary, ids binary")
+    n = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"_batch long, _row {kind}, _codes binary, _part int, _words binary, _lengths binary, _numbers binary"
+    parts = Scratch(spark, "bpe").save_in_buckets(rows.mapInArrow(_number(n), schema), "_batch")
+    table = parts.where("_part is not null").select("_part", F.col("_batch").alias("_of"), "_words", "_lengths", "_numbers")
+    known = table.groupBy("_part").applyInArrow(_encoder(vocabulary), "_of long, codes binary, sizes binary, ids binary")
     texts = parts.where("_codes is not null").select("_batch", "_row", "_codes")
     out = texts.groupBy("_batch").cogroup(known.groupBy("_of")).applyInArrow(_placed, f"_row {kind}, ids array<int>")
     return out.select(*(F.col("_row").getField(c).alias(c) for c in columns), "ids")
