@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_JOB: contextvars.ContextVar[str | None] = contextvars.ContextVar("job", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_JOB.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are saved inside go when the job is over; its results must have been written elsewhere by then."""
+    folder = new_folder(spark, name)
+    token = _JOB.set(folder)
+    try:
+        yield
+    finally:
+        _JOB.reset(token)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:

@@ -18,7 +18,7 @@ QUARANTINE_AFTER = 5
 PARTS = 256
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -35,7 +35,7 @@ def drain(stream: DataFrame, ledger: str, checkpoint: str, once: bool = True):
     def write(batch: DataFrame, number: int) -> None:
         spark, before = batch.sparkSession, None
         batch = batch.withColumn("part", part)
-        if _there(spark, ledger):  # the first batch finds none
+        if there(spark, ledger):  # the first batch finds none
             parts = [r.part for r in batch.select("part").distinct().collect()]  # PARTS at most
             before = spark.read.parquet(ledger).where((F.col("batch") != number) & F.col("part").isin(parts)).select("adapter", "idempotency_key")
         append_new(batch, before).write.mode("overwrite").partitionBy("part").parquet(f"{ledger}/batch={number}")
