@@ -479,10 +479,21 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
     return scratch.save(hits.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.max("answered").alias("answered")))
 
 
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **thresholds: float) -> DataFrame:
+    """``docs`` (doc_id, text) with item_ids, an array of the benchmark items that the document holds, and overlap, the largest one (0 if there is none).
+
+    A row without doc_id is known by its text, so that it is searched like any other.  Columns of these two names are replaced.  See ``contamination``.
+    """
+    columns = [c for c in docs.columns if c not in ("item_ids", "overlap")]
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    hits = contamination(spark, docs.select(name.alias("doc_id"), "text"), benchmark, **thresholds)
+    per = hits.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("overlap"))
+    per = F.broadcast(per) if per.count() <= BROADCAST_IDS else per
+    out = docs.select(F.struct(*columns).alias("_row"), name.alias("_name")).join(per, F.col("_name") == F.col("_of"), "left")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in columns), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids, overlap (the largest) for every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hits = contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    per = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("overlap"))
-    out = docs.select("doc_id").join(per, "doc_id", "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    out = contaminated(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "overlap")

@@ -18,7 +18,7 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 # The formats, each behind no word character.
 MAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=[A-Za-z0-9])"
 IP = r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
-DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
+DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d)"
 PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}([ .-])\d{3}\1\d{4}(?![ .-]?\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?!\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
@@ -97,24 +97,37 @@ def _date(n: Column) -> Column:
     return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
 
 
+# The formats of dates.
+FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "d/M/yyyy", "M/d/yyyy", "d.M.yyyy")
+
+
 def _day(value: Column) -> tuple[Column, Column]:
-    """(days since the first day, or null; the format) of a date.  With slashes the day comes first, unless only the month can."""
-    at = lambda k, n=2: F.substr(value, F.lit(k), F.lit(n))
-    dashed, slashed = value.contains("-"), value.contains("/")
-    american = slashed & (at(4).cast("int") > 12)
-    form = F.when(dashed, "yyyy-MM-dd").when(american, "MM/dd/yyyy").when(slashed, "dd/MM/yyyy").otherwise("dd.MM.yyyy")
-    year, month = F.when(dashed, at(1, 4)).otherwise(at(7, 4)), F.when(dashed, at(6)).when(american, at(1)).otherwise(at(4))
-    day = F.when(dashed, at(9)).when(american, at(4)).otherwise(at(1))
-    date = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
+    """(days since the first day, or null; the format) of a date.  With slashes the day comes first, unless the year does, or only the month can."""
+    part = F.split(value, "[-/.]")
+    one, two, three = (F.get(part, F.lit(k)) for k in range(3))
+    slashed, year_first, short = value.contains("/"), F.length(one) == 4, (F.length(one) < 2) | (F.length(two) < 2)
+    american = slashed & ~year_first & (two.try_cast("int") > 12)
+    form = (
+        F.when(year_first & slashed, "yyyy/MM/dd").when(year_first, "yyyy-MM-dd").when(american & short, "M/d/yyyy").when(american, "MM/dd/yyyy")
+        .when(slashed & short, "d/M/yyyy").when(slashed, "dd/MM/yyyy").when(short, "d.M.yyyy").otherwise("dd.MM.yyyy")
+    )
+    year, month, day = F.when(year_first, one).otherwise(three), F.when(american, one).otherwise(two), F.when(year_first, three).when(american, two).otherwise(one)
+    date = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     return F.datediff(date, F.lit(FIRST_DAY).cast("date")), form
 
 
+def _social(n: Column) -> Column:
+    """Whether nine digits are a social security number that can be given: the area isn't 0, 666 or from 900 on, group and serial aren't 0."""
+    area = F.floor(n / 1_000_000)
+    return (area > 0) & (area != 666) & (area < 900) & (F.floor(n / 10_000) % 100 > 0) & (n % 10_000 > 0)
+
+
 def kind_of(value: Column) -> Column:
     """mail, ip, date, social, phone or card of a match; null where its check fails (no calendar day, a wrong check digit)."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     days, _ = _day(value)
     return (
-        F.when(value.contains("@"), "mail").when(whole(IP), "ip").when(whole(DATE), F.when(days.between(0, DAYS - 1), "date")).when(whole(SOCIAL), "social")
+        F.when(value.contains("@"), "mail").when(whole(IP), "ip").when(whole(DATE), F.when(days.between(0, DAYS - 1), "date")).when(whole(SOCIAL), F.when(_social(digits_of(value).try_cast("long")), "social"))
         .when(whole(PHONE), "phone").when(luhn_sum(digits_of(value)) % 10 == 0, "card")
     )
 
@@ -129,15 +142,18 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     # days up to the 12th stay among themselves, so that a month that comes first can still be told
     late = lambda n: F.dayofmonth(_date(n)) > 12
     date = _date(F.when(late(days), _walk(days, 5, DAYS, k, late)).otherwise(_walk(days, 5, DAYS, k, lambda n: ~late(n))))
-    dated = F.coalesce(*(F.when(form == x, F.date_format(date, x)) for x in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")))
+    dated = F.coalesce(*(F.when(form == x, F.date_format(date, x)) for x in FORMS))
     local = F.concat(F.lit("u"), F.left(F.sha2(F.concat_ws("|", k, F.lower(F.substring_index(value, "@", 1)), F.lower(F.substring_index(value, "@", -1))), 256), F.lit(12)))
     # a country code, read off the digits alone, stays; the rest of a phone number is permuted
-    phone_digits = digits_of(value)
+    # a zero in brackets behind it is no digit of the number
+    plain = F.when(value.startswith("+"), F.replace(value, F.lit("(0)"), F.lit("(o)"))).otherwise(value)
+    phone_digits = digits_of(plain)
     code = F.when(value.startswith("+"), F.length(F.regexp_extract(phone_digits, CALLING, 1))).otherwise(0)
-    phone = fill(value, F.concat(F.left(phone_digits, code), feistel(F.substr(phone_digits, code + 1), k)))
+    phone = F.replace(fill(plain, F.concat(F.left(phone_digits, code), feistel(F.substr(phone_digits, code + 1), k))), F.lit("(o)"), F.lit("(0)"))
+    social = F.lpad(_walk(digits_of(value).try_cast("long"), 9, 1_000_000_000, k, _social).cast("string"), 9, "0")
     return (
         F.when(kind == "mail", F.concat(local, F.lit("@"), F.substring_index(value, "@", -1))).when(kind == "ip", ip).when(kind == "date", dated)
-        .when(kind == "social", fill(value, feistel(digits_of(value), k))).when(kind == "phone", phone).when(kind == "card", fill(value, _permute_card(digits_of(value), k))).otherwise(value)
+        .when(kind == "social", fill(value, social)).when(kind == "phone", phone).when(kind == "card", fill(value, _permute_card(digits_of(value), k))).otherwise(value)
     )
 
 
@@ -145,7 +161,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_values``: how many values each text had.
 
     ``key`` is the secret that whoever reads the result must not have.  Mail addresses keep their domain and get a keyed local part;
-    phone numbers keep their country code (one without a code links with the same number behind +1); IPv4 addresses, calendar
+    phone numbers keep their country code (one without a code links with the same number behind +1) and a zero in brackets behind it; IPv4 addresses, calendar
     days, social security numbers and card numbers with a right check digit are permuted within their formats.  Of a date with slashes the day
     comes first unless only the month can; days from the 13th on stay such days.  What fails its check
     stays as it is.  A null text stays null with 0 values; a very long one is read whole; an empty table gives an empty result.  Repeated rows
@@ -155,13 +171,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         raise ValueError("a key is needed")
     text = F.col("text")
     some = text.rlike("[0-9@]")
-    pieces = F.split(text, ANY, -1)
     values = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
-    d = docs.withColumn("_values", F.when(some, values)).withColumn("_pieces", F.when(F.size("_values") > 0, pieces))
+    columns = [c for c in docs.columns if c != "n_values"]
+    d = docs.select(F.struct(*columns).alias("_row"), text.alias("_text"), F.when(some, values).alias("_values"))
+    d = d.withColumn("_pieces", F.when(F.size("_values") > 0, F.split("_text", ANY, -1)))
     new = F.transform("_values", lambda x: pseudonym(x["v"], x["k"], key))
     joined = F.array_join(F.zip_with("_pieces", F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    d = d.withColumn("text", F.when(F.col("_pieces").isNotNull(), joined).otherwise(text))
-    return d.withColumn("n_values", F.coalesce(F.size(F.filter("_values", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long")).drop("_values", "_pieces")
+    new_text = F.when(F.col("_pieces").isNotNull(), joined).otherwise(F.col("_text"))
+    n = F.coalesce(F.size(F.filter("_values", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long")
+    return d.select(*(new_text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in columns), n.alias("n_values"))
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,9 +52,12 @@ def apply_rules(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: st
     if n <= BROADCAST_RULES:
         good = F.broadcast(good)
 
-    base = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # the caller's columns travel as one, so that no working column meets them
+    base = pages.select(F.struct(*columns).alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    own = [F.col("_row").getField(c).alias(c) for c in columns]
     if not n:
-        return base.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return base.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # Labels of the host; suffix k drops the first k of them.
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
@@ -70,12 +73,7 @@ def apply_rules(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: st
     )
     # urls without a host share one key: they go past the join
     judged = base.where("host != ''").join(best, ["host", "path"], "left").unionByName(base.where("host = ''").withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType)))
-    return (
-        judged
-        .withColumn("rule", F.col("_best.r"))
-        .withColumn("verdict", F.coalesce(F.col("_best.v"), F.lit(default)))
-        .drop("_best")
-    )
+    return judged.select(*own, "host", "path", F.col("_best.r").alias("rule"), F.coalesce(F.col("_best.v"), F.lit(default)).alias("verdict"))
 
 
 #: The contract's rules.

@@ -353,7 +353,9 @@ def brute_pseudonym(v, key):
         n = walk((a << 24) + (b << 16) + (c << 8) + e, 10, lambda x: x < 1 << 32, "ip")
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0)), True
     if whole(pseudonyms.DATE):
-        form = "%Y-%m-%d" if "-" in v else "%d.%m.%Y" if "." in v else "%m/%d/%Y" if int(v[3:5]) > 12 else "%d/%m/%Y"
+        a, b, c = re.split("[-/.]", v)
+        american = "/" in v and len(a) < 4 and int(b) > 12
+        form = "%Y-%m-%d" if "-" in v else "%Y/%m/%d" if len(a) == 4 else "%d.%m.%Y" if "." in v else "%m/%d/%Y" if american else "%d/%m/%Y"
         try:
             day = d.datetime.strptime(v, form).date()
         except ValueError:
@@ -363,10 +365,19 @@ def brute_pseudonym(v, key):
         if not 0 <= n < pseudonyms.DAYS:
             return v, False
         out = first + d.timedelta(walk(n, 5, lambda x: x < pseudonyms.DAYS and ((first + d.timedelta(x)).day > 12) == (day.day > 12), "date"))
+        if len(a) < 2 or len(b) < 2:
+            return f"{out.month}/{out.day}/{out.year}" if american else v[len(a)].join(map(str, (out.day, out.month, out.year))), True
         return out.strftime(form), True
     if whole(pseudonyms.SOCIAL):
-        return fill(brute_feistel(digits, f"{key}|social")), True
+        fine = lambda n: 0 < n // 10**6 < 900 and n // 10**6 != 666 and n // 10**4 % 100 > 0 and n % 10**4 > 0
+        return (fill(f"{walk(int(digits), 9, fine, 'social'):09d}"), True) if fine(int(digits)) else (v, False)
     if whole(pseudonyms.PHONE):
+        if v[0] == "+" and "(0)" in v:
+            parts, (new, _) = v.split("(0)"), brute_pseudonym(v.replace("(0)", ""), key)
+            at, seen = 0, re.sub("[^0-9]", "", parts[0])
+            while re.sub("[^0-9]", "", new[:at]) != re.sub("[^0-9]", "", new)[: len(seen)]:
+                at += 1
+            return new[: len(parts[0])] + "(0)" + new[len(parts[0]) :], True
         code = re.match(pseudonyms.CALLING, digits)[1] if v[0] == "+" else ""
         return fill(code + brute_feistel(digits[len(code) :], f"{key}|phone")), True
     if luhn(digits):
@@ -375,7 +386,7 @@ def brute_pseudonym(v, key):
     return v, False
 
 
-MORE = ["call 555-123-4567 or (555) 123-4567, +1 555 123 4567", "on 12/31/2024, 31/12/2024, 2024-12-31 and 03/04/2024, 13/13/2024", "x" * 300_000 + " 97.51.17.173 " + "y 4111111111111111 " * 300, "+44 20 7946 0018 +442079460018 +352 26 20 20 1 1899-12-31 2100-01-01"]
+MORE = ["call 555-123-4567 or (555) 123-4567, +1 555 123 4567", "on 12/31/2024, 31/12/2024, 2024-12-31 and 03/04/2024, 13/13/2024", "x" * 300_000 + " 97.51.17.173 " + "y 4111111111111111 " * 300, "+44 20 7946 0018 +442079460018 +352 26 20 20 1 1899-12-31 2100-01-01", "1/5/2024 5/31/2024 2024/01/05 1.5.2024 2024/13/05 12/3/2024", "123-45-6789 000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000", "+49 (0)171 2345678 and +49 171 2345678"]
 
 
 def test_pseudonyms_equal_brute_force(spark):
