@@ -39,12 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of ``benchmark``; those without an id are told apart by a hash of their text."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    hits = decontaminate.contamination(spark, docs.select(own.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    columns, ids = docs.columns, hits.select(F.col("doc_id").alias("_own")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.withColumn("_own", own).join(ids, "_own", "left_anti").select(columns)
+    """Drops documents that hold an item of ``benchmark``; those without an id are searched, too."""
+    return decontaminate.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("item_ids") == 0).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +54,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document is taken ``taken // size`` times whole and its first ``taken % size`` words once more.
     """
-    sized = docs.withColumn("_n", mixing.n_words(F.col("text")))
+    # documents without an id are told apart by their texts, or all of them would have one key
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    sized = docs.withColumn("_n", mixing.n_words(F.col("text"))).withColumn("_name", name)
     sized = Scratch(spark, "sized").save(sized)  # the words are counted once
-    return mixing.mix(sized, F.col("_n")).where("taken > 0").drop("_n")
+    return mixing.mix(sized, F.col("_n"), name=F.col("_name")).where("taken > 0").drop("_n", "_name")
 
 
 STAGES = [("language_id", language), ("minhash_dedup", near_dedup), ("decontaminate", clean_of_benchmark), ("secret_scan", without_secrets), ("mixing", mix)]
