@@ -120,3 +120,20 @@ def test_formatted_length_counts_escapes(spark, tmp_path, compare):
     want = {r[0]: r[1:] for r in con.execute(chat.OP3_SQL).fetchall()}
     got = {r.conv_id: tuple(r)[1:] for r in chat.op3_chat_format(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_rules_leave_working_columns_alone(spark):
+    pages = spark.createDataFrame([("https://a.example.com/en/x", 1, 2)], "url string, _best int, _row int")
+    rules = spark.createDataFrame([("example.com", "/en/", "block")], "host string, path string, verdict string")
+    r = url_filter.apply_rules(spark, pages, rules).first()
+    assert (r._best, r._row, r.verdict) == (1, 2, "block")
+    assert url_filter.apply_rules(spark, pages, rules.limit(0)).first()._best == 1
+
+
+def test_documents_without_an_id_have_keys_of_their_own(spark):
+    import corpus_pipeline
+
+    d = spark.createDataFrame([(None, f"text number {k} of many", "s") for k in range(40)] + [(k, f"with id {k}", "s") for k in range(10)], "doc_id long, text string, source string")
+    corpus_pipeline.mix(spark, d, "").count()
+    sized = d.withColumn("_name", F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
+    assert sized.select("_name").distinct().count() == 50

@@ -670,3 +670,30 @@ def test_long_candidates_are_read_whole():
             buf, off = text_buffers(pa.array(["some words " + text + " behind", "y" * 60]))
             p = net.candidates(buf, off, np.array([11, int(off[1])]), np.array([11 + n, int(off[2])]))
             assert p[0] >= 0.3 and p[1] == 0
+
+
+_SAID = "The committee met on Tuesday to discuss, among other matters, the harbour and its lights, which had failed twice."
+
+
+@pytest.mark.parametrize(
+    "inside",
+    ["<footer>Wrong, by Ann</footer>", "<template><p>Wrong text here</p></template>", "<svg><text>Wrong label</text></svg>", "<textarea>Wrong here please</textarea>", "<iframe>Wrong browser</iframe>", "<video>Wrong player here</video>", f'<div class="reader-responses"><p>Wrong {_SAID[4:]}</p></div>', '<ins class="adsbygoogle">Wrong, buy now</ins>'],
+)
+def test_what_stands_in_an_article_and_is_none_of_it(inside):
+    model = html_extract.fit()
+    page = html_extract.Page(f"<article><h1>Head</h1><p>{_SAID}</p><p>{_SAID}</p>{inside}<p>{_SAID}</p></article>")
+    text = page.text(model.marginals([page]) >= 0.5)
+    assert text == "\n\n".join(["Head", _SAID, _SAID, _SAID])
+
+
+def test_documents_without_an_id_are_searched(spark):
+    item = "which river runs through the old town of the seven bridges and who built the last of them"
+    docs = spark.createDataFrame([(None, f"before {item} after", "x"), (None, "nothing of the kind is said here", "y"), (3, item, "z")], "doc_id long, text string, _name string")
+    got = {r._name: list(r.item_ids) for r in decontaminate.contaminated(spark, docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got == {"x": [9], "y": [], "z": [9]}
+
+
+def test_pseudonyms_keep_other_columns(spark):
+    d = spark.createDataFrame([("call 555-123-4567", 1, 2, 3, 4)], "text string, _values int, _pieces int, _row int, n_values int")
+    r = pseudonyms.pseudonymise(d, "key").first()
+    assert (r._values, r._pieces, r._row, r.n_values) == (1, 2, 3, 1)
