@@ -15,6 +15,7 @@ from ..jobs.catalog import query
 from ..sources.ledger import Tables
 from ..sources.scratch import saved
 from .sequences import with_previous
+from .vectors import nearest_stored
 
 #: The MinHash prime and the gates' thresholds.
 PRIME = 4_294_967_311
@@ -117,9 +118,10 @@ def _snapshots(t: Tables) -> DataFrame:
 
 
 def _chunks(t: Tables) -> DataFrame:
-    """Each third document has chunks whose nearest stored vectors are known."""
-    k = F.col("doc_id")
-    return t("documents").where("doc_id % 3 = 0").select("doc_id", F.explode(F.sequence(F.lit(1), k % 4 + 1)).alias("c")).select("doc_id", F.when((k + F.col("c")) % 5 == 0, 0.5).when(k % 2 == 0, 0.99).alias("score"))
+    """A document's chunks are two vectors; each meets those of the version before."""
+    e = t("embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 2).alias("doc_id"), "embedding")
+    c = e.join(versions(t("documents")).select("doc_id", F.col("prior").alias("key")), "doc_id")
+    return nearest_stored(c, e.select(F.col("doc_id").alias("key"), "embedding"))
 
 
 _NORMAL = r"regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '\r\n?', chr(10), 'g'), '\n'), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -128,7 +130,8 @@ _SETS = "list_distinct(case when length({x}) = 0 then []::varchar[] when length(
 
 @query(
     _VERSIONS + f", n as (select doc_id, prior, text, tb, {_NORMAL.format(x='text')} as nt, {_NORMAL.format(x='tb')} as nb from v), j as (select *, {_SETS.format(x='nt')} as w, {_SETS.format(x='nb')} as b from n), "
-    "k as (select doc_id, doc_id % 4 + 1 as m, len(list_filter(range(1, doc_id % 4 + 2), lambda c: (doc_id + c) % 5 = 0 or doc_id % 2 != 0)) as fresh from documents where doc_id % 3 = 0), "
+    "c as (select v.doc_id, c.vec_id, max(list_cosine_similarity(c.embedding::double[], s.embedding::double[])) as best from v join embeddings c on c.vec_id // 2 = v.doc_id left join embeddings s on s.vec_id // 2 = v.prior group by all), "
+    "k as (select doc_id, count(*) as m, count(*) filter (best is null or best < 0.985) as fresh from c group by doc_id), "
     f"g as (select j.doc_id, prior, text, tb, nt, nb, case when nt = nb then 1.0 when len(w) + len(b) = 0 then 0 else {_JACCARD} end as jac, coalesce(fresh / m::double, 1.0) as novel from j left join k using (doc_id)) "
     "select doc_id, case when prior is null then 'first-seen' when text = tb then 'byte-identical' when nt = nb then 'whitespace-normalized-identical' when jac >= 0.98 then 'near-duplicate-jaccard' when novel < 0.05 then 'semantic-duplicate' when novel < 1 then 'partial-novelty' else 'content-changed' end as reason, round(case when prior is null then 0 else jac end, 6) as jaccard from g"
 )
