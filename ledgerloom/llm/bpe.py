@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, ranges, released, text_batches
+from .common import Scratch, freed, ranges, released, text_batches
 
 #: Bytes of words in one batch of texts; the text that goes beyond ends it.
 BATCH_BYTES = 1 << 23
@@ -204,7 +204,9 @@ def _encoder(vocabulary: Vocabulary):
         own = words.indices.to_numpy().astype(np.int64)
         ptr = np.concatenate(([0], np.cumsum([len(x) for x in length])))
         placed = np.concatenate(([0], np.cumsum(size[own])))[ptr]
-        return pa.Table.from_arrays([part.column("_of"), part.column("_numbers"), _cut(*packed(size[own]), ptr), _cut(*packed(flat[ranges(start[own], size[own])]), placed)], names=["_of", "codes", "sizes", "ids"])
+        out = pa.Table.from_arrays([part.column("_of"), part.column("_part"), _cut(*packed(size[own]), ptr), _cut(*packed(flat[ranges(start[own], size[own])]), placed)], names=["_of", "_of_part", "sizes", "ids"])
+        freed()
+        return out
 
     return encode
 
@@ -217,12 +219,19 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, cut - cut[0]
 
 
-def _place(texts: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The ids of one batch's texts: the numbers of their words, each replaced by the ids of the word."""
-    code, size, ids = (unpacked(_bytes(known.column(c))[0]) for c in ("codes", "sizes", "ids"))
-    n_of, start_of = np.zeros(len(code) + 1, np.int64), np.zeros(len(code) + 1, np.int64)
-    n_of[code], start_of[code] = size, np.cumsum(size) - size
+def _place(rows: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The ids of one batch's texts: the numbers of their words, each replaced by the ids of the word.
+
+    ``rows`` are the texts, and the parts of the batch's words with the words' numbers; ``known`` has the ids of each part's words in the same order.
+    """
+    lists = rows.filter(pc.is_valid(rows.column("_part"))).select(["_part", "_numbers"]).sort_by("_part")
+    number = unpacked(_bytes(lists.column("_numbers"))[0])
+    known = known.select(["_of_part", "sizes", "ids"]).sort_by("_of_part")
+    size, ids = (unpacked(_bytes(known.column(c))[0]) for c in ("sizes", "ids"))
+    n_of, start_of = np.zeros(len(number) + 1, np.int64), np.zeros(len(number) + 1, np.int64)
+    n_of[number], start_of[number] = size, np.cumsum(size) - size
     ids = ids.astype(np.int32)
+    texts = rows.filter(pc.is_valid(rows.column("_codes"))).select(["_row", "_codes"])
     for b in texts.combine_chunks().to_batches(max_chunksize=200):
         raw, cut = _bytes(pa.chunked_array([b.column("_codes")]))
         word = unpacked(raw)
@@ -231,8 +240,10 @@ def _place(texts: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("_row"), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids[ranges(start_of[word], n)], pa.int32()))], names=["_row", "ids"])
 
 
-def _placed(texts: pa.Table, known: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(_place(texts, known))
+def _placed(rows: pa.Table, known: pa.Table) -> pa.Table:
+    out = pa.Table.from_batches(_place(rows, known), pa.schema([("_row", rows.schema.field("_row").type), ("ids", pa.list_(pa.int32()))]))
+    freed()
+    return out
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: bool = False) -> DataFrame:
@@ -249,10 +260,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: bool = False) -> DataF
     n = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = f"_batch long, _row {kind}, _codes binary, _part int, _words binary, _lengths binary, _numbers binary"
     parts = Scratch(spark, "bpe").save_in_buckets(rows.mapInArrow(_number(n), schema), "_batch")
-    table = parts.where("_part is not null").select("_part", F.col("_batch").alias("_of"), "_words", "_lengths", "_numbers")
-    known = table.groupBy("_part").applyInArrow(_encoder(vocabulary), "_of long, codes binary, sizes binary, ids binary")
-    texts = parts.where("_codes is not null").select("_batch", "_row", "_codes")
-    out = texts.groupBy("_batch").cogroup(known.groupBy("_of")).applyInArrow(_placed, f"_row {kind}, ids array<int>")
+    table = parts.where("_part is not null").select("_part", F.col("_batch").alias("_of"), "_words", "_lengths")
+    known = table.groupBy("_part").applyInArrow(_encoder(vocabulary), "_of long, _of_part int, sizes binary, ids binary")
+    rows = parts.select("_batch", "_row", "_codes", "_part", "_numbers")
+    out = rows.groupBy("_batch").cogroup(known.groupBy("_of")).applyInArrow(_placed, f"_row {kind}, ids array<int>")
     return out.select(*(F.col("_row").getField(c).alias(c) for c in columns), "ids")
 
 

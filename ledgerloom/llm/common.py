@@ -80,6 +80,15 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def freed() -> None:
+    """Gives memory that nothing uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def released(kernel: Callable) -> Callable:
     """A kernel that gives its memory back to the system when its task ends: workers live on between tasks."""
 
@@ -88,11 +97,7 @@ def released(kernel: Callable) -> Callable:
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not this C library
-                pass
+            freed()
 
     return run
 
