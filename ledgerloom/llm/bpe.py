@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from .common import Scratch, freed, ranges, released, text_batches
 
 #: Bytes of words in one batch of texts; the text that goes beyond ends it.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 6 << 20
 #: Parts of the table of distinct words for each partition of a shuffle.
 PARTS = 2
 
@@ -179,6 +179,7 @@ def _number(parts: int):
                 size += pc.sum(pc.binary_length(flat)).as_py() or 0
                 if size >= BATCH_BYTES:
                     yield from dealt()
+                    freed()
                     size = 0
         if number:
             yield from dealt()
@@ -275,8 +276,8 @@ def _piecer(shared):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, start, size = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):  # some texts at a time
-                b = whole.slice(at, 100)
+            for at in range(0, whole.num_rows, 50):  # some texts at a time
+                b = whole.slice(at, 50)
                 lists = b.column("_ids")
                 ptr = lists.offsets.to_numpy().astype(np.int64)
                 ids = lists.values.slice(ptr[0], ptr[-1] - ptr[0]).fill_null(-1).to_numpy().astype(np.int64)
@@ -286,6 +287,7 @@ def _piecer(shared):
                 edge = np.concatenate(([0], np.cumsum(n)))[ptr - ptr[0]].tolist()
                 texts = [data[a:z].decode("utf-8", "replace") for a, z in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], names=["_row", "decoded"])
+            freed()
 
     return decode
 
