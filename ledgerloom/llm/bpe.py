@@ -271,40 +271,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: bool = False) -> DataF
 # ----------------------------------------------------------------------------- decoding
 
 
-def _piecer(shared):
-    @released
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        body, start, size = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 50):  # some texts at a time
-                b = whole.slice(at, 50)
-                lists = b.column("_ids")
-                ptr = lists.offsets.to_numpy().astype(np.int64)
-                ids = lists.values.slice(ptr[0], ptr[-1] - ptr[0]).fill_null(-1).to_numpy().astype(np.int64)
-                ids = np.where((ids >= 0) & (ids < len(size) - 1), ids, len(size) - 1)
-                n = size[ids]
-                data = body[ranges(start[ids], n)].tobytes()
-                edge = np.concatenate(([0], np.cumsum(n)))[ptr - ptr[0]].tolist()
-                texts = [data[a:z].decode("utf-8", "replace") for a, z in zip(edge[:-1], edge[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], names=["_row", "decoded"])
-            freed()
-
-    return decode
-
-
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``encoded`` (ids) with ``decoded``: each id joined to its piece, pieces joined in order; a column of this name is replaced, others stay.
 
-    The key of the join is the id itself, which counts from 0, so that the broadcast pieces (as many as the vocabulary has) are read by place.  Bytes that are no
-    UTF-8 become replacement characters; ids that are null or not in the vocabulary give nothing; null ids give an empty text; special tokens are kept.
+    The key of the join is the id itself, which counts from 0, so that the table of pieces (as many as the vocabulary has, as hexadecimal digits, a constant of the
+    plan) is read by place, in the JVM.  Bytes that are no UTF-8 become replacement characters; ids that are null or not in the vocabulary give nothing; null ids
+    give an empty text; special tokens are kept.
     """
-    pieces = [*vocabulary.pieces(), b""]
-    size = np.array([len(p) for p in pieces])
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size))
-    columns = [c for c in encoded.columns if c != "decoded"]
-    rows = encoded.select(F.struct(*columns).alias("_row"), F.coalesce("ids", F.array().cast("array<int>")).alias("_ids"))
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, decoded string"
-    return rows.mapInArrow(_piecer(shared), schema).select(*(F.col("_row").getField(c).alias(c) for c in columns), "decoded")
+    # splitting a constant makes a constant
+    pieces = F.split(F.lit(",".join(p.hex() for p in vocabulary.pieces())), ",", -1)
+    found = F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(pieces, i))
+    text = F.make_valid_utf8(F.unhex(F.array_join(found, "")).cast("string"))
+    return encoded.select(*(c for c in encoded.columns if c != "decoded"), text.alias("decoded"))
 
 
 # ----------------------------------------------------------------------------- query
