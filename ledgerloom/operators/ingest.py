@@ -137,7 +137,11 @@ MEMORY = "memory_id string, kind string, content string, project string, scope s
 
 def memory_entries(lines: DataFrame) -> DataFrame:
     """Entries of a memory stream from JSON lines (value) by its nine-field contract; what breaks it is left out, as is what this ledger has sent itself (origin ledger)."""
-    e = lines.select(F.from_json("value", MEMORY).alias("e")).select("e.*")
+    return valid_entries(lines.select(F.from_json("value", MEMORY).alias("e")).select("e.*"))
+
+
+def valid_entries(e: DataFrame) -> DataFrame:
+    """Entries that keep the contract and that another has sent."""
     needed = ["content", "created_at", "updated_at", "tags", "origin"]
     e = e.where("memory_id != '' and kind != '' and scope in ('project', 'global', 'meta') and origin in ('human', 'agent', 'ledger')").dropna(subset=needed)
     return e.where("origin != 'ledger'")

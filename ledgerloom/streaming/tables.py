@@ -105,18 +105,26 @@ def write_batch(rows: DataFrame, batch: str, ledger: str, facts: DataFrame | Non
     if batch in done:  # the stream's own record of the batch was lost after ours was written
         return
     known = {name: t for name in (*KEYS, "actions") if (t := table(spark, ledger, name, done)) is not None}
-    counts = []
     with job(spark, "drain"):
-        new = drained(rows, known, facts)
-        for name in TABLES:
-            path = f"{ledger}/{name}/batch={batch}"
-            new[name].write.mode("overwrite").parquet(path)
-            counts.append((batch, name, spark.read.schema(new[name].schema).parquet(path).count()))
-            written(name)
+        commit(spark, drained(rows, known, facts), batch, ledger, written)
+
+
+def commit(spark: SparkSession, new: dict[str, DataFrame], batch: str, ledger: str, written: Callable[[str], None] = lambda name: None) -> None:
+    """Writes the tables of a batch, one after the other, then its record."""
+    counts = []
+    for name, rows in new.items():
+        path = f"{ledger}/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        counts.append((batch, name, spark.read.schema(rows.schema).parquet(path).count()))
+        written(name)
     record = spark.createDataFrame(counts, "batch string, name string, n long")
     record.coalesce(1).write.mode("append").parquet(f"{ledger}/commits")  # one file, so that it is there or not
 
 
+def batch_name(spark: SparkSession, checkpoint: str, number: int) -> str:
+    return f"{spark.read.text(f'{checkpoint}/metadata').select(F.get_json_object('value', '$.id')).first()[0]}-{number}"
+
+
 def drain_tables(stream: DataFrame, ledger: str, checkpoint: str, facts: DataFrame | None = None, written: Callable[[str], None] = lambda name: None):
     """Drains a stream of the outbox into the tables of a ledger, until what is there is drained.
 
@@ -125,7 +133,6 @@ def drain_tables(stream: DataFrame, ledger: str, checkpoint: str, facts: DataFra
     """
 
     def write(rows: DataFrame, number: int) -> None:
-        own = rows.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
-        write_batch(rows, f"{own}-{number}", ledger, facts, written)
+        write_batch(rows, batch_name(rows.sparkSession, checkpoint, number), ledger, facts, written)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
