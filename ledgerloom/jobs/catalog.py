@@ -25,7 +25,7 @@ def query(sql: str | None = None, *tables: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from ..operators import actions, activity, backfill, contract, graph, ingest, ledger_ops, lifecycle, maintenance, questions, retrieval, similarity, streams, text_ops, vectors  # noqa: F401
+    from ..operators import actions, activity, backfill, contract, graph, ingest, ledger_ops, lifecycle, living_index, maintenance, questions, retrieval, similarity, streams, text_ops, vectors  # noqa: F401
 
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
 
