@@ -375,6 +375,20 @@ def correction_signal_rows(t: Tables) -> DataFrame:
     return correction_signals(e, none).select("target_ref", F.sha2("message", 256).alias("message"))
 
 
+@query(
+    _RELATED + ", five as (select event_id, fact_id, row_number() over (partition by event_id order by overlap desc, fact_id) as rank from m qualify rank <= 5), "
+    "a as (select event_id, count(*) as n, string_agg(fact_id::varchar, ', ' order by rank) filter (rank <= 3) as ids from five group by 1), "
+    "c as (select conv_id as event_id, left(question, 500) as retracted from questions where length(question) > 60 and turn = 0) "
+    "select 'correction_event:' || event_id as target_ref, sha256('User may have corrected a prior claim: ' || coalesce(n || ' related fact(s): ' || ids, 'related facts TBD') || '. Context: ' || case when length(retracted) > 120 then left(retracted, 120) || '…' else retracted end) as message from c left join a using (event_id)",
+    "facts", "questions",
+)
+def correction_signal_related(t: Tables) -> DataFrame:
+    """COR-2, JOIN-10: the signals of corrections that name the facts which they may be about."""
+    e = _retractions(t)
+    signals = correction_signals(e.select("event_id", F.left("text", F.lit(500)).alias("retracted")), related_facts(e, _sessions(t)))
+    return signals.select("target_ref", F.sha2("message", 256).alias("message"))
+
+
 # ------------------------------------------------------------------------------------------ smaller joins and orders
 
 
