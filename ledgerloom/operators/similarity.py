@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from ..functions.text import jaccard, normalised
 from ..jobs.catalog import query
@@ -20,6 +20,8 @@ from .vectors import nearest_stored
 #: The MinHash prime and the gates' thresholds.
 PRIME = 4_294_967_311
 SAME, NOVEL, COSINE = 0.98, 0.05, 0.985
+#: Shingles that are permuted at once, so that they stay in a core's cache.
+BLOCK = 16_384
 
 
 @query("select sha256(text) as content_hash, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
@@ -71,18 +73,28 @@ def exact_jaccard_versions(t: Tables) -> DataFrame:
     return v.select("doc_id", F.round(jaccard(F.col("words"), F.col("was.words")), 6).alias("similarity"))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def shingles(texts: pd.Series) -> pd.Series:
+def _shingles(text: str) -> np.ndarray:
     """64-bit hashes of a text's shingles of five characters, distinct; a shorter text is one shingle."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(1, len(codes) - 4) if len(codes) else 0, np.uint64)
+    for k in range(min(5, len(codes))):
+        h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+@F.pandas_udf(DoubleType())
+def shared_shingles(texts: pd.Series, others: pd.Series) -> pd.Series:
+    """Exact Jaccard of two texts' shingles; of two without any 0, null where either text is null.  The texts travel, as their sets would be eight times as large."""
     out = []
-    for t in texts:
-        codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        h = np.zeros(max(1, len(codes) - 4) if len(codes) else 0, np.uint64)
-        for k in range(min(5, len(codes))):
-            h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append(np.unique(h).view(np.int64))
-    return pd.Series(out)
+    for a, b in zip(texts, others):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        x, y = _shingles(a), _shingles(b)
+        n = len(np.unique(np.concatenate((x, y))))
+        out.append((len(x) + len(y) - n) / n if n else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def gates(pairs: DataFrame, snapshots: DataFrame, chunks: DataFrame | None = None, facts: DataFrame | None = None, same: float = SAME, novel: float = NOVEL, estimated: bool = True) -> DataFrame:
@@ -92,13 +104,14 @@ def gates(pairs: DataFrame, snapshots: DataFrame, chunks: DataFrame | None = Non
     five characters, then the share of chunks (doc_id, score: the cosine of its nearest stored vector) that are new; a version without chunks is
     all new.  The number of new facts (doc_id, n) is a signal only.
     """
-    s = snapshots.select("doc_id", F.sha2("raw", 256).alias("raw"), F.sha2("normalised", 256).alias("norm"), (minhash if estimated else shingles)("normalised").alias("sketch"))
+    s = snapshots.select("doc_id", F.sha2("raw", 256).alias("raw"), F.sha2("normalised", 256).alias("norm"), (minhash("normalised") if estimated else F.col("normalised")).alias("sketch"))
     v = beside(pairs, saved(s, "sketches"))
     if estimated:
         alike = F.size(F.filter(F.zip_with("sketch", "was.sketch", lambda x, y: x == y), lambda x: x)) / 128.0
         alike = F.when((F.size("sketch") == 0) & (F.size("was.sketch") == 0), 1.0).otherwise(alike)
     else:
-        alike = jaccard(F.col("sketch"), F.col("was.sketch"))
+        differ = F.col("was").isNotNull() & ~F.coalesce(F.col("norm") == F.col("was.norm"), F.lit(False))  # a null text has no shingles
+        alike = shared_shingles(*(F.when(differ, F.coalesce(c, F.lit(""))) for c in (F.col("sketch"), F.col("was.sketch"))))
     fresh = None if chunks is None else chunks.groupBy("doc_id").agg((F.count_if(F.col("score").isNull() | (F.col("score") < COSINE)) / F.count(F.lit(1))).alias("_novel"))
     v = v.withColumn("_novel", F.lit(None).cast("double")) if fresh is None else v.join(fresh, "doc_id", "left")
     v = v.withColumn("_facts", F.lit(0)) if facts is None else v.join(facts.select("doc_id", F.col("n").alias("_facts")), "doc_id", "left")
@@ -171,15 +184,37 @@ def minhash(texts: pd.Series) -> pd.Series:
     sets = [fnv1a(t or "") for t in texts]
     n = np.array([len(x) for x in sets])
     full = np.flatnonzero(n)
-    sig = np.zeros((len(sets), 128), np.int64)
-    if len(full):
-        x = np.concatenate([sets[k] for k in full])
-        first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-        for k in range(128):  # a x + b < 2^64 for 32-bit a, b, x; over all texts of a batch at once
-            sig[full, k] = np.minimum.reduceat(((a[k] * x + b[k]) % np.uint64(PRIME)) & np.uint64(0xFFFFFFFF), first)
+    sig = np.full((len(sets), 128), (1 << 32) - 1, np.int64)
+    for block in np.split(full, np.flatnonzero(np.diff(np.cumsum(n[full]) // BLOCK)) + 1) if len(full) else ():
+        first = np.concatenate(([0], np.cumsum(n[block])[:-1]))
+        x = np.concatenate([sets[k] for k in block])
+        # many texts at once, or one long text in pieces
+        for at in range(0, len(x), len(x) if len(block) > 1 else BLOCK):
+            piece = x if len(block) > 1 else x[at : at + BLOCK]
+            for k in range(128):
+                sig[block, k] = np.minimum(sig[block, k], np.minimum.reduceat(_permuted(piece, a[k], b[k]), first))
     return pd.Series([row if m else [] for row, m in zip(sig.tolist(), n)])
 
 
+def _permuted(x: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    """(a x + b) mod ``PRIME`` mod 2^32; a x + b < 2^64 for 32-bit a, b, x.
+
+    The prime is 2^32 + 15, so the quotient is the upper half less 15 / 2^32 of it, or one less than that: shifts instead of divisions.
+    """
+    y = a * x
+    y += b
+    q = y >> np.uint64(32)
+    less = q * np.uint64(15)
+    less >>= np.uint64(32)
+    q -= less
+    q *= np.uint64(PRIME)
+    y -= q
+    np.add(y, np.uint64(PRIME), out=q)
+    np.minimum(y, q, out=y)  # what went below zero is huge
+    y &= np.uint64(0xFFFFFFFF)
+    return y
+
+
 @query()
 def minhash_jaccard(t: Tables) -> DataFrame:
     """SIM-1/2: estimated Jaccard of each text and the one before it from its source."""
