@@ -13,6 +13,7 @@ from ..functions.text import (
 )
 from ..jobs.catalog import query
 from ..sources.ledger import Tables
+from ..sources.scratch import saved
 
 
 @query("with s as (select doc_id, text, unnest(case when length(text) <= 800 then [0] else range(0, length(text), 700) end) as start from documents) select doc_id, (start // 700)::int as chunk_index, start::int as char_start, sha256(substr(text, start::bigint + 1, 800)) as content_hash from s")
@@ -252,7 +253,7 @@ def pii_envelopes(t: Tables) -> DataFrame:
 @query("with " + scrub_sql("documents", "doc_id", "text") + " select count(*) as rows_scanned, count(*) filter (n > 0) as rows_with_pii, sum(n)::bigint as redactions, (select string_agg(doc_id::varchar, ',' order by doc_id) from (select doc_id from scrubbed where n > 0 order by doc_id limit 5)) as samples from scrubbed")
 def pii_report(t: Tables) -> DataFrame:
     """PII-3: a scan that changes nothing, with five samples."""
-    d = scrubbed(t("documents").select("doc_id", "text"), "text").select("doc_id", "redactions")
+    d = saved(scrubbed(t("documents").select("doc_id", "text"), "text").select("doc_id", "redactions"), "redactions")
     totals = d.agg(F.count(F.lit(1)).alias("rows_scanned"), F.count_if(F.col("redactions") > 0).alias("rows_with_pii"), F.sum("redactions").alias("redactions"))
     few = d.where("redactions > 0").orderBy("doc_id").limit(5).agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("samples"))
     return totals.crossJoin(few)  # a row each
