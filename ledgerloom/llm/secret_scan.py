@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
 A candidate is a run of at least ``SHORTEST`` token characters that mixes letters with digits, or upper with lower case inside.
-The network sees the candidate and its surroundings.  It is trained on a bounded sample: what the patterns find, with and without
+The network sees the candidate and its surroundings.  It is trained on every text: what the patterns find, with and without
 its keyword and spelled in other alphabets, against words, paths, names and ids that are plainly none.  Other candidates have no label and train
-nothing.  It is calibrated on a part that it hasn't seen, and its threshold is the highest that keeps the wanted recall there.
+nothing.  A few windows give it a start; then each task trains a copy on its windows, and the copies' mean is the network.  It is calibrated on
+all windows of a part that it hasn't seen, and its threshold is the highest that keeps the wanted recall there.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,10 +33,12 @@ SHORTEST = 16
 PLAIN_PART = re.compile(rb"[A-Z]?[a-z]++|[A-Z]++|[A-Z]?[a-z]*+(?:[A-Z][a-z]{2,}+)++|[a-z]*+[0-9]{1,8}")
 PLAIN_ID = re.compile(rb"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 PARTS = re.compile(rb"[+/_=-]+")
-#: Tokens of a text that count as plain ones, and the least and most of their bytes.
-PLAIN_TOKENS, PLAIN_BYTES = 32, (12, 200)
-#: Texts that labelled windows are drawn from, about, and windows that train the network, at most.
-SAMPLE_TEXTS, SAMPLE = 20_000, 10_000
+#: The least and most bytes of a token that counts as a plain one.
+PLAIN_BYTES = (12, 200)
+#: Windows that the network starts with, at most; windows that one task trains a copy of it on, about, and the rate of that.
+START, SHARE, RATE = 10_000, 20_000, 0.002
+#: Logits are counted in steps of one over this number, up to so many on either side, to set the threshold.
+STEPS, FAR = 1024, 60
 #: Bytes of context on either side, and of the candidate.
 AROUND, INSIDE = 20, 44
 RECALL = 0.95
@@ -166,6 +170,7 @@ class Network:
             "o": r.normal(0, 0.3, self.HIDDEN), "d": np.zeros(1),
         }
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.trained = self.judged = 0  # windows
 
     def _forward(self, x: np.ndarray) -> tuple:
         p, n = self.p, x.shape[1] - self.TAPS + 1
@@ -193,9 +198,12 @@ class Network:
         np.maximum.at(out, which, self.probability(more))
         return out
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 5) -> None:
-        r, m, v, step = np.random.default_rng(seed), {}, {}, 0
-        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 5, share: float | None = None, state: dict | None = None) -> None:
+        """Adam over windows in random order; ``share`` is that of the findings among all windows, if these are a part of them, and ``state`` what a part leaves to the next."""
+        state = {} if state is None else state
+        r, m, v, step = np.random.default_rng(seed), state.setdefault("m", {}), state.setdefault("v", {}), state.get("step", 0)
+        share = y.mean() if share is None else share
+        weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
         for _ in range(epochs):
             order = r.permutation(len(x))
             for lo in range(0, len(x), 64):
@@ -206,6 +214,7 @@ class Network:
                     m[name] = 0.9 * m.get(name, 0) + 0.1 * d
                     v[name] = 0.999 * v.get(name, 0) + 0.001 * d * d
                     self.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+        state["step"] = step
 
     def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         p = self.p
@@ -224,29 +233,33 @@ class Network:
             da[:, mask] = part
         da *= a > 0
         g["b"] = da.sum((0, 1))
-        w = np.zeros_like(p["w"])
-        n = a.shape[1]
-        for t in range(self.TAPS):
-            np.add.at(w[t], x[:, t : t + n].ravel(), da.reshape(-1, self.FILTERS))
-        return g | {"w": w}
+        n, da = a.shape[1], da.reshape(-1, self.FILTERS)
+        classes = np.eye(CLASSES)[x]
+        return g | {"w": np.stack([classes[:, t : t + n].reshape(-1, CLASSES).T @ da for t in range(self.TAPS)])}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
         """Platt scaling; then the highest threshold, 0.5 at least, at which ``recall`` of the labelled findings are kept."""
-        z, w = self.logits(x), np.array([1.0, 0.0])
-        n1, n0 = y.sum(), len(y) - y.sum()
+        self.calibrate_logits(self.logits(x), y, np.ones(len(y)), recall)
+
+    def calibrate_logits(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """``calibrate`` from logits, each of which ``n`` windows have."""
+        w = np.array([1.0, 0.0])
+        n1, n0 = n[y > 0].sum(), n[y == 0].sum()
         soft = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -30, 30)))
             # drawn towards the network's own scale, lest labels that part cleanly make the slope endless
-            grad = np.array([((q - soft) * z).sum(), (q - soft).sum()]) + (w - np.array([1.0, 0.0]))
-            s = q * (1 - q)
+            grad = np.array([(n * (q - soft) * z).sum(), (n * (q - soft)).sum()]) + (w - np.array([1.0, 0.0]))
+            s = n * q * (1 - q)
             hess = np.array([[(s * z * z).sum(), (s * z).sum()], [(s * z).sum(), s.sum()]]) + np.eye(2)
             w = w - np.clip(np.linalg.solve(hess, grad), -0.5, 0.5)
         self.scale, self.shift = float(w[0]), float(w[1])
-        found = np.sort(self.probability(x[y > 0]))
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))])) if len(found) else 0.5
+        p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+        order = np.argsort(p[y > 0], kind="stable")
+        found, upto = p[y > 0][order], np.cumsum(n[y > 0][order])
+        self.threshold = max(0.5, float(found[np.searchsorted(upto, int((1 - recall) * n1), "right")])) if len(found) else 0.5
         # anything between the findings kept and the other candidates parts them alike: the middle is the calmest
-        other = self.probability(x[y == 0])
+        other = p[y == 0]
         if len(other) and other.max() < self.threshold:
             self.threshold = max(0.5, float(self.threshold + other.max()) / 2)
 
@@ -332,7 +345,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(b.num_rows):
                 text = buf[off[k] : min(off[k + 1], off[k] + 4096)].tobytes()
                 words = [x for x in re.findall(rb"[A-Za-z]{2,12}", text)[:200]] or [b"the"]
-                keep += [x for x in range(first[k], min(first[k + 1], first[k] + PLAIN_TOKENS)) if plain(buf[s[x] : e[x]].tobytes())]
+                keep += [x for x in range(first[k], first[k + 1]) if plain(buf[s[x] : e[x]].tobytes())]
                 made = composed(words, text)
                 made = [x for x in made if len(x) >= PLAIN_BYTES[0]]
                 bad.append(_alone(made, words, [_name(x) for x in made]))
@@ -349,31 +362,74 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.uint8)], pa.binary()), pa.array(y), pa.array(named)], ["x", "y", "name"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network:
-    """A network from texts whose findings the patterns label: ``sample`` windows at most, from about ``SAMPLE_TEXTS`` texts, picked by hashes.
+def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64), b.column("y").to_numpy().astype(np.float64)
+
+
+def _copies(net: Network, share: float):
+    """Each task trains a copy of the network on its windows and gives its numbers, as often as it has windows."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, n = copy.deepcopy(net), {}, 0
+        for b in batches:
+            x, y = _windows(b)
+            own.train(x, y, 1, RATE, n, share, state)
+            n += len(x)
+        if n:
+            numbers = np.concatenate([own.p[k].ravel() for k in sorted(own.p)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(numbers), dtype=np.int32)), pa.array(numbers), pa.array(np.full(len(numbers), n))], ["at", "number", "n"])
+
+    return run
+
+
+def _logits(net: Network):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = _windows(b)
+            z = np.rint(np.clip(net.logits(x), -FAR, FAR) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(z)], ["y", "z"])
+
+    return run
+
+
+def fit(labelled: DataFrame, start: int = START, recall: float = RECALL) -> Network:
+    """A network from all texts whose findings the patterns label, and all their plain tokens.
 
-    Of each text the first ``PLAIN_TOKENS`` plain tokens are labelled, and names are composed of the first 200 words of its first 4,096 bytes; findings are taken from
-    the whole text.  Windows that repeat count once.  The threshold is set on findings and tokens that training hasn't seen in any spelling: a
-    quarter of them, by their names.  Null texts aren't read; an empty table, or texts with too few findings, give a network that finds nothing.
+    ``start`` windows at most, picked by hashes, give the network that each task then trains a copy of, on about ``SHARE`` windows; every window but those kept unseen trains once,
+    and the copies' mean, by their windows, is the result.  Besides, names are composed of words at the start of each text (200 of its first 4,096 bytes).  Windows that
+    repeat count once.  The threshold is set on all findings and tokens that training hasn't seen in any spelling: a quarter of them, by their names.
+    Null texts aren't read; an empty table, or texts with too few findings, give a network that finds nothing.
     """
     spark = labelled.sparkSession
     text_batches(spark)
-    share = min(1.0, SAMPLE_TEXTS / max(1, labelled.count()))
-    texts = labelled.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("text")
-    rows = Scratch(spark, "windows").save(texts.mapInArrow(_labelled, "x binary, y int, name long"))  # labelled once, read for each label
-    rows = rows.groupBy("x", "y").agg(F.min("name").alias("name"))
-    data = [rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(sample // 2).collect() for y in (0, 1)]
+    texts = labelled.where(F.col("text").isNotNull()).select("text")
+    rows = texts.mapInArrow(_labelled, "x binary, y int, name long").groupBy("x", "y").agg(F.min("name").alias("name"))
+    unseen = F.pmod(F.col("name"), F.lit(4)) == 0
+    scratch = Scratch(spark, "windows")
+    rows = scratch.save(rows.withColumn("unseen", unseen))  # labelled once
+    sizes = {(r.y, r.unseen): r.n for r in rows.groupBy("y", "unseen").agg(F.count(F.lit(1)).alias("n")).collect()}
+    data = [rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(start // 2).collect() for y in (0, 1)]
     net = Network()
     if min(map(len, data)) < 20:
         net.threshold = 2.0
         return net
-    x = np.array([np.frombuffer(r.x, np.uint8) for part in data for r in part]).astype(np.int64)
-    y = np.array([r.y for part in data for r in part], np.float64)
-    unseen = np.array([r.name % 4 == 0 for part in data for r in part])
-    order = np.random.default_rng(9).permutation(len(x))
-    train, rest = order[~unseen[order]], order[unseen[order]]
-    net.train(x[train], y[train])
-    net.calibrate(x[rest], y[rest], recall)
+    few = [r for part in data for r in part if not r.unseen]
+    order = np.random.default_rng(9).permutation(len(few))
+    net.train(np.array([np.frombuffer(few[k].x, np.uint8) for k in order]).astype(np.int64), np.array([few[k].y for k in order], np.float64))
+    good, bad = (sizes.get((y, False), 0) for y in (1, 0))
+    dealt = rows.where(~F.col("unseen")).repartition(max(1, -(-(good + bad) // SHARE)), "x").sortWithinPartitions(F.xxhash64("x"), "x", "y")
+    # sums of decimals, so that reruns agree
+    total = F.sum((F.col("number") * F.col("n")).cast("decimal(28,12)"))
+    mean = dealt.mapInArrow(_copies(net, good / (good + bad)), "at int, number double, n long").groupBy("at").agg((total.cast("double") / F.sum("n")).alias("number"), F.sum("n").alias("n")).orderBy("at").collect()
+    numbers, at = np.array([r.number for r in mean]), 0
+    for k in sorted(net.p):
+        net.p[k], at = numbers[at : at + net.p[k].size].reshape(net.p[k].shape), at + net.p[k].size
+    z = rows.where("unseen").mapInArrow(_logits(net), "y int, z int").groupBy("y", "z").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "z").collect()
+    net.calibrate_logits(np.array([r.z / STEPS for r in z]), np.array([float(r.y) for r in z]), np.array([float(r.n) for r in z]), recall)
+    net.trained, net.judged = mean[0].n, sum(r.n for r in z)
+    scratch.drop(rows)
     return net
 
 
