@@ -13,7 +13,8 @@ from ..jobs.catalog import query
 from ..sources.ledger import AS_OF, Tables
 from ..sources.scratch import new_folder
 from .lifecycle import FLOORS, flat, substring_score
-from .retrieval import nearest, top
+from .retrieval import top
+from .search import nearest_best
 from .text_ops import markdown_chunks, markdown_facts, scrub_sql
 
 EVENT = ["adapter", "source_id", "source_kind", "source_uri", "idempotency_key", "trust_tier", "transform_policy", "payload"]
@@ -268,9 +269,10 @@ class VectorStore:
             v = v.join(gone, "observe_id", "left").where("_until is null or batch > _until").drop("_until")
         return v.drop("batch")
 
-    def search(self, queries: DataFrame, k: int = 200) -> DataFrame:
-        """(query_id, chunk_id, fact_id, observe_id, score, rank) for a block of queries (query_id, q)."""
-        return top(nearest(self.vectors(), queries, "chunk_id", "fact_id", "observe_id"), k, "score", "chunk_id")
+    def search(self, queries: DataFrame, k: int = 200, digits: int | None = None) -> DataFrame:
+        """(query_id, chunk_id, fact_id, observe_id, score, rank) for queries (query_id, q); equal scores, at ``digits`` if they are given, by chunk_id."""
+        found = nearest_best(self.vectors().withColumnRenamed("chunk_id", "id"), queries.select("query_id", F.col("q").alias("embedding")), k, "fact_id", "observe_id", digits=digits)
+        return top(found.withColumnRenamed("id", "chunk_id"), k, "score", "chunk_id")
 
 
 def slug(text: Column) -> Column:
@@ -533,8 +535,7 @@ def vector_store(t: Tables) -> DataFrame:
     store.add(v.where("chunk_id % 2 = 1"))
     store.delete(v.where("observe_id = '0'").select("observe_id").distinct())
     q = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = nearest(store.vectors(), q, "chunk_id").withColumn("score", F.round("score", 6))
-    return top(found, 20, "score", "chunk_id").select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), "score")
+    return store.search(q, 20, 6).select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), "score")
 
 
 @query("select path, title, synthesis_days is null as created, (select count(*) from facts f where f.subject = title and not archived) as facts from wiki", "wiki", "facts")
