@@ -48,8 +48,17 @@ def one_line(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
 
 
+def start_of(x: Column, most: int) -> Column:
+    """As much of a text as ``shortened`` looks at: what holds ``most + 1`` characters that aren't white space, or all such.  Its line starts as the text's, and is as long or longer than ``most``."""
+    return F.regexp_extract(x, rf"^(?:\s*+\S){{0,{most + 1}}}+", 0)
+
+
 def shortened(x: Column, most: int) -> Column:
-    x = F.coalesce(one_line(x), F.lit(""))
+    """White space as single spaces, and at most so many characters, with dots for what is left out."""
+    return cut_off(F.coalesce(one_line(x), F.lit("")), most)
+
+
+def cut_off(x: Column, most: int) -> Column:
     return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(most - 3)), F.lit("...")))
 
 
@@ -97,7 +106,7 @@ def source_system(adapter: Column, uri: Column, kind: Column) -> Column:
     return out.when(kind.isin("web", "local-file", "local-dir"), kind).otherwise(F.coalesce(clean, F.lit("unknown")))
 
 
-def _once(*columns: Column) -> Column:
+def once(*columns: Column) -> Column:
     """The columns as one struct, computed once a row: what refers to it isn't merged with it, or the rules would be written out again wherever their results are used."""
     return F.explode(F.array(F.struct(*columns)))
 
@@ -110,14 +119,14 @@ def action_fields(observations: DataFrame) -> DataFrame:
     back to a more general one.  Nulls in source_kind, raw and metadata are missing values; long texts are shortened as the action's own fields demand.
     """
     c = F.col
-    d = observations.select(F.struct(*observations.columns).alias("_o"), *(c(x).alias(x) for x in ("observe_id", "source_id", "source_uri", "source_kind", "occurred_at", "captured_at", "raw", "adapter", "adapter_sequence")), _once(json_object(c("raw")).alias("p"), json_object(c("metadata")).alias("m")).alias("j"))
+    d = observations.select(F.struct(*observations.columns).alias("_o"), *(c(x).alias(x) for x in ("observe_id", "source_id", "source_uri", "source_kind", "occurred_at", "captured_at", "raw", "adapter", "adapter_sequence")), once(json_object(c("raw")).alias("p"), json_object(c("metadata")).alias("m")).alias("j"))
     d = d.select("*", "j.p", "j.m")
     keys = ("session_id", "hook_event_name", "tool_name", "cwd", "prompt", "message", "command_id", "command", "commit_id", "commit_sha", "short_sha", "subject", "repo_root", "change_id", "vault_name", "relative_path", "path", "event", "vault_root", "session_file", "transcript_path")
     p = {k: text_at(c("p"), f"$.{k}") for k in keys}
-    d = d.select("*", _once(
+    d = d.select("*", once(
         *(x.alias(k) for k, x in p.items()), text_at(c("p"), "$.tool_input.command").alias("tool_command"), text_at(c("p"), "$.exit_status", True).alias("exit_status"), text_at(c("p"), "$.bytes.to", True).alias("byte_to"),
         (F.try_variant_get("p", "$.kind", "string") == "codex-turn-summary").alias("turn"), last_text(c("p"), "$.assistant_messages").alias("said"), last_text(c("p"), "$.user_messages").alias("asked"),
-        *(text_at(c("m"), f"$.{k}").alias(f"m_{k}") for k in ("memory_kind", "memory_project", "session_file", "transcript_path")), one_line(c("raw")).alias("line"), source_system(c("adapter"), c("source_uri"), c("source_kind")).alias("system"),
+        *(text_at(c("m"), f"$.{k}").alias(f"m_{k}") for k in ("memory_kind", "memory_project", "session_file", "transcript_path")), one_line(start_of(c("raw"), MOST_TEXT)).alias("line"), source_system(c("adapter"), c("source_uri"), c("source_kind")).alias("system"),
     ).alias("f"))
     f = lambda k: c(f"f.{k}")
     system, seq, uri = f("system"), c("adapter_sequence").cast("string"), c("source_uri")
@@ -125,7 +134,7 @@ def action_fields(observations: DataFrame) -> DataFrame:
         F.when(f("cwd").isNotNull(), project_of(f("cwd"))).when(f("repo_root").isNotNull(), project_of(f("repo_root"))).when(f("vault_root").isNotNull(), project_of(f("vault_root")))
         .when(_path_of(uri).isNotNull() & (_path_of(uri) != ""), project_of(_path_of(uri))).otherwise(project_of(uri))
     )
-    d = d.select("*", _once(project.alias("project")).alias("g")).withColumn("project", c("g.project"))
+    d = d.select("*", once(project.alias("project")).alias("g")).withColumn("project", c("g.project"))
     turn = (system == "codex") & F.coalesce(f("turn"), F.lit(False))
     general = F.concat_ws(":", c("source_id"), seq, c("observe_id").cast("string"))
     own_id = F.coalesce(
@@ -155,9 +164,11 @@ def action_fields(observations: DataFrame) -> DataFrame:
         F.lit('{"observation":'), origin, entry("codex_session_file", _or(f("session_file"), f("m_session_file"))), entry("transcript_path", _or(f("transcript_path"), f("m_transcript_path"))), entry("cwd", _or(f("cwd"), F.nullif(_path_of(uri), F.lit("")))),
         entry("memory_uri", F.when(uri.startswith("memory://"), uri)), entry("git_ref", F.when(uri.startswith("git:"), uri)), F.coalesce(vault, F.lit("")), entry("file_path", F.when(uri.startswith("file://"), F.substr(uri, F.lit(8)))), F.lit("}"),
     )
-    d = d.select("*", _once(one_line(what).alias("_what")).alias("h")).withColumn("_what", c("h._what"))
-    hint = F.when(c("_what").isNotNull(), shortened(F.concat(F.coalesce(F.concat("project", F.lit(": ")), F.lit("")), "_what"), MOST_HINT))
-    added = {"source_system": system, "action_source_id": own_id, "who": system, "what_text": shortened(c("_what"), MOST_TEXT), "when_ts": _or(F.nullif(c("occurred_at"), F.lit("")), c("captured_at")), "project": c("project"), "artifact_locations": where, "next_query_hint": hint}
+    d = d.select("*", once(what.alias("what")).alias("_w"))
+    d = d.select("*", once(one_line(start_of(c("_w.what"), MOST_TEXT)).alias("_what")).alias("h")).withColumn("_what", c("h._what"))
+    d = d.select("*", once(F.when(c("_what").isNotNull(), one_line(F.concat(F.coalesce(F.concat("project", F.lit(": ")), F.lit("")), "_what"))).alias("hint")).alias("k"))
+    hint = F.when(c("_what").isNotNull(), cut_off(c("k.hint"), MOST_HINT))
+    added = {"source_system": system, "action_source_id": own_id, "who": system, "what_text": cut_off(F.coalesce("_what", F.lit("")), MOST_TEXT), "when_ts": _or(F.nullif(c("occurred_at"), F.lit("")), c("captured_at")), "project": c("project"), "artifact_locations": where, "next_query_hint": hint}
     return d.select(*(F.col("_o").getField(x).alias(x) for x in observations.columns if x not in added), *(x.alias(k) for k, x in added.items()))
 
 

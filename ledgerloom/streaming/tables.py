@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.actions import derived_actions, json_object
+from ..operators.actions import derived_actions, once
 from ..operators.ledger_ops import own_pages
 from ..operators.lifecycle import correction_signals, related_facts
 from ..operators.text_ops import corrections_in
@@ -28,10 +28,12 @@ def drafts(outbox: DataFrame) -> DataFrame:
     metadata; a JSON text is that text.  Contexts that aren't texts are left out.  Errors: an empty or null payload, and the ledger's own pages.
     """
     c = F.col
-    d = outbox.select("*", F.explode(F.array(F.struct(json_object(c("payload")).alias("v"), F.try_parse_json("payload").alias("any")))).alias("_j"))
+    d = outbox.select("*", once(F.try_parse_json("payload").alias("any")).alias("_a"))
+    d = d.select("*", once(c("_a.any").alias("any"), F.schema_of_variant("_a.any").alias("kind"), F.when(F.schema_of_variant("_a.any").startswith("OBJECT"), c("_a.any")).alias("v")).alias("_j"))
     text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("_j.v", path, "variant")) == "STRING", F.try_variant_get("_j.v", path, "string"))
-    content, bare = text("$.content"), F.when(F.schema_of_variant("_j.any") == "STRING", F.try_variant_get("_j.any", "$", "string"))
-    metadata = F.try_variant_get("_j.v", "$.metadata", "variant")
+    bare = F.when(c("_j.kind") == "STRING", F.try_variant_get("_j.any", "$", "string"))
+    d = d.select("*", once(text("$.content").alias("content"), F.try_variant_get("_j.v", "$.metadata", "variant").alias("metadata")).alias("_t"))
+    content, metadata = c("_t.content"), c("_t.metadata")
     wrapped = F.to_json(F.map_concat(F.coalesce(F.try_variant_get(F.when(F.schema_of_variant(metadata).startswith("OBJECT"), metadata), "$", "map<string,string>"), F.create_map().cast("map<string,string>")), F.create_map(F.lit("auto_wrapped"), F.lit("true"))))
     contexts = F.transform(F.coalesce(F.try_variant_get("_j.v", "$.contexts", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
     identity = F.concat_ws("|", *_IS)
@@ -66,7 +68,7 @@ def drained(outbox: DataFrame, before: dict[str, DataFrame] | None = None, facts
     actions = derived_actions(good.select("observe_id", "source_id", "source_uri", "source_kind", "occurred_at", F.col("appended_at").alias("captured_at"), F.col("content").alias("raw"), "adapter", F.col("seq").alias("adapter_sequence"), "metadata"), before.get("actions"))
     actions = actions.where("status = 'inserted'").select("action_id", "source_system", F.col("action_source_id").alias("source_id"), F.col("observe_id").alias("source_observe_id"), "who", "what_text", "when_ts", "project", "artifact_locations", "next_query_hint")
     session = F.coalesce(F.get_json_object("content", "$.session_id"), F.get_json_object("metadata", "$.session_id"))
-    taken = corrections_in(good.select(F.col("observe_id").alias("event_id"), session.alias("session_id"), F.col("content").alias("text")), "text")
+    taken = saved(corrections_in(good.select(F.col("observe_id").alias("event_id"), session.alias("session_id"), F.col("content").alias("text")), "text"), "taken")  # few, and read for corrections and signals
     if facts is None:
         taken = taken.withColumn("related", F.array().cast("array<string>"))
         related = taken.select("event_id", F.lit("").alias("fact_id"), F.lit(0).alias("rank")).where("false")
