@@ -19,9 +19,8 @@ UNIQUE = r"://|@|[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9a-f]{8,}-"
 
 
 def json_object(text: Column) -> Column:
-    """A text as a variant; null unless it is a JSON object."""
-    v = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    """A text as a variant; null unless it is a JSON object.  What doesn't start as one isn't parsed, as a parser's errors are dear."""
+    return F.try_parse_json(F.when(F.ltrim(text, F.lit(" \t\n\r\x0b\f\ufeff")).startswith("{"), text))
 
 
 def text_at(v: Column, path: str, numbers: bool = False) -> Column:
@@ -40,12 +39,12 @@ def last_text(v: Column, path: str) -> Column:
 
 
 def _trimmed(x: Column) -> Column:
-    return F.nullif(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(""))
+    return F.when(x.rlike(r"\S"), F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def one_line(x: Column) -> Column:
     """White space as single spaces; null if nothing else is there."""
-    return F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+    return F.when(x.rlike(r"\S"), F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 
 def start_of(x: Column, most: int) -> Column:
@@ -67,13 +66,16 @@ def cut_off(x: Column, most: int) -> Column:
 
 def project_of(path: Column) -> Column:
     """The folder that a path is about: the second one below ``Repos``, or the last one."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    at = F.array_position(parts, "Repos")
-    return F.coalesce(F.when(at > 0, F.get(parts, (at + 1).cast("int"))), F.try_element_at(parts, F.lit(-1)))
+    return _of_parts(_parts(path))
 
 
-def _place(path: Column) -> Column:
-    return F.coalesce(project_of(path), path)
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def _of_parts(parts: Column) -> Column:
+    at = F.array_position(parts, "Repos")
+    return F.coalesce(F.when(at > 0, F.get(parts, (at + 1).cast("int"))), F.try_element_at(parts, F.lit(-1)))
 
 
 def _path_of(uri: Column) -> Column:
@@ -119,22 +121,24 @@ def action_fields(observations: DataFrame) -> DataFrame:
     back to a more general one.  Nulls in source_kind, raw and metadata are missing values; long texts are shortened as the action's own fields demand.
     """
     c = F.col
-    d = observations.select(F.struct(*observations.columns).alias("_o"), *(c(x).alias(x) for x in ("observe_id", "source_id", "source_uri", "source_kind", "occurred_at", "captured_at", "raw", "adapter", "adapter_sequence")), once(json_object(c("raw")).alias("p"), json_object(c("metadata")).alias("m")).alias("j"))
-    d = d.select("*", "j.p", "j.m")
+    # each step adds plain columns that the next ones use more than once: such a projection isn't merged with the next, so nothing in it is computed twice
+    d = observations.select(F.struct(*observations.columns).alias("_o"), *(c(x).alias(x) for x in ("observe_id", "source_id", "source_uri", "source_kind", "occurred_at", "captured_at", "raw", "adapter", "adapter_sequence")), json_object(c("raw")).alias("p"), json_object(c("metadata")).alias("m"))
     keys = ("session_id", "hook_event_name", "tool_name", "cwd", "prompt", "message", "command_id", "command", "commit_id", "commit_sha", "short_sha", "subject", "repo_root", "change_id", "vault_name", "relative_path", "path", "event", "vault_root", "session_file", "transcript_path")
-    p = {k: text_at(c("p"), f"$.{k}") for k in keys}
-    d = d.select("*", once(
-        *(x.alias(k) for k, x in p.items()), text_at(c("p"), "$.tool_input.command").alias("tool_command"), text_at(c("p"), "$.exit_status", True).alias("exit_status"), text_at(c("p"), "$.bytes.to", True).alias("byte_to"),
-        (F.try_variant_get("p", "$.kind", "string") == "codex-turn-summary").alias("turn"), last_text(c("p"), "$.assistant_messages").alias("said"), last_text(c("p"), "$.user_messages").alias("asked"),
-        *(text_at(c("m"), f"$.{k}").alias(f"m_{k}") for k in ("memory_kind", "memory_project", "session_file", "transcript_path")), one_line(start_of(c("raw"), MOST_TEXT)).alias("line"), source_system(c("adapter"), c("source_uri"), c("source_kind")).alias("system"),
-    ).alias("f"))
-    f = lambda k: c(f"f.{k}")
-    system, seq, uri = f("system"), c("adapter_sequence").cast("string"), c("source_uri")
-    project = F.when(f("m_memory_project").isNotNull(), f("m_memory_project")).otherwise(
-        F.when(f("cwd").isNotNull(), project_of(f("cwd"))).when(f("repo_root").isNotNull(), project_of(f("repo_root"))).when(f("vault_root").isNotNull(), project_of(f("vault_root")))
-        .when(_path_of(uri).isNotNull() & (_path_of(uri) != ""), project_of(_path_of(uri))).otherwise(project_of(uri))
-    )
-    d = d.select("*", once(project.alias("project")).alias("g")).withColumn("project", c("g.project"))
+    found = {
+        **{k: text_at(c("p"), f"$.{k}") for k in keys}, "tool_command": text_at(c("p"), "$.tool_input.command"), "exit_status": text_at(c("p"), "$.exit_status", True), "byte_to": text_at(c("p"), "$.bytes.to", True),
+        "turn": F.try_variant_get("p", "$.kind", "string") == "codex-turn-summary", "said": last_text(c("p"), "$.assistant_messages"), "asked": last_text(c("p"), "$.user_messages"),
+        **{f"m_{k}": text_at(c("m"), f"$.{k}") for k in ("memory_kind", "memory_project", "session_file", "transcript_path")}, "line": one_line(start_of(c("raw"), MOST_TEXT)), "system": source_system(c("adapter"), c("source_uri"), c("source_kind")), "uri_path": _path_of(c("source_uri")),
+    }
+    own = [x for x in d.columns if x not in ("raw", "m")]
+    f = lambda k: c(f"f_{k}")
+    d = d.select(*own, *(x.alias(f"f_{k}") for k, x in found.items()))
+    uri = c("source_uri")
+    rest = F.when(f("m_memory_project").isNull() & f("cwd").isNull() & f("repo_root").isNull(), F.coalesce(f("vault_root"), F.when(f("uri_path") != "", f("uri_path")), uri))
+    d = d.select("*", _parts(f("cwd")).alias("_in_cwd"), _parts(f("repo_root")).alias("_in_repo"), _parts(rest).alias("_in_rest"))
+    d = d.select("*", _of_parts(c("_in_cwd")).alias("_cwd"), _of_parts(c("_in_repo")).alias("_repo"), _of_parts(c("_in_rest")).alias("_rest"))
+    project = F.when(f("m_memory_project").isNotNull(), f("m_memory_project")).when(f("cwd").isNotNull(), c("_cwd")).when(f("repo_root").isNotNull(), c("_repo")).otherwise(c("_rest"))
+    d = d.select("*", project.alias("project"))
+    system, seq = f("system"), c("adapter_sequence").cast("string")
     turn = (system == "codex") & F.coalesce(f("turn"), F.lit(False))
     general = F.concat_ws(":", c("source_id"), seq, c("observe_id").cast("string"))
     own_id = F.coalesce(
@@ -146,13 +150,12 @@ def action_fields(observations: DataFrame) -> DataFrame:
     )
     there = c("p").isNotNull()
     label = F.nullif(F.concat_ws(" ", f("hook_event_name"), f("tool_name")), F.lit(""))
-    place = lambda x: _or(_place(x), c("project"))
     what = (
         F.when(turn, F.concat(F.lit("Codex turn"), _with(" in ", c("project")), F.lit(": "), _or(f("said"), f("asked"), F.lit("turn ended"))))
-        .when((system == "hook") & there, F.concat(F.lit("Hook"), _with(" ", label), _with(" in ", _place(f("cwd"))), F.lit(": "), _or(f("tool_command"), f("prompt"), f("message"), f("line"), F.lit("event captured"))))
+        .when((system == "hook") & there, F.concat(F.lit("Hook"), _with(" ", label), _with(" in ", _or(c("_cwd"), f("cwd"))), F.lit(": "), _or(f("tool_command"), f("prompt"), f("message"), f("line"), F.lit("event captured"))))
         .when((system == "memory") | f("m_memory_kind").isNotNull(), F.concat(F.lit("Memory "), _or(f("m_memory_kind"), F.lit("entry")), _with(" for ", f("m_memory_project")), F.lit(": "), _or(f("line"), uri)))
-        .when((system == "zsh") & there, F.concat(F.lit("zsh command"), _with(" in ", place(f("cwd"))), _with(" exited ", f("exit_status")), F.lit(": "), _or(f("command"), f("line"), F.lit("command captured"))))
-        .when((system == "git") & there, F.concat(F.lit("git commit"), _with(" in ", place(f("repo_root"))), _with(" ", _or(f("short_sha"), F.left(f("commit_sha"), F.lit(12)))), F.lit(": "), _or(f("subject"), f("line"), F.lit("commit captured"))))
+        .when((system == "zsh") & there, F.concat(F.lit("zsh command"), _with(" in ", _or(c("_cwd"), f("cwd"), c("project"))), _with(" exited ", f("exit_status")), F.lit(": "), _or(f("command"), f("line"), F.lit("command captured"))))
+        .when((system == "git") & there, F.concat(F.lit("git commit"), _with(" in ", _or(c("_repo"), f("repo_root"), c("project"))), _with(" ", _or(f("short_sha"), F.left(f("commit_sha"), F.lit(12)))), F.lit(": "), _or(f("subject"), f("line"), F.lit("commit captured"))))
         .when((system == "notes") & there, F.concat(F.lit("Note"), _with(" in ", f("vault_name")), F.lit(" "), _or(f("event"), F.lit("changed")), F.lit(": "), _or(f("relative_path"), f("path"), F.lit("note changed"))))
         .otherwise(_or(f("line"), F.concat(c("adapter"), F.lit(" observation from "), uri)))
     )
@@ -161,13 +164,15 @@ def action_fields(observations: DataFrame) -> DataFrame:
     origin = parts(observe_id=_quoted(c("observe_id").cast("string")), adapter=_quoted(c("adapter")), adapter_sequence=seq, source_id=_quoted(c("source_id")), source_uri=_quoted(uri), source_kind=_quoted(c("source_kind")))
     vault = F.when(_or(f("vault_name"), f("relative_path"), f("path")).isNotNull(), F.concat(F.lit(',"notes":'), parts(vault=_quoted(f("vault_name")), relative_path=_quoted(f("relative_path")), path=_quoted(f("path")))))
     where = F.concat(
-        F.lit('{"observation":'), origin, entry("codex_session_file", _or(f("session_file"), f("m_session_file"))), entry("transcript_path", _or(f("transcript_path"), f("m_transcript_path"))), entry("cwd", _or(f("cwd"), F.nullif(_path_of(uri), F.lit("")))),
+        F.lit('{"observation":'), origin, entry("codex_session_file", _or(f("session_file"), f("m_session_file"))), entry("transcript_path", _or(f("transcript_path"), f("m_transcript_path"))), entry("cwd", _or(f("cwd"), F.when(f("uri_path") != "", f("uri_path")))),
         entry("memory_uri", F.when(uri.startswith("memory://"), uri)), entry("git_ref", F.when(uri.startswith("git:"), uri)), F.coalesce(vault, F.lit("")), entry("file_path", F.when(uri.startswith("file://"), F.substr(uri, F.lit(8)))), F.lit("}"),
     )
-    d = d.select("*", once(what.alias("what")).alias("_w"))
-    d = d.select("*", once(one_line(start_of(c("_w.what"), MOST_TEXT)).alias("_what")).alias("h")).withColumn("_what", c("h._what"))
-    d = d.select("*", once(F.when(c("_what").isNotNull(), one_line(F.concat(F.coalesce(F.concat("project", F.lit(": ")), F.lit("")), "_what"))).alias("hint")).alias("k"))
-    hint = F.when(c("_what").isNotNull(), cut_off(c("k.hint"), MOST_HINT))
+    d = d.select("*", what.alias("_all"))
+    d = d.select("*", start_of(c("_all"), MOST_TEXT).alias("_start"))
+    d = d.select("*", one_line(c("_start")).alias("_what"))
+    d = d.select("*", F.concat(F.coalesce(F.concat("project", F.lit(": ")), F.lit("")), "_what").alias("_hint"))
+    d = d.select("*", one_line(c("_hint")).alias("_line"))
+    hint = F.when(c("_what").isNotNull(), cut_off(c("_line"), MOST_HINT))
     added = {"source_system": system, "action_source_id": own_id, "who": system, "what_text": cut_off(F.coalesce("_what", F.lit("")), MOST_TEXT), "when_ts": _or(F.nullif(c("occurred_at"), F.lit("")), c("captured_at")), "project": c("project"), "artifact_locations": where, "next_query_hint": hint}
     return d.select(*(F.col("_o").getField(x).alias(x) for x in observations.columns if x not in added), *(x.alias(k) for k, x in added.items()))
 

@@ -34,3 +34,13 @@ def test_the_start_of_a_text_has_the_line_of_the_whole(spark):
     whole, start = actions.shortened(x, most), actions.shortened(actions.start_of(x, most), most)
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select(whole.alias("a"), start.alias("b"), actions.one_line(x).isNull().alias("c"), actions.one_line(actions.start_of(x, most)).isNull().alias("d"), F.length(actions.start_of(x, most)).alias("n")).collect()
     assert all(r.a == r.b and r.c == r.d for r in rows) and rows[-2].n == most + 1
+
+
+def test_fields_of_actions_are_computed_once(spark):
+    kind = "observe_id string, source_id string, source_uri string, source_kind string, occurred_at string, captured_at string, raw string, adapter string, adapter_sequence long, metadata string"
+    raws = [' \n{"cwd":"/a//Repos/own/P/x","command":" ls "}', '{"cwd":"/","command":"ls"}', '["a"]', '"text"', "7", '{"cut', "", None]
+    d = actions.action_fields(spark.createDataFrame([(str(k), "s", "zsh://h", "local-dir", "t", "t", r, "zsh", k, None) for k, r in enumerate(raws)], kind))
+    assert "Generate" not in plan(d) and plan(d).count("split(") <= 3  # a path is taken apart once
+    got = {r.observe_id: (r.what_text, r.project) for r in d.collect()}
+    assert got["0"] == ("zsh command in P: ls", "P") and got["1"] == ("zsh command in /: ls", None)
+    assert [got[k][0] for k in "234567"] == ['["a"]', '"text"', "7", '{"cut', "zsh observation from zsh://h", "zsh observation from zsh://h"]
