@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import actions
+from ledgerloom.operators import actions, retrieval
 from ledgerloom.streaming import tables
 
 OUTBOX = "seq long, adapter string, source_id string, source_kind string, source_uri string, idempotency_key string, trust_tier string, transform_policy string, payload string, appended_at string"
@@ -44,3 +44,21 @@ def test_fields_of_actions_are_computed_once(spark):
     got = {r.observe_id: (r.what_text, r.project) for r in d.collect()}
     assert got["0"] == ("zsh command in P: ls", "P") and got["1"] == ("zsh command in /: ls", None)
     assert [got[k][0] for k in "234567"] == ['["a"]', '"text"', "7", '{"cut', "zsh observation from zsh://h", "zsh observation from zsh://h"]
+
+
+def test_words_are_counted_within_their_row(spark, tmp_path):
+    rows = [(1, "b a B c_1 a"), (2, ""), (3, None), (4, "\u00e9\u00c9 x"), (5, "!")]
+    p = retrieval.counted(spark.createDataFrame(rows, "doc long, text string"))
+    assert "Aggregate" not in plan(p) and "Repartition" not in plan(p)
+    assert sorted((r.doc, r.length, r.term, r.tf) for r in p.collect()) == [(1, 5, "", 1), (1, 5, "a", 2), (1, 5, "b", 2), (1, 5, "c_1", 1), (2, 0, "", 1), (4, 2, "", 1), (4, 2, "x", 1), (4, 2, "\u00e9\u00e9", 1), (5, 0, "", 1)]
+    q = spark.createDataFrame([(1, "aa bb cc")], "query_id long, text string")
+    for k, more in enumerate(([], [(1, "aa cc")], [(None, "bb"), (9, None)])):  # ids of their own, a repeated one, missing ones
+        docs = spark.createDataFrame([(1, "aa bb"), (2, "bb"), (3, "xx yy zz"), (4, ""), *more], "id long, text string")
+        retrieval.build_index(docs, "id", "text", str(tmp_path / str(k)))
+        x = docs.where("text is not null")
+        s = spark.read.parquet(str(tmp_path / str(k) / "stats")).first()
+        assert s.n == docs.count() and s.mean == docs.agg(F.avg(F.size(retrieval.words(F.col("text"))))).first()[0]
+        tf = retrieval.words(F.col("text"))
+        want = x.select("id", F.explode(tf).alias("term")).groupBy("id", "term").count().collect()
+        got = spark.read.parquet(str(tmp_path / str(k) / "postings")).where("term != ''").collect()
+        assert sorted(map(str, ((r.term, r.doc, r.tf) for r in got))) == sorted(map(str, ((r.term, r.id, r["count"]) for r in want)))
